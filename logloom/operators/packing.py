@@ -252,16 +252,16 @@ def chunk_bytes(df: DataFrame, limit: int, group: str, order: list[str], text: s
 def write_chunks(texts: DataFrame, chunks: DataFrame, path: str, group: str, order: list[str], text: str) -> None:
     """Write each chunk's texts below path/<group>/<file_name>/.
 
-    Texts of one chunk meet in one task and keep their order; a chunk is bounded
+    Texts end with a line break, which the text format puts behind every row.
+    Those of one chunk meet in one task and keep their order; a chunk is bounded
     by its byte limit.
     """
     rows = texts.join(chunks, [group, *order])
     (
         rows.repartition(group, "file_name")
         .sortWithinPartitions(group, "file_name", *order)
-        .select(group, "file_name", text)
+        .select(group, "file_name", F.regexp_replace(text, r"\n\z", "").alias("value"))
         .write.partitionBy(group, "file_name")
-        .option("lineSep", "")
         .mode("overwrite")
         .text(path)
     )

@@ -122,7 +122,7 @@ def top_combinations(baskets: DataFrame, size: int, k: int, small: int = MAX_TAB
     counted = _count_combinations(narrow.unionByName(wide), size)
     top = counted.orderBy(F.desc("count"), *members).limit(k)
     order = Window.orderBy(F.desc("count"), *members)  # k rows
-    return top.withColumn("rank", F.row_number().over(order)).select("rank", *members, "count")
+    return top.withColumn("rank", F.row_number().over(order).cast("long")).select("rank", *members, "count")
 
 
 def top_pairs_uncapped(df: DataFrame, k: int = 30) -> DataFrame:

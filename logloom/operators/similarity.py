@@ -138,7 +138,7 @@ def vector_topk(
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "item_id")
     return (
-        found.withColumn("rank", F.row_number().over(order))
+        found.withColumn("rank", F.row_number().over(order).cast("long"))
         .filter(F.col("rank") <= k)
         .select("query_id", "item_id", F.round("cosine", 6).alias("cosine"), "rank")
     )
