@@ -53,27 +53,25 @@ def cte_components(df: DataFrame, last_label: str = "Finally") -> DataFrame:
 
 
 def shape_flags(df: DataFrame) -> DataFrame:
-    return df.withColumns(sx.shape_flags("query_sql"))
+    return sx.add_shape_flags(df)
 
 
 def shape_v1(df: DataFrame) -> DataFrame:
-    return df.withColumn("g5", sx.shape_v1("query_sql"))
+    return sx.add_shape_v1(df)
 
 
 def shape_v2(df: DataFrame) -> DataFrame:
-    return df.withColumn("g5", sx.shape_v2("query_sql"))
+    return sx.add_shape_v2(df)
 
 
 def select_aliases(df: DataFrame) -> DataFrame:
     """g4: output names of the outer SELECT, or the shape where there are none."""
-    names = sx.select_alias_list("query_sql")
-    return df.withColumn("_names", names).withColumn(
-        "g4", F.coalesce("_names", sx.shape_v1("query_sql"))
-    ).drop("_names")
+    rows = sx.add_shape_v1(df, "_shape").withColumn("_names", sx.select_alias_list("query_sql"))
+    return rows.withColumn("g4", F.coalesce("_names", "_shape")).drop("_names", "_shape")
 
 
 def name_slug(df: DataFrame) -> DataFrame:
-    return df.withColumn("g3", sx.name_slug("name", sx.shape_v1("query_sql")))
+    return sx.add_name_slug(sx.add_shape_v1(df, "_shape"), shape="_shape").drop("_shape")
 
 
 def est_tokens(df: DataFrame) -> DataFrame:

@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 
 from ..functions import sqltext as sx
 from ..functions.ordering import BLOCK, dense_position, running
+from ..session import held, small_side
 
 MAX_TABLES = 6  # queries above this are dashboards, not join patterns
 LETTERS = "abcde"
 
 
 def query_tables(df: DataFrame) -> DataFrame:
-    """(query_id, tables): sorted qualified names of queries with two or more."""
+    """(query_id, tables): sorted qualified names of queries with two or more.
+
+    Written once, this narrow table serves every count below; the functions that
+    take a log and read it more than once hold it, so the SQL is scanned once.
+    """
     names = df.select("query_id", F.array_sort(sx.qualified_tables("query_sql")).alias("tables"))
     return names.filter(F.size("tables") >= 2)
 
@@ -74,7 +79,7 @@ def popular_combinations(baskets: DataFrame, size: int, max_tables: int = MAX_TA
     each member's own count.  At most C(max_tables, size) rows per query."""
     members = [f"table_{x}" for x in LETTERS[:size]]
     counted = _count_combinations(baskets.filter(F.size("tables") <= max_tables), size)
-    single = _count_tables(baskets)
+    single = small_side(_count_tables(baskets))
     for m in members:
         own = single.select(F.col("full_name").alias(m), F.col("count").alias(f"{m}_count"))
         counted = counted.join(own, m)
@@ -83,19 +88,19 @@ def popular_combinations(baskets: DataFrame, size: int, max_tables: int = MAX_TA
 
 
 def popular_pairs(df: DataFrame, max_tables: int = MAX_TABLES) -> DataFrame:
-    return popular_combinations(query_tables(df), 2, max_tables)
+    return popular_combinations(held(query_tables(df)), 2, max_tables)
 
 
 def popular_triples(df: DataFrame, max_tables: int = MAX_TABLES) -> DataFrame:
-    return popular_combinations(query_tables(df), 3, max_tables)
+    return popular_combinations(held(query_tables(df)), 3, max_tables)
 
 
 def popular_quads(df: DataFrame, max_tables: int = MAX_TABLES) -> DataFrame:
-    return popular_combinations(query_tables(df), 4, max_tables)
+    return popular_combinations(held(query_tables(df)), 4, max_tables)
 
 
 def popular_quints(df: DataFrame, max_tables: int = MAX_TABLES) -> DataFrame:
-    return popular_combinations(query_tables(df), 5, max_tables)
+    return popular_combinations(held(query_tables(df)), 5, max_tables)
 
 
 def top_combinations(baskets: DataFrame, size: int, k: int, small: int = MAX_TABLES) -> DataFrame:
@@ -126,11 +131,11 @@ def top_combinations(baskets: DataFrame, size: int, k: int, small: int = MAX_TAB
 
 
 def top_pairs_uncapped(df: DataFrame, k: int = 30) -> DataFrame:
-    return top_combinations(query_tables(df), 2, k)
+    return top_combinations(held(query_tables(df)), 2, k)
 
 
 def top_triples_uncapped(df: DataFrame, k: int = 20) -> DataFrame:
-    return top_combinations(query_tables(df), 3, k)
+    return top_combinations(held(query_tables(df)), 3, k)
 
 
 # --- Pareto -----------------------------------------------------------------

@@ -6,37 +6,48 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sqltext as sx
+from ..session import small_side
+from .incremental import remaining
 
 
-def _refs(queries: DataFrame) -> DataFrame:
-    """(query_id, ns, tbl) per distinct reference of a query, lower case."""
-    keyword = F.lit(sx.MENTION)
-    sql = F.col("query_sql")
-    pairs = F.arrays_zip(
-        F.transform(F.regexp_extract_all(sql, keyword, F.lit(1)), F.lower).alias("ns"),
-        F.transform(F.regexp_extract_all(sql, keyword, F.lit(2)), F.lower).alias("tbl"),
-    )
-    return queries.select("query_id", F.inline(F.array_distinct(pairs)).alias("ns", "tbl"))
-
-
-def mentions_table(queries: DataFrame, tables: DataFrame) -> DataFrame:
-    """(query_id, full_name): the query has FROM / JOIN namespace.table.
+def reference_map(queries: DataFrame, tables: DataFrame) -> DataFrame:
+    """(ref, full_name, ns, cut): which popular tables a reference means.
 
     The name has no end anchor: ``dex.trades`` is also found in
-    ``dex.trades_v2``.  So a reference matches the popular tables that equal one
-    of its prefixes.  Prefixes are formed once per distinct reference, which is
-    a dictionary-sized table, and matched by equality; the log then joins that
-    mapping by reference.  No query is compared with each table.
+    ``dex.trades_v2``.  So a reference means the popular tables that equal one of
+    its prefixes.  Prefixes are formed once per distinct reference, which is a
+    dictionary-sized table, and matched by equality; no query is compared with
+    each table.
     """
-    refs = _refs(queries)
-    names = refs.select("ns", "tbl").distinct()
-    cuts = F.transform(F.sequence(F.lit(1), F.length("tbl")), lambda i: F.substring(F.col("tbl"), F.lit(1), i))
+    refs = queries.select(F.explode(sx.mentions("query_sql")).alias("ref")).distinct()
+    name = F.substring_index("ref", ".", -1)
+    cuts = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.substring(name, F.lit(1), i))
     wanted = tables.select(
         F.lower("namespace").alias("ns"), F.lower(F.col("table")).alias("cut"), "full_name"
     ).distinct()
-    mapping = names.select("ns", "tbl", F.explode(cuts).alias("cut")).join(wanted, ["ns", "cut"])
-    hits = refs.join(mapping.select("ns", "tbl", "full_name"), ["ns", "tbl"])
-    return hits.select("query_id", "full_name").distinct()
+    parts = refs.select("ref", F.substring_index("ref", ".", 1).alias("ns"), F.explode(cuts).alias("cut"))
+    return parts.join(wanted, ["ns", "cut"]).select("ref", "full_name", "ns", "cut")
+
+
+def _matched(rows: DataFrame, mapping: DataFrame) -> DataFrame:
+    """rows x the popular tables they mention, each table once per row.
+
+    The mapping is held and counted, and broadcast if it is small; rows then stay
+    where they are.  Two references of a row may mean the same table: the first
+    of them is kept, which the row decides from its own list, without a shuffle.
+    """
+    mapping = small_side(mapping)
+    named = rows.withColumn("_refs", sx.mentions("query_sql"))
+    hits = named.select(*rows.columns, "_refs", F.explode("_refs").alias("ref")).join(mapping, "ref")
+    target = F.concat(F.col("ns"), F.lit("."), F.col("cut"))
+    first = F.try_element_at(F.filter("_refs", lambda r: F.startswith(r, target)), F.lit(1))
+    return hits.filter(F.col("ref") == first).select(*rows.columns, "full_name")
+
+
+def mentions_table(queries: DataFrame, tables: DataFrame) -> DataFrame:
+    """(query_id, full_name): the query has FROM / JOIN namespace.table."""
+    rows = queries.select("query_id", "query_sql")
+    return _matched(rows, reference_map(queries, tables)).drop("query_sql")
 
 
 def _route(
@@ -52,10 +63,8 @@ def _route(
     n = sx.distinct_ref_count("query_sql")
     rows = rows.filter(n > 1 if multi else n == 1)
     if seen is not None:
-        done = seen.select(F.col("query_id").cast("string").alias("_seen"))
-        rows = rows.join(done, F.col("query_id").cast("string") == F.col("_seen"), "left_anti")
-    # Names are matched on (id, reference) only; the wide rows join once, by id.
-    return rows.join(mentions_table(rows, popular), "query_id")
+        rows = remaining(rows, seen)
+    return _matched(rows, reference_map(queries, popular))
 
 
 def route_single(

@@ -125,7 +125,7 @@ def vector_topk(
     home = home.select("query_id", "embedding", F.concat_ws("/", "_cell", F.lit(0)).alias("_block"), chunk)
     bounded = (
         home.groupBy("_block", "_chunk")
-        .cogroup(blocked.groupBy("_block", "_chunk"))
+        .cogroup(blocked.filter(F.endswith("_block", F.lit("/0"))).groupBy("_block", "_chunk"))
         .applyInPandas(bound, f"{vec}, _tau double")
     )
     routed = bounded.mapInPandas(route, f"{vec}, _blocks array<string>").select(
@@ -158,18 +158,21 @@ def label_features(label: Column) -> Column:
     return F.array_distinct(F.concat(words, pairs))
 
 
-def nearest_label(labels: DataFrame, existing: DataFrame, fallback: str = "none") -> DataFrame:
+def nearest_label(
+    labels: DataFrame, existing: DataFrame, fallback: str = "none", bounded: bool = False
+) -> DataFrame:
     """(label, nearest, score): highest Jaccard over words and word pairs, least
     label on a tie (also when nothing is shared), `fallback` when none exists.
 
-    Only labels that share a feature meet.  Works on distinct labels; the
-    existing ones are a capped vocabulary.
+    Only labels that share a feature meet, and both sides are distinct labels.
+    `bounded` says that a cap limits the existing ones; they are broadcast then.
     """
     asked = labels.select("label").distinct().withColumn("_f", label_features(F.col("label")))
     known = existing.select(F.col("label").alias("nearest")).distinct()
     known = known.withColumn("_g", label_features(F.col("nearest")))
     left = asked.select("label", F.size("_f").alias("_nf"), F.explode("_f").alias("feature"))
     right = known.select("nearest", F.size("_g").alias("_ng"), F.explode("_g").alias("feature"))
+    right = F.broadcast(right) if bounded else right
     shared = left.join(right, "feature").groupBy("label", "nearest").agg(
         F.count(F.lit(1)).alias("n"), F.first("_nf").alias("nf"), F.first("_ng").alias("ng")
     )

@@ -65,8 +65,8 @@ def _toolbox(t):
     mapping = held(mapping)
     log = t.corpus()
     domain = dm.vote_domain(log, mapping)
-    features = tb.feature_text(log).select(
-        "query_id", "features", sx.shape_v2("query_sql").alias("g5"), "query_engine", "is_private", "owner"
+    features = sx.add_shape_v2(tb.feature_text(log)).select(
+        "query_id", "features", "g5", "query_engine", "is_private", "owner"
     )
     queries = features.join(domain, "query_id")
     g3 = F.concat(F.lit("gold_"), F.replace(F.trim(F.lower("owner")), F.lit(" "), F.lit("_")))

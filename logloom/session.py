@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "20g") -> SparkSession:
@@ -55,3 +56,13 @@ def held(df: DataFrame) -> DataFrame:
     """
     scratch_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_ROWS = 200_000  # narrow dictionary rows; some tens of megabytes
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A dictionary for one side of a join, held and counted: broadcast up to `rows`
+    rows, otherwise a shuffle join, which adaptive execution splits where skewed."""
+    kept = held(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept

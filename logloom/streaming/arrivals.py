@@ -35,10 +35,11 @@ def stream_new_queries(stream: DataFrame, ledger_path: str, checkpoint: str, ord
         first = batch.withColumn("query_id", F.col("query_id").cast("string")).groupBy("query_id").agg(
             F.min(F.struct(order, *rest)).alias("_r")
         )
-        first = first.select("query_id", f"_r.{order}", *[f"_r.{c}" for c in rest])
+        first = first.select("query_id", f"_r.{order}", *[f"_r.{c}" for c in rest]).persist()
         known = _ledger(spark, ledger_path, batch_id).join(first.select("query_id"), "query_id", "left_semi")
         fresh = first.join(known, "query_id", "left_anti")
         fresh.write.mode("overwrite").parquet(f"{ledger_path}/batch_id={batch_id}")
+        first.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write)
