@@ -47,8 +47,8 @@ def statement_features(df: DataFrame) -> DataFrame:
 def cte_components(df: DataFrame, last_label: str = "Finally") -> DataFrame:
     """One row per step of a statement, in order."""
     parts = df.select("query_id", sx.cte_parts("query_sql", last_label).alias("_parts"))
-    return parts.select("query_id", F.posexplode("_parts").alias("step_no", "_p")).select(
-        "query_id", "step_no", "_p.label", "_p.fragment"
+    return parts.select("query_id", F.posexplode("_parts").alias("_at", "_p")).select(
+        "query_id", F.col("_at").cast("long").alias("step_no"), "_p.label", "_p.fragment"
     )
 
 

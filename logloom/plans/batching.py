@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.sqltext import est_tokens
 from ..operators import incremental as inc
 from ..operators import packing, routing
 from ..session import held, scratch_path
 from ..sources import files
+from ..sources.log import LOG_COLUMNS
 from ..streaming import arrivals
 from .catalog import query
 from .corpus import ARRIVALS, CORPUS, LINKS
+from .ingesting import sql_literal
 from .popularity import CORPUS_IMPACT, REF, top_tables
 
 # Routing: the same test as a regular expression per (query, table).
@@ -135,8 +138,6 @@ def _(t):
 )
 def _(t):
     rows = t.corpus().withColumn("_text_id", F.col("query_id").cast("string"))
-    from ..functions.sqltext import est_tokens
-
     return packing.pack_rows_tokens(
         rows, 90, 8000, "query_engine", ["query_id"], est_tokens("_text_id", "name", "query_sql")
     )
@@ -262,12 +263,26 @@ def _(t):
     return arrivals.read_ledger(t.spark, ledger)
 
 
-@query("export_inserts")
+EXPORT_BYTES = 40 * 1024 * 1024
+STATEMENT = (
+    "'INSERT INTO \"Query\" (" + ", ".join(f'"{c}"' for c in LOG_COLUMNS) + ") VALUES (' || "
+    + " || ', ' || ".join(sql_literal(c) for c in LOG_COLUMNS) + " || ');' || chr(10)"
+)
+
+
+@query(
+    "export_inserts",
+    packing_check(
+        f"""SELECT full_name, query_id, {STATEMENT} AS statement FROM ({HITS} SELECT * FROM hits WHERE n_refs = 1) h""",
+        "full_name", "query_id", "octet_length(encode(statement))", BEFORE_OVERFLOW.format(budget=EXPORT_BYTES),
+        ", 'file' || CASE WHEN batch_no = 0 THEN '' ELSE CAST(batch_no + 1 AS VARCHAR) END || '.sql' AS file_name",
+    ),
+)
 def _(t):
-    """Single-table queries as INSERT files per popular table, 40 MB each."""
+    """Single-table queries as files of INSERT statements per popular table."""
     log, top = t.corpus(), top_tables(t)
     rows = held(files.render_inserts(routing.route_single(log, top)).select("full_name", "query_id", "statement"))
-    chunks = packing.chunk_bytes(rows, 40 * 1024 * 1024, "full_name", ["query_id"], "statement")
+    chunks = held(packing.chunk_bytes(rows, EXPORT_BYTES, "full_name", ["query_id"], "statement"))
     path = scratch_path(t.spark, "export")
     packing.write_chunks(rows, chunks, path, "full_name", ["query_id"], "statement")
-    return chunks.groupBy("full_name", "file_name").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    return chunks

@@ -12,7 +12,7 @@ from .catalog import query
 from .corpus import CORPUS, TAXONOMY
 from .ingesting import STRIP
 from .popularity import PREFIX_COUNTS, SIMPLE
-from .texts import ORDERED_SQL
+from .texts import ALIASES, LOG, ORDERED_SQL, SLUG, SLUGS
 
 
 def _values(rows, columns):
@@ -96,19 +96,24 @@ def _(t):
     return dm.keyword_domain(t.corpus()).select("query_id", "g1", "g2", "g3")
 
 
-@query(
-    "query_domain",
-    f"""{ALL}, k AS (SELECT query_id, string_split({KEYWORDS}, ' ') AS v
+DOMAIN = f"""{ALL}, k AS (SELECT query_id, string_split({KEYWORDS}, ' ') AS v
   FROM (SELECT query_id, lower(coalesce(query_sql, '')) AS q FROM corpus)),
 first_hit AS (SELECT r.query_id, arg_min(l.g1, ord) AS g1, arg_min(l.g2, ord) AS g2, arg_min(l.g3, ord) AS g3
-  FROM refs r JOIN looked l ON l."table" = r."table" WHERE l.g1 IS NOT NULL GROUP BY 1)
-SELECT query_id, coalesce(g1, v[1]) AS g1, coalesce(g2, v[2]) AS g2, coalesce(g3, v[3]) AS g3 FROM k LEFT JOIN first_hit USING (query_id)""",
-)
+  FROM refs r JOIN looked l ON l."table" = r."table" WHERE l.g1 IS NOT NULL GROUP BY 1),
+domain_of AS (SELECT query_id, coalesce(g1, v[1]) AS g1, coalesce(g2, v[2]) AS g2, coalesce(g3, v[3]) AS g3 FROM k LEFT JOIN first_hit USING (query_id))"""
+
+
+@query("query_domain", f"{DOMAIN} SELECT * FROM domain_of")
 def _(t):
     return dm.query_domain(t.corpus(), t.sql(TAXONOMY), _overrides(t))
 
 
-@query("classify_rules")
+@query(
+    "classify_rules",
+    f"""{DOMAIN}, {SLUGS.removeprefix(LOG + ", ")}
+SELECT query_id, d.g1, d.g2, {SLUG} AS g3, {ALIASES} AS g4, g5
+FROM slugs JOIN domain_of d USING (query_id) JOIN orders ON o_orderkey = query_id""",
+)
 def _(t):
     return dm.classify_rules(t.corpus(), t.sql(TAXONOMY), _overrides(t))
 

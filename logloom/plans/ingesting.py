@@ -71,7 +71,7 @@ def _(t):
     return files.read_labels(t.spark, path)
 
 
-def _sql_literal(c):
+def sql_literal(c):
     v = f"CAST({c} AS VARCHAR)"
     return (
         f"CASE WHEN {v} IS NULL OR {STRIP(v)} IN ('', 'None', 'nan', 'NULL') THEN 'NULL' "
@@ -84,7 +84,7 @@ def _sql_literal(c):
     f"WITH corpus AS ({CORPUS}) SELECT query_id, 'INSERT INTO \"Query\" ("
     + ", ".join(f'"{c}"' for c in log.LOG_COLUMNS)
     + ") VALUES (' || "
-    + " || ', ' || ".join(_sql_literal(c) for c in log.LOG_COLUMNS)
+    + " || ', ' || ".join(sql_literal(c) for c in log.LOG_COLUMNS)
     + " || ');' || chr(10) AS statement FROM corpus",
 )
 def _(t):

