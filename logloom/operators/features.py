@@ -39,7 +39,7 @@ def statement_features(df: DataFrame) -> DataFrame:
         {
             "intent_type": sx.intent_type("query_sql"),
             "has_unnest": sx.has_unnest("query_sql"),
-            "tables": F.array_sort(F.array_distinct(sx.ordered_tables("query_sql"))),
+            "tables": F.sort_array(F.array_distinct(sx.ordered_tables("query_sql"))),
         }
     )
 

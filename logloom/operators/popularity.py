@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sqltext as sx
 from ..functions.ordering import BLOCK, dense_position, running
+from ..functions.text import computed
 from ..session import held, small_side
 
 MAX_TABLES = 6  # queries above this are dashboards, not join patterns
@@ -21,8 +22,8 @@ def query_tables(df: DataFrame) -> DataFrame:
     Written once, this narrow table serves every count below; the functions that
     take a log and read it more than once hold it, so the SQL is scanned once.
     """
-    names = df.select("query_id", F.array_sort(sx.qualified_tables("query_sql")).alias("tables"))
-    return names.filter(F.size("tables") >= 2)
+    names = computed(df.select("query_id", "query_sql"), tables=F.sort_array(sx.qualified_tables("query_sql")))
+    return names.filter(F.size("tables") >= 2).select("query_id", "tables")
 
 
 def _count_tables(baskets: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def top_combinations(baskets: DataFrame, size: int, k: int, small: int = MAX_TAB
         .select("query_id", F.explode("tables").alias("full_name"))
         .join(frequent, "full_name", "left_semi")
         .groupBy("query_id")
-        .agg(F.array_sort(F.collect_list("full_name")).alias("tables"))
+        .agg(F.sort_array(F.collect_list("full_name")).alias("tables"))
     )
     counted = _count_combinations(narrow.unionByName(wide), size)
     top = counted.orderBy(F.desc("count"), *members).limit(k)

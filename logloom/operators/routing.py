@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sqltext as sx
+from ..functions.text import computed
 from ..session import small_side
 from .incremental import remaining
 
@@ -37,7 +38,7 @@ def _matched(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     of them is kept, which the row decides from its own list, without a shuffle.
     """
     mapping = small_side(mapping)
-    named = rows.withColumn("_refs", sx.mentions("query_sql"))
+    named = computed(rows, _refs=sx.mentions("query_sql"))
     hits = named.select(*rows.columns, "_refs", F.explode("_refs").alias("ref")).join(mapping, "ref")
     target = F.concat(F.col("ns"), F.lit("."), F.col("cut"))
     first = F.try_element_at(F.filter("_refs", lambda r: F.startswith(r, target)), F.lit(1))

@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import held
+
 PIVOTS = 64
 ITEM_ROWS = 4096  # vectors of one item block
 QUERY_ROWS = 16384  # vectors of one query chunk
@@ -147,41 +149,66 @@ def vector_topk(
 # --- labels -----------------------------------------------------------------
 
 
-def label_features(label: Column) -> Column:
-    """Words of a snake_case label and its pairs of neighbours, as a set."""
-    words = F.split(label, "_")
-    n = F.size(words) - 1
-    pairs = F.when(
-        n > 0,
-        F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit("_"), b)),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(words, pairs))
+LABEL_ROWS = 2048  # existing labels of one block
+ASKED_ROWS = 20_000  # labels of one chunk
+
+
+def _label_grams(label: str) -> set[str]:
+    """Words of a snake_case label and its pairs of neighbours."""
+    words = label.split("_")
+    return {*words, *("_".join(pair) for pair in zip(words, words[1:]))}
 
 
 def nearest_label(
-    labels: DataFrame, existing: DataFrame, fallback: str = "none", bounded: bool = False
+    labels: DataFrame,
+    existing: DataFrame,
+    fallback: str = "none",
+    label_rows: int = LABEL_ROWS,
+    asked_rows: int = ASKED_ROWS,
 ) -> DataFrame:
     """(label, nearest, score): highest Jaccard over words and word pairs, least
     label on a tie (also when nothing is shared), `fallback` when none exists.
 
-    Only labels that share a feature meet, and both sides are distinct labels.
-    `bounded` says that a cap limits the existing ones; they are broadcast then.
+    A word that most labels share would pair nearly all with all in a join on
+    words.  So chunks of asked labels meet blocks of existing ones, both of
+    bounded size; a task keeps one best label per asked label, and no pair leaves it.
     """
-    asked = labels.select("label").distinct().withColumn("_f", label_features(F.col("label")))
-    known = existing.select(F.col("label").alias("nearest")).distinct()
-    known = known.withColumn("_g", label_features(F.col("nearest")))
-    left = asked.select("label", F.size("_f").alias("_nf"), F.explode("_f").alias("feature"))
-    right = known.select("nearest", F.size("_g").alias("_ng"), F.explode("_g").alias("feature"))
-    right = F.broadcast(right) if bounded else right
-    shared = left.join(right, "feature").groupBy("label", "nearest").agg(
-        F.count(F.lit(1)).alias("n"), F.first("_nf").alias("nf"), F.first("_ng").alias("ng")
+    asked = held(labels.select("label").distinct())
+    known = held(existing.select(F.col("label").alias("nearest")).distinct())
+    blocks = math.ceil(known.count() / label_rows)
+    chunks = max(1, math.ceil(asked.count() / asked_rows))
+    if not blocks:
+        return asked.select("label", F.lit(fallback).alias("nearest"), F.lit(0.0).alias("score"))
+
+    def search(a: pd.DataFrame, k: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(k):
+            return pd.DataFrame(columns=["label", "nearest", "score"])
+        names = np.sort(k["nearest"].to_numpy().astype(object))
+        grams = [_label_grams(n) for n in names]
+        place = {g: i for i, g in enumerate(sorted(set().union(*grams)))}
+        has = np.zeros((len(place), len(names)), dtype=np.int16)
+        for j, members in enumerate(grams):
+            has[[place[g] for g in members], j] = 1
+        sizes = np.array([len(g) for g in grams])
+        best, score = [], []
+        for label in a["label"]:
+            own = _label_grams(label)
+            shared = has[[place[g] for g in own if g in place]].sum(axis=0)
+            jaccard = shared / (len(own) + sizes - shared)
+            at = int(jaccard.argmax())  # the first of equals is the least label
+            best.append(names[at])
+            score.append(float(jaccard[at]))
+        return pd.DataFrame({"label": a["label"], "nearest": best, "score": score})
+
+    spread = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("label", spread("label", chunks).alias("_chunk"), every(blocks).alias("_block"))
+    right = known.select("nearest", every(chunks).alias("_chunk"), spread("nearest", blocks).alias("_block"))
+    found = (
+        left.groupBy("_chunk", "_block")
+        .cogroup(right.groupBy("_chunk", "_block"))
+        .applyInPandas(search, "label string, nearest string, score double")
     )
-    score = F.col("n") / (F.col("nf") + F.col("ng") - F.col("n"))
     # min over (-score, label): best score first, then the least label
-    best = shared.groupBy("label").agg(F.min(F.struct((-score).alias("s"), "nearest")).alias("b"))
-    least = known.agg(F.min("nearest")).scalar()
-    return asked.select("label").join(best, "label", "left").select(
-        "label",
-        F.coalesce("b.nearest", least, F.lit(fallback)).alias("nearest"),
-        F.round(F.coalesce(-F.col("b.s"), F.lit(0.0)), 6).alias("score"),
-    )
+    best = found.groupBy("label").agg(F.min(F.struct((-F.col("score")).alias("s"), "nearest")).alias("b"))
+    return best.select("label", "b.nearest", F.round(-F.col("b.s"), 6).alias("score"))

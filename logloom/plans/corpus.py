@@ -49,6 +49,9 @@ SELECT {query_id} AS query_id, {pos} AS pos,
 FROM {source}"""
 
 
+# Tables that logs are made from.
+LOG_SOURCES = {"orders", "events"}
+
 # One query per order; ids are unique.
 CORPUS = log_sql("orders", "o_orderkey", "o_orderkey", "o_orderkey", "o_custkey", "o_orderpriority")
 
@@ -109,7 +112,7 @@ SELECT o_orderkey AS pos, CASE WHEN o_orderkey % 19 = 0 THEN ' ' ELSE concat('g'
   'Point Value' AS g4, concat('order ', CAST(o_orderkey AS VARCHAR(20))) AS g5,
   concat('Counts ', o_orderpriority) AS description, 'generic' AS scope, '[]' AS returns, 'table' AS viz, '[]' AS inputs,
   o_orderkey AS query_id
-FROM orders JOIN (SELECT s.*, (SELECT count(*) FROM supplier) AS n FROM supplier s) s ON o_custkey % n = s_suppkey"""
+FROM (SELECT o.*, o_custkey % (SELECT count(*) FROM supplier) AS k FROM orders o) o JOIN supplier ON k = s_suppkey"""
 
 # Batches of five orders, and a model's reply per batch as written by the SQL.
 MEMBERS = """
@@ -133,9 +136,16 @@ class Inputs:
         """Run portable SQL over the given tables."""
         for name in TABLES:
             if name in text:
-                self.table(name).createOrReplaceTempView(name)
+                rows = self.table(name)
+                (self.spread(rows) if name in LOG_SOURCES else rows).createOrReplaceTempView(name)
         return self.spark.sql(text)
 
+    def spread(self, rows: DataFrame) -> DataFrame:
+        """Sources of a log come as one small file here; their texts are made and
+        scanned on all cores.  Large input has more splits than cores and stays as it is."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores // 2 else rows
+
     def corpus(self) -> DataFrame:
         return self.sql(CORPUS)
 

@@ -68,7 +68,7 @@ def _toolbox(t):
     features = sx.add_shape_v2(tb.feature_text(log)).select(
         "query_id", "features", "g5", "query_engine", "is_private", "owner"
     )
-    queries = features.join(domain, "query_id")
+    queries = held(features.join(domain, "query_id"))  # read for the gold rows, the match and its boosts
     g3 = F.concat(F.lit("gold_"), F.replace(F.trim(F.lower("owner")), F.lit(" "), F.lit("_")))
     gold = queries.filter(GOLD_WHERE).select(
         F.col("query_id").alias("pos"), g3.alias("g3"), F.lit("day|value").alias("g4"), F.lit("time_series").alias("g5"), "domain", "features"

@@ -110,7 +110,7 @@ def part_baskets(t):
     rows = t.sql("SELECT l_orderkey AS query_id, concat('ns.p', CAST(l_partkey % 50 AS VARCHAR(20))) AS full_name FROM lineitem")
     return (
         rows.groupBy("query_id")
-        .agg(F.array_sort(F.collect_set("full_name")).alias("tables"))
+        .agg(F.sort_array(F.collect_set("full_name")).alias("tables"))
         .filter(F.size("tables") >= 2)
     )
 

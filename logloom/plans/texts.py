@@ -29,7 +29,7 @@ FROM corpus""",
 )
 def _(t):
     rows = ft.tables_qualified(t.corpus())
-    return rows.select("query_id", joined(F.array_sort("tables")))
+    return rows.select("query_id", joined(F.sort_array("tables")))
 
 
 ORDERED_SQL = (
