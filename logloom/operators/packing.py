@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sqltext as sx
 from ..functions.ordering import dense_position, running
+from ..session import held
 
 _EXIT = "{g}, _block long, _interval long, _entry long, _to long, _x long, _batches long"
 
@@ -193,7 +194,7 @@ def pack(
     """
     if rule.rows is None:
         size = F.greatest(size, F.lit(1))
-    rows = _numbered(df, group, order, size, rule, span)
+    rows = held(_numbered(df, group, order, size, rule, span))  # ids and sizes, read twice
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = _EXIT.format(g=f"{group} {kinds[group]}")
     width = (rule.rows or rule.budget) * span

@@ -11,8 +11,9 @@ from ..session import held, scratch_path
 from ..sources import files
 from ..sources.log import LOG_COLUMNS
 from ..streaming import arrivals
+from . import flows
 from .catalog import query
-from .corpus import ARRIVALS, CORPUS, LINKS
+from .corpus import ARRIVALS, CORPUS, LINKS, TOOLS
 from .ingesting import sql_literal
 from .popularity import CORPUS_IMPACT, REF, top_tables
 
@@ -286,3 +287,33 @@ def _(t):
     path = scratch_path(t.spark, "export")
     packing.write_chunks(rows, chunks, path, "full_name", ["query_id"], "statement")
     return chunks
+
+
+# --- a whole round ----------------------------------------------------------
+
+
+def _one_tool(prompt: str) -> str:
+    """Stands for a model: one tool per batch, named after its first query's kind."""
+    ids = [line[1 : line.index("]")] for line in prompt.split("\n") if line.startswith("[") and "]" in line]
+    return f"## Found\ng1: round\ng3: tool_{int(ids[0]) % 3}\nsource_query_ids: {','.join(ids)}\n"
+
+
+ROUND = f"""{HITS}, ledger AS ({LEDGER}), links AS ({LINKS}),
+todo AS (SELECT DISTINCT CAST(query_id AS VARCHAR) AS query_id FROM hits WHERE n_refs >= 1 AND length(query_sql) <= 1000
+  AND CAST(query_id AS VARCHAR) NOT IN (SELECT query_id FROM ledger) AND CAST(query_id AS VARCHAR) NOT IN (SELECT value FROM links))"""
+
+
+def _round(t):
+    tools = t.sql(TOOLS).drop("usage_count", "last_used_at")
+    state = flows.Registry(tools, t.sql(LINKS), t.sql(LEDGER))
+    return flows.extract_round(t.corpus(), top_tables(t), state, _one_tool, rows=50, tokens=5000)
+
+
+@query("extract_round_ledger", f"{ROUND} SELECT query_id FROM ledger UNION SELECT query_id FROM todo")
+def _(t):
+    return _round(t).ledger.select("query_id")
+
+
+@query("extract_round_sources", f"{ROUND} SELECT value FROM links UNION SELECT query_id FROM todo")
+def _(t):
+    return _round(t).links.select("value").distinct()

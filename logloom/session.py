@@ -16,6 +16,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "20
         .appName("logloom")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # small shuffles carry texts that are dear to parse: keep them on all cores
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
