@@ -182,7 +182,7 @@ def prefix_counts(*logs: DataFrame, n: int | None = None) -> DataFrame:
     sql = reduce(DataFrame.unionByName, [df.select("query_sql") for df in logs])
     names = sql.select(F.explode(sx.simple_tables("query_sql")).alias("t"))
     # count tables first: prefixes are then summed over distinct tables only
-    tables = names.groupBy("t").agg(F.count(F.lit(1)).alias("count"))
+    tables = held(names.groupBy("t").agg(F.count(F.lit(1)).alias("count")))
     by_prefix = tables.groupBy(sx.prefix_of("t").alias("name")).agg(F.sum("count").alias("count"))
     out = tables.select(F.lit("table").alias("kind"), F.col("t").alias("name"), "count").unionByName(
         by_prefix.select(F.lit("prefix").alias("kind"), "name", "count")

@@ -39,11 +39,12 @@ def merge_links(tools: DataFrame, links: DataFrame, new: DataFrame) -> DataFrame
     ids = tools.select("g1", "g3", "tool_id")
     rows = _keyed(new).join(ids, ["g1", "g3"], "left")
     target = F.coalesce("tool_id", F.concat_ws(".", "g1", "g3")).alias("tool_id")
-    parts = [
-        rows.select(target, F.lit(kind).alias("kind"), F.explode(column).alias("value"))
-        for kind, column in (("source", "source_query_ids"), ("combines", "combines"))
-    ]
-    return links.select("tool_id", "kind", "value").union(parts[0]).union(parts[1]).distinct()
+    listed = lambda kind, column: F.transform(
+        F.coalesce(column, F.array().cast("array<string>")),
+        lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")),
+    )
+    both = F.concat(listed("source", "source_query_ids"), listed("combines", "combines"))
+    return links.select("tool_id", "kind", "value").union(rows.select(target, F.inline(both))).distinct()
 
 
 def _keyed(new: DataFrame) -> DataFrame:

@@ -102,14 +102,17 @@ def _(t):
 
 # YAML lines from parts: brands are files, types are sources, parts are tables.  Five
 # lines per part; the line number follows the part key.
-YAML = """
-SELECT p_brand AS file, CAST(p_partkey * 5 + k AS BIGINT) AS line_no,
-  CASE k WHEN 0 THEN CASE WHEN p_partkey % 3 = 0 THEN concat('  - name: ', p_type) ELSE '# comment' END
-         WHEN 1 THEN CASE WHEN p_partkey % 3 = 0 THEN '    schema: x' ELSE '' END
-         WHEN 2 THEN CASE WHEN p_partkey % 4 = 0 THEN '    tables:' WHEN p_partkey % 4 = 1 THEN '   meta: y' ELSE '        columns:' END
-         WHEN 3 THEN concat('      - name: ', p_name, ' ')
-         ELSE '          - name: column' END AS line
-FROM part CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) k"""
+_LINES = [
+    "CASE WHEN p_partkey % 3 = 0 THEN concat('  - name: ', p_type) ELSE '# comment' END",
+    "CASE WHEN p_partkey % 3 = 0 THEN '    schema: x' ELSE '' END",
+    "CASE WHEN p_partkey % 4 = 0 THEN '    tables:' WHEN p_partkey % 4 = 1 THEN '   meta: y' ELSE '        columns:' END",
+    "concat('      - name: ', p_name, ' ')",
+    "'          - name: column'",
+]
+YAML = " UNION ALL ".join(
+    f"SELECT p_brand AS file, CAST(p_partkey * 5 + {k} AS BIGINT) AS line_no, {line} AS line FROM part"
+    for k, line in enumerate(_LINES)
+)
 YAML_CHECK = f"""WITH lines AS ({YAML}), a AS (
   SELECT *, trim(line) AS s, length(line) - length(ltrim(line)) AS indent FROM lines WHERE trim(line) <> '' AND trim(line) NOT LIKE '#%'),
 b AS (SELECT *, CASE WHEN indent = 2 AND s LIKE '- name:%' THEN trim(substr(s, 8)) END AS src,

@@ -123,7 +123,7 @@ SELECT row_number() OVER (ORDER BY combos."count" DESC, table_a, table_b) AS ran
 FROM combos JOIN counted ca ON ca.full_name = table_a JOIN counted cb ON cb.full_name = table_b""",
 )
 def _(t):
-    return pop.popular_combinations(part_baskets(t), 2)
+    return pop.popular_combinations(held(part_baskets(t)), 2)
 
 
 @query(
@@ -132,7 +132,7 @@ def _(t):
 SELECT row_number() OVER (ORDER BY "count" DESC, table_a, table_b, table_c) AS rank, * FROM combos ORDER BY rank LIMIT 20""",
 )
 def _(t):
-    return pop.top_combinations(part_baskets(t), 3, 20)
+    return pop.top_combinations(held(part_baskets(t)), 3, 20)
 
 
 # --- Pareto -----------------------------------------------------------------
