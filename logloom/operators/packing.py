@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sqltext as sx
 from ..functions.ordering import dense_position, running
+from ..functions.text import col
 from ..session import held
 
 _EXIT = "{g}, _block long, _interval long, _entry long, _to long, _x long, _batches long"
@@ -115,6 +116,18 @@ def _exits(rows: DataFrame, group: str, schema: str, rule: Rule, span: int, bloc
     return seen.groupBy(group, "_interval").applyInPandas(per_interval, schema)
 
 
+def _reachable(exits: DataFrame, group: str) -> DataFrame:
+    """Only entries that some exit leads to, and each group's first row.
+
+    Chains from different rows of an interval soon run into each other, so of
+    the many rows that could be a first start only a few are ever reached.
+    """
+    targets = exits.select(group, F.col("_to").alias("_entry")).union(
+        exits.groupBy(group).agg(F.min("_entry").alias("_entry"))
+    )
+    return held(exits.join(targets.distinct(), [group, "_entry"], "left_semi").select(*exits.columns))
+
+
 def _block_exits(exits: DataFrame, group: str, schema: str, width: int, blocks: int) -> DataFrame:
     """Exits of whole blocks, for the rows of the first interval present in a block:
     rows skipped over by one oversize row leave no rows in between, so a block
@@ -198,7 +211,7 @@ def pack(
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = _EXIT.format(g=f"{group} {kinds[group]}")
     width = (rule.rows or rule.budget) * span
-    exits = _exits(rows, group, schema, rule, span, blocks)
+    exits = _reachable(held(_exits(rows, group, schema, rule, span, blocks)), group)
     entries = _real_entries(exits, group, kinds[group], schema, width, blocks)
     out_schema = ", ".join(
         [f"{c} {kinds[c]}" for c in (group, *order)] + ["size long", "batch_no long"]
@@ -234,6 +247,12 @@ def pack_tokens(
     return pack(df, group, order, cut, Rule(budget), **how)
 
 
+def cut_to_budget(text: Column | str, tokens: Column, budget: int, chars: int = 4) -> Column:
+    """The text that goes with a cut row: budget - 100 tokens of `chars` characters."""
+    text = col(text)
+    return F.when(tokens > budget, F.substring(text, 1, (budget - 100) * chars)).otherwise(text)
+
+
 def pack_rows_tokens(
     df: DataFrame, n: int, limit: int, group: str, order: list[str], tokens: Column | None = None, **how: int
 ) -> DataFrame:
@@ -245,6 +264,7 @@ def pack_rows_tokens(
 def chunk_bytes(df: DataFrame, limit: int, group: str, order: list[str], text: str, **how: int) -> DataFrame:
     """Close a file before the text that would exceed `limit` UTF-8 bytes; a
     larger text has a file of its own.  Files are file.sql, file2.sql, …"""
+    how.setdefault("span", 16)  # byte budgets are large: shorter intervals
     packed = pack(df, group, order, F.octet_length(text), Rule(limit), **how)
     number = F.when(F.col("batch_no") == 0, "").otherwise((F.col("batch_no") + 1).cast("string"))
     return packed.withColumn("file_name", F.concat(F.lit("file"), number, F.lit(".sql")))

@@ -120,12 +120,13 @@ def top_combinations(baskets: DataFrame, size: int, k: int, small: int = MAX_TAB
     frequent = _count_tables(baskets).filter(F.col("count") >= bound).select("full_name")
     wide = (
         baskets.filter(F.size("tables") > small)
-        .select("query_id", F.explode("tables").alias("full_name"))
+        .select(F.monotonically_increasing_id().alias("_row"), "tables")  # ids may be missing
+        .select("_row", F.explode("tables").alias("full_name"))
         .join(frequent, "full_name", "left_semi")
-        .groupBy("query_id")
+        .groupBy("_row")
         .agg(F.sort_array(F.collect_list("full_name")).alias("tables"))
     )
-    counted = _count_combinations(narrow.unionByName(wide), size)
+    counted = _count_combinations(narrow.select("tables").union(wide.select("tables")), size)
     top = counted.orderBy(F.desc("count"), *members).limit(k)
     order = Window.orderBy(F.desc("count"), *members)  # k rows
     return top.withColumn("rank", F.row_number().over(order).cast("long")).select("rank", *members, "count")

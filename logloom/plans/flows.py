@@ -12,7 +12,19 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, incremental, packing, popularity, registry, replies, routing
+from ..functions import sqltext as sx
+from ..functions.ordering import dense_position
+from ..operators import (
+    cleaning,
+    domains,
+    incremental,
+    packing,
+    popularity,
+    registry,
+    replies,
+    routing,
+    toolbox,
+)
 from ..session import held
 from ..sources import files
 
@@ -42,6 +54,40 @@ def export_by_table(log: DataFrame, impact_rows: DataFrame, path: str, chunk_mb:
     return reports[0].unionByName(reports[1])
 
 
+class Toolbox(NamedTuple):
+    queries: DataFrame  # query_id, features, domain, g5
+    gold: DataFrame  # pos, g3, g4, g5, domain, features
+    tools: DataFrame  # tool_ord, g3, g4, g5, domain, text
+
+
+def build_toolbox(log: DataFrame, gold: DataFrame, *more_logs: DataFrame) -> Toolbox:
+    """Learn the domain map from the logs, give each query features, a domain and a
+    shape, and make the toolbox: templates of the active domains and the gold tools.
+
+    `gold` has query_id, g3, g4, g5 of labelled queries of the log.
+    """
+    counts = popularity.prefix_counts(log, *more_logs)
+    mapping = held(domains.domain_map(counts))
+    features = sx.add_shape_v2(toolbox.feature_text(log)).select("query_id", "features", "g5")
+    # read for the gold rows, the match and its boosts
+    queries = held(features.join(domains.vote_domain(log, mapping), "query_id"))
+    labelled = gold.select("query_id", "g3", "g4", F.col("g5").alias("_g5")).join(queries, "query_id")
+    labelled = dense_position(labelled, "query_id", name="pos").select(
+        "pos", "g3", "g4", F.col("_g5").alias("g5"), "domain", "features"
+    )
+    made = toolbox.generate_toolbox(domains.domain_distribution(counts, mapping))
+    return Toolbox(queries, labelled, held(toolbox.add_gold_tools(made, labelled)))
+
+
+def match_log(box: Toolbox, max_features: int = 8000) -> DataFrame:
+    """Best tool of every query; the vocabulary is fitted on tools and gold rows."""
+    texts = box.tools.select(F.concat(F.lit("t"), "tool_ord").alias("doc_id"), "text").unionByName(
+        box.gold.select(F.concat(F.lit("g"), "pos").alias("doc_id"), F.col("features").alias("text"))
+    )
+    vocabulary = held(toolbox.fit_vocabulary(texts, max_features))
+    return toolbox.match_toolbox(box.queries, box.tools, vocabulary, max_features)
+
+
 class Registry(NamedTuple):
     tools: DataFrame
     links: DataFrame

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import sqltext as sx
 from ..functions.text import WORD
 from ..operators import domains as dm
 from ..operators import similarity as sim
 from ..operators import toolbox as tb
 from ..session import held
+from . import flows
 from .catalog import query
 from .classifying import DISTRIBUTION, PAIRS, VOTED, _values, mapped
 from .corpus import CORPUS
@@ -51,7 +51,7 @@ def _(t):
     return tb.feature_text(t.corpus()).select("query_id", "features")
 
 
-GOLD = f"""gold AS (SELECT query_id AS pos, {GOLD_LABELS}, domain, features
+GOLD = f"""gold AS (SELECT row_number() OVER (ORDER BY query_id) AS pos, {GOLD_LABELS}, domain, features
   FROM log JOIN vote USING (query_id) JOIN features USING (query_id) WHERE {GOLD_WHERE}),
 gold_tools AS (SELECT 1099511627776 + pos AS tool_ord, g3, g4, g5, domain,
   replace(g3, '_', ' ') || ' ' || replace(g3, '_', ' ') || ' ' || replace(g3, '_', ' ') || ' ' || g4 || ' ' || domain || ' ' || features AS text FROM gold),
@@ -60,26 +60,17 @@ EVERYTHING = f"{DISTRIBUTION}, {TOOLBOX}, {VOTED}, {FEATURES}, {GOLD}"
 
 
 def _toolbox(t):
-    """(queries, gold rows, tools) over the corpus."""
-    counts, mapping = mapped(t)
-    mapping = held(mapping)
     log = t.corpus()
-    domain = dm.vote_domain(log, mapping)
-    features = sx.add_shape_v2(tb.feature_text(log)).select(
-        "query_id", "features", "g5", "query_engine", "is_private", "owner"
-    )
-    queries = held(features.join(domain, "query_id"))  # read for the gold rows, the match and its boosts
     g3 = F.concat(F.lit("gold_"), F.replace(F.trim(F.lower("owner")), F.lit(" "), F.lit("_")))
-    gold = queries.filter(GOLD_WHERE).select(
-        F.col("query_id").alias("pos"), g3.alias("g3"), F.lit("day|value").alias("g4"), F.lit("time_series").alias("g5"), "domain", "features"
+    gold = log.filter(GOLD_WHERE).select(
+        "query_id", g3.alias("g3"), F.lit("day|value").alias("g4"), F.lit("time_series").alias("g5")
     )
-    tools = tb.add_gold_tools(tb.generate_toolbox(dm.domain_distribution(counts, mapping)), gold)
-    return queries.select("query_id", "features", "domain", "g5"), gold, held(tools)
+    return flows.build_toolbox(log, gold, t.arrivals())
 
 
 @query("add_gold_tools", f"WITH {EVERYTHING} SELECT * FROM tools")
 def _(t):
-    return _toolbox(t)[2]
+    return _toolbox(t).tools
 
 
 def tfidf_sql(fit, source, key, name):
@@ -133,15 +124,6 @@ matched AS (SELECT query_id, coalesce(p.g1, 'activity') AS g1, coalesce(p.g2, 'g
   FROM best JOIN {tools} t USING (tool_ord) LEFT JOIN pair_rows p ON p.domain = t.domain)"""
 
 
-def _matches(t):
-    queries, gold, tools = _toolbox(t)
-    texts = tools.select(F.concat(F.lit("t"), "tool_ord").alias("doc_id"), "text").unionByName(
-        gold.select(F.concat(F.lit("g"), "pos").alias("doc_id"), F.col("features").alias("text"))
-    )
-    vocabulary = held(tb.fit_vocabulary(texts))
-    return tb.match_toolbox(queries, tools, vocabulary), gold, tools
-
-
 MATCHED = f"""{EVERYTHING}, asked AS (SELECT query_id, vote.domain, features AS text, {SHAPE_V2_SQL} AS g5
   FROM (SELECT *, lower(query_sql) AS q FROM log) JOIN vote USING (query_id) JOIN features USING (query_id)),
 fit_gold AS (SELECT features AS text FROM gold), {match_sql('asked', 'tools')}"""
@@ -149,7 +131,7 @@ fit_gold AS (SELECT features AS text FROM gold), {match_sql('asked', 'tools')}""
 
 @query("match_toolbox", f"WITH {MATCHED} SELECT * FROM matched")
 def _(t):
-    return _matches(t)[0].withColumn("score", F.round("score", 6))
+    return flows.match_log(_toolbox(t)).withColumn("score", F.round("score", 6))
 
 
 # Documents matched with benchmark items as tools.

@@ -42,6 +42,14 @@ def to_all_text(df: DataFrame) -> DataFrame:
     return df.select(*[_as_text(f) for f in df.schema.fields])
 
 
+def read_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The log as all text with `pos`, the physical position of a row: its file and
+    its row number there.  It is the same in every run, also after a lost task."""
+    df = spark.read.parquet(*([path] if isinstance(path, str) else path))
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return df.select(*[_as_text(f) for f in df.schema.fields], at.alias("pos"))
+
+
 def load_report(df: DataFrame) -> DataFrame:
     """Rows per input file, and a row with file NULL for the total.
 

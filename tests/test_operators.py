@@ -7,7 +7,10 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from logloom.operators import cleaning, domains, evaluate, incremental, labels, popularity, replies, routing, similarity
+from logloom.plans import flows
 from logloom.sources import files, log
 from logloom.streaming import arrivals
 
@@ -224,6 +227,38 @@ def test_all_text(spark):
     assert got == [("1", "True", None, "a b"), (None, "False", None, "None ")]
 
 
+def test_flows_from_files(spark, tmp_path):
+    """Read, clean, report, export, match: the whole way on a log in two files."""
+    sql = ["select a, b from dex.trades t join prices.usd p on t.x = p.x where n = {}", "select * from dex.trades where n = {}"]
+    rows = [
+        (None if i % 50 == 0 else f"q{i % 90}", f"Name {i}", "about", "[]", sql[i % 2].format(i % 40), "Bo", i % 3)
+        for i in range(200)
+    ]
+    schema = "query_id string, name string, description string, tags string, query_sql string, owner string, version int"
+    path = str(tmp_path / "log")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
+    spark.createDataFrame(rows[:20], schema).coalesce(1).write.mode("append").parquet(path)
+    raw = log.read_log(spark, path)
+    assert raw.select("pos").distinct().count() == 220
+    for name in log.LOG_COLUMNS:
+        if name not in raw.columns:
+            raw = raw.withColumn(name, F.lit(None).cast("string"))
+    assert cleaning.dedupe_by_id(raw).filter("query_id is null").count() == 5
+    cleaned, impact = flows.popularity_report(raw)
+    assert cleaned.count() == 40  # one per text
+    tables = {r.full_name: r.tier for r in impact.collect()}
+    assert set(tables) == {"dex.trades", "prices.usd"}
+    forced = impact.withColumn("tier", F.lit("top_80"))
+    report = flows.export_by_table(cleaned, forced, str(tmp_path / "out"), chunk_mb=0.003).collect()
+    assert {r.mode for r in report} == {"single", "multi"} and max(r.n_bytes for r in report) <= 3145
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out" / "single").rglob("part-*")))
+    assert text.count("INSERT INTO") == 20
+    gold = cleaned.limit(3).select("query_id", F.lit("gold_tool").alias("g3"), F.lit("a|b").alias("g4"), F.lit("series").alias("g5"))
+    named = cleaned.filter("query_id is not null")
+    matches = flows.match_log(flows.build_toolbox(named, gold))
+    assert matches.count() == named.count()
+
+
 def test_yaml_files(spark, tmp_path):
     (tmp_path / "deep").mkdir()
     text = "version: 2\n\nsources:\n  - name: dex\n    # note\n    tables:\n      - name: trades\n        columns:\n          - name: c\n      - name: fees\n    meta: x\n      - name: lost\n  - name: nft\n    tables:\n      - name: mints\n"
