@@ -27,7 +27,7 @@ MAX_EPOCHS = 3
 #: Change of a source's weight over the training, by its place in `WEIGHTS`: the schedule
 #: is 1 - slope at the start and 1 + slope at the end, as a multiple of its mean.
 SLOPES = (0.5, 0.0, -0.5)
-SLICE_ROWS = 1 << 12
+SLICE_ROWS = 1 << 10
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -52,9 +52,9 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int
         .withColumn("open_weight", F.sum("weight").over(full.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("total", F.sum("source_size").over(every))
         .withColumn("level", (F.col("total") - F.coalesce("below", F.lit(0))) / F.col("open_weight"))
-        # the level is right from the first source on that it does not fill
+        # the first source that the level does not fill has the right one; later ones count too much as full
         .withColumn("fits", F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level")))
-        .withColumn("level", F.min("fits").over(every))
+        .withColumn("level", F.max("fits").over(every))
     )
     target = F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight"))
     return filled.select("source", "place", "weight", "source_size", target.alias("target"))

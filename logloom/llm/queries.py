@@ -174,7 +174,7 @@ s AS (SELECT source, sum(size) AS source_size, [5, 2, 1][((row_number() OVER (OR
 f AS (SELECT *, source_size * 3 AS cap, sum(source_size) OVER () AS total,
   coalesce(sum(source_size * 3) OVER (ORDER BY source_size * 3 / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
   sum(weight) OVER (ORDER BY source_size * 3 / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM s),
-l AS (SELECT min((total - below)::DOUBLE / open_weight::DOUBLE) FILTER ((total - below)::DOUBLE / open_weight::DOUBLE * weight <= cap) AS level FROM f),
+l AS (SELECT max((total - below)::DOUBLE / open_weight::DOUBLE) FILTER ((total - below)::DOUBLE / open_weight::DOUBLE * weight <= cap) AS level FROM f),
 t AS (SELECT source, source_size, least(cap::DOUBLE, level * weight) AS target FROM f, l),
 o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0 AS middle FROM d)
 SELECT doc_id, size, source_size::BIGINT AS source_size, target,
