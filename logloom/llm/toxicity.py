@@ -36,6 +36,8 @@ from .common import hash60, stored
 PER_CLASS = 2048
 N_TERMS = 1024
 MIN_DF = 3
+#: A term takes part from this likelihood ratio on: chance gives more to one in a thousand.
+MIN_G2 = 10.83
 BLOCK = 64
 NEIGHBOURS = 15
 THRESHOLD = 0.7
@@ -172,7 +174,8 @@ def _examples(docs: DataFrame, labels: DataFrame, held_out_mod: int | None, per_
 
 
 def _vocabulary(examples: DataFrame, totals: dict[int, int], n_terms: int) -> list[str]:
-    """The terms whose presence depends most on the class (likelihood ratio)."""
+    """The terms whose presence depends most on the class (likelihood ratio),
+    as far as chance does not explain it."""
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -195,7 +198,8 @@ def _vocabulary(examples: DataFrame, totals: dict[int, int], n_terms: int) -> li
         + part(c, (F.lit(n) - F.col("n")) * rate)
         + part(d, (F.lit(n) - F.col("n")) * (1 - rate))
     )
-    top = counted.where(F.col("n") >= MIN_DF).withColumn("g2", F.round(g2, 6)).orderBy(F.desc("g2"), "term").limit(n_terms)
+    top = counted.where(F.col("n") >= MIN_DF).withColumn("g2", F.round(g2, 6))
+    top = top.where(F.col("g2") >= MIN_G2).orderBy(F.desc("g2"), "term").limit(n_terms)
     return [r["term"] for r in top.collect()]
 
 
