@@ -64,9 +64,9 @@ def _(t):
 
 
 MEMBERS = " UNION ALL ".join(
-    f"SELECT '{g}' AS group_name, {i} AS member_no, '{n.split('.')[0]}' AS namespace, '{n.split('.')[1]}' AS \"table\", '{n}' AS full_name"
+    f"SELECT '{g}' AS group_name, {i} AS member_no, '{n}' AS namespace, '{t}' AS \"table\", '{n}.{t}' AS full_name"
     for g, names in routing.COMPOSITE_GROUPS.items()
-    for i, n in enumerate(names.split())
+    for i, (n, t) in enumerate(names)
 )
 
 

@@ -20,7 +20,7 @@ def _values(rows, columns):
     return f"(SELECT * FROM (VALUES {body}) v({', '.join(columns)}))"
 
 
-OVERRIDES = _values([(k, *v.split()) for k, v in dm.OVERRIDES.items()], ["key", "g1", "g2", "g3"])
+OVERRIDES = _values([(k, *v) for k, v in dm.OVERRIDES.items()], ["key", "g1", "g2", "g3"])
 TAX = f"""tax AS (SELECT pos, {STRIP("lower(coalesce(namespace, ''))")} AS ns, {STRIP("lower(table_name)")} AS tn, g1, g2, g3
   FROM ({TAXONOMY}) x),
 keyed AS (SELECT tn AS key, pos, g1, g2, g3 FROM tax UNION ALL SELECT ns || '.' || tn, pos, g1, g2, g3 FROM tax WHERE ns <> ''),
@@ -51,9 +51,9 @@ looked AS (SELECT p."table", coalesce(a.g1, b.g1, c.g1, m.g1, v.g1) AS g1, coale
   FROM parts p LEFT JOIN dict a ON a.key = p.t LEFT JOIN dict b ON b.key = p.ns || '.' || p.tn LEFT JOIN dict c ON c.key = p.tn
   LEFT JOIN modes m ON m.namespace = p.ns LEFT JOIN voted v ON v."table" = p.t)"""
 KEYWORDS = "CASE " + " ".join(
-    "WHEN " + " OR ".join(f"contains(q, '{w}')" for w in words) + f" THEN '{value}'"
+    "WHEN " + " OR ".join(f"contains(q, '{w}')" for w in words) + f" THEN '{' '.join(value)}'"
     for words, value in dm.KEYWORD_RULES
-) + f" ELSE '{dm.KEYWORD_DEFAULT}' END"
+) + f" ELSE '{' '.join(dm.KEYWORD_DEFAULT)}' END"
 ALL = f"WITH {TAX}, {NAMES}, {VOTES}, {LOOKUP}"
 
 
@@ -143,7 +143,7 @@ def _(t):
 
 
 TABLE_RULE = "coalesce(" + ", ".join(
-    "CASE WHEN bool_or(" + " OR ".join(f"contains(lower(x.name), '{w}')" for w in words.split()) + f") THEN '{d}' END"
+    "CASE WHEN bool_or(" + " OR ".join(f"contains(lower(x.name), '{w}')" for w in words) + f") THEN '{d}' END"
     for d, words in dm.TABLE_RULES
 ) + ", 'general')"
 UNKNOWN = f"""inferred AS (SELECT u.name, {TABLE_RULE} AS domain FROM unknown u
@@ -203,7 +203,7 @@ def _(t):
     return dm.vote_domain(t.corpus(), mapped(t)[1])
 
 
-PAIRS = _values([(k, *v.split()) for k, v in dm.DOMAIN_PAIRS.items()], ["domain", "g1", "g2"])
+PAIRS = _values([(k, *v) for k, v in dm.DOMAIN_PAIRS.items()], ["domain", "g1", "g2"])
 
 
 @query(

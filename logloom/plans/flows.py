@@ -101,7 +101,7 @@ def extract_round(
     model: Callable[[str], str],
     rows: int = 900,
     tokens: int = 800_000,
-    max_len: int = 1000,
+    max_len: int | None = None,
 ) -> Registry:
     """One round over all queries of the top tables that are not seen yet: pack per
     table (single-table queries first), prompt, call the model, read its tools,

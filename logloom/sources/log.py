@@ -65,12 +65,19 @@ def load_report(df: DataFrame) -> DataFrame:
 def page(df: DataFrame, offset: int, limit: int) -> DataFrame:
     """One page of (query_id, name, query_sql) over queries that have SQL.
 
-    Only ids are sorted and numbered, however deep the page; the page itself
-    holds at most `limit` ids, which bounds the broadcast.
+    Rows are numbered, so rows without id (first) and repeated ids count each.  Only ids and
+    a hash of the row are sorted, however deep the page; the page itself holds at most
+    `limit` of them, which bounds the broadcast.
     """
-    usable = df.filter(F.col("query_sql").isNotNull())
-    ids = dense_position(usable.select("query_id"), "query_id", name="_n", start=0)
-    wanted = ids.filter((F.col("_n") >= offset) & (F.col("_n") < offset + limit)).select("query_id")
-    rows = usable.select("query_id", F.coalesce("name", F.lit("")).alias("name"), "query_sql")
-    wanted = F.broadcast(wanted) if limit <= 100_000 else wanted
-    return rows.join(wanted, "query_id", "left_semi").orderBy("query_id")
+    rows = df.filter(F.col("query_sql").isNotNull())
+    rows = rows.select("query_id", F.coalesce("name", F.lit("")).alias("name"), "query_sql")
+    rows = rows.withColumn("_h", F.md5(F.to_json(F.struct("name", "query_sql"))))
+    places = dense_position(rows.select("query_id", "_h"), "query_id", "_h", name="_n", start=0)
+    wanted = places.filter((F.col("_n") >= offset) & (F.col("_n") < offset + limit))
+    wanted = wanted.groupBy(F.col("query_id").alias("_id"), F.col("_h").alias("_k")).agg(F.count("*").cast("int").alias("_times"))
+    same = F.col("query_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k"))
+    met = rows.join(F.broadcast(wanted) if limit <= 100_000 else wanted, same)
+    # equal rows: one brings the text, and it comes out as often as the page has it
+    once = met.groupBy("query_id", "_h").agg(*[F.first(c).alias(c) for c in ("name", "query_sql", "_times")])
+    again = once.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return again.orderBy("query_id", "_h").select("query_id", "name", "query_sql")

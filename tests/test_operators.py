@@ -90,7 +90,7 @@ def test_routing_prefix_and_repeats(spark):
 def test_composites_keep_first_member(spark):
     sql = "select 1 from prices.usd join dex.trades on 1=1"
     queries = spark.createDataFrame([(i, "n", sql) for i in range(30)], "query_id long, name string, query_sql string")
-    members = routing.composite_members(spark, {"pv": "prices.usd dex.trades"})
+    members = routing.composite_members(spark, {"pv": [("prices", "usd"), ("dex", "trades")]})
     rows = routing.sample_composites(queries, members, k=10).collect()
     assert len(rows) == 10 and {r.full_name for r in rows} == {"prices.usd"}
 
@@ -207,13 +207,10 @@ def test_failed_call_is_a_row(spark):
     assert got == {1: ("GOOD", None), 2: (None, "error: busy")}
 
 
-def test_known_ids_above_the_caps_fail(spark, monkeypatch):
-    monkeypatch.setattr(replies, "MAX_KNOWN_IDS", 2)
-    tools = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "g1 string, g3 string")
+def test_all_known_ids_are_in_a_prompt(spark):
+    tools = spark.range(20_000).selectExpr("'a' AS g1", "concat('t', id) AS g3")
     members = spark.createDataFrame([(1, 1, 5, "n", "select 1")], "batch_id long, position int, query_id long, name string, query_sql string")
-    with pytest.raises(Exception, match="larger than its caps"):
-        replies.build_prompts(members, tools).collect()
-    assert replies.build_prompts(members, tools.limit(2)).first().prompt.count("a.x") == 1
+    assert replies.build_prompts(members, tools).first().prompt.count("a.t") == 20_000
 
 
 def test_accuracy_of_nothing(spark):
@@ -300,3 +297,13 @@ def test_page_numbers_ids_only(spark):
     df = spark.createDataFrame([(i, None if i % 5 else "n", None if i % 7 == 0 else f"q{i}") for i in range(100)], "query_id long, name string, query_sql string")
     want = [i for i in range(100) if i % 7][20:30]
     assert [r.query_id for r in log.page(df.repartition(5), 20, 10).collect()] == want
+
+
+def test_page_counts_rows_without_id_and_repeated_rows(spark):
+    from logloom.sources import log
+
+    rows = [(None, "a", "s1"), (None, "b", "s2"), (1, "c", "s"), (1, "c", "s"), (1, None, "t"), (2, "d", None)]
+    df = spark.createDataFrame(rows, "query_id long, name string, query_sql string")
+    whole = [tuple(r) for r in log.page(df, 0, 10).collect()]
+    assert sorted(whole, key=str) == sorted([(i, n or "", q) for i, n, q in rows if q], key=str)
+    assert [tuple(r) for k in range(5) for r in log.page(df, k, 1).collect()] == whole
