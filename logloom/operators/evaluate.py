@@ -47,9 +47,9 @@ def coverage(pred: DataFrame, gold: DataFrame) -> DataFrame:
     return out.withColumn("coverage", F.round(F.try_divide(F.col("hits"), F.col("total")), 6))
 
 
-def coverage_misses(pred: DataFrame, gold: DataFrame, order: str = "query_id", first: int = 15) -> DataFrame:
-    """The misses among the first rows of the gold set (a listing)."""
-    head = gold.orderBy(order).limit(first)
+def coverage_misses(pred: DataFrame, gold: DataFrame, order: str = "query_id", first: int | None = None) -> DataFrame:
+    """The misses, or those among the first rows of the gold set."""
+    head = gold if first is None else gold.orderBy(order).limit(first)
     return _both(pred, head, ["g3", "g4"]).filter(~_right())
 
 

@@ -21,6 +21,7 @@ hold most of the table.  Only ids and sizes move, never the texts.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -203,8 +204,15 @@ def pack(
 ) -> DataFrame:
     """(group, order…, size, batch_no from 0).  `size` must be at least 1.
 
-    An interval is `span` budgets long; `blocks` intervals form a block.
+    An interval is `span` budgets long; `blocks` intervals form a block.  Rows without a
+    group are a group of their own.
     """
+    # joins and running sums need a key that is never null
+    key = F.when(F.col(group).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(group).cast("string")))
+    return _pack(df.withColumn("_g", key), "_g", [group, *order], size, rule, span, blocks).drop("_g")
+
+
+def _pack(df: DataFrame, group: str, order: list[str], size: Column, rule: Rule, span: int, blocks: int) -> DataFrame:
     if rule.rows is None:
         size = F.greatest(size, F.lit(1))
     rows = held(_numbered(df, group, order, size, rule, span))  # ids and sizes, read twice
@@ -239,12 +247,30 @@ def pack(
 
 
 def pack_tokens(
-    df: DataFrame, budget: int, group: str, order: list[str], tokens: Column, **how: int
+    df: DataFrame, budget: int, group: str, order: list[str], tokens: Column, cut: bool = False, **how: int
 ) -> DataFrame:
-    """Close a batch before the row that would exceed the budget.  A row above
-    the budget on its own is cut to budget - 100."""
-    cut = F.when(tokens > budget, F.lit(budget - 100)).otherwise(tokens)
-    return pack(df, group, order, cut, Rule(budget), **how)
+    """Close a batch before the row that would exceed the budget.
+
+    A row above the budget on its own is split: `piece_no` 0, 1, … are rows of their own, each
+    with a budget at most, and `piece_of_text` gives their texts.  With `cut` there is one
+    row instead, of budget - 100 tokens, and the rest is left out.
+    """
+    if cut:
+        return pack(df, group, order, F.when(tokens > budget, F.lit(budget - 100)).otherwise(tokens), Rule(budget), **how)
+    sized = df.select(group, *order, F.greatest(tokens, F.lit(1)).cast("long").alias("_tokens"))
+    last = F.floor((F.col("_tokens") - 1) / budget).cast("int")
+    pieces = sized.withColumn("piece_no", F.explode(F.sequence(F.lit(0), last)))
+    size = F.least(F.lit(budget), F.col("_tokens") - F.col("piece_no") * budget)
+    return pack(pieces, group, [*order, "piece_no"], size, Rule(budget), **how)
+
+
+def piece_of_text(text: Column | str, piece_no: Column | str, budget: int, chars: int = 4) -> Column:
+    """The text of a piece where a text has its length div `chars` tokens: `budget` tokens, and in
+    the last piece all that is left."""
+    start = (col(piece_no) * budget * chars).cast("int")
+    left = F.char_length(col(text)) - start
+    size = F.when(left < (budget + 1) * chars, left).otherwise(F.lit(budget * chars))
+    return F.substring(col(text), start + 1, size)
 
 
 def cut_to_budget(text: Column | str, tokens: Column, budget: int, chars: int = 4) -> Column:
@@ -273,11 +299,14 @@ def chunk_bytes(df: DataFrame, limit: int, group: str, order: list[str], text: s
 def write_chunks(texts: DataFrame, chunks: DataFrame, path: str, group: str, order: list[str], text: str) -> None:
     """Write each chunk's texts below path/<group>/<file_name>/.
 
-    Texts end with a line break, which the text format puts behind every row.
+    `order` must tell the rows of a group apart.  Texts end with a line break, which the text format puts behind every row.
     Those of one chunk meet in one task and keep their order; a chunk is bounded
     by its byte limit.
     """
-    rows = texts.join(chunks, [group, *order])
+    names = [group, *order]
+    places = chunks.select(*[F.col(c).alias(f"_{c}") for c in names], "file_name")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names])
+    rows = texts.join(places, same)
     (
         rows.repartition(group, "file_name")
         .sortWithinPartitions(group, "file_name", *order)

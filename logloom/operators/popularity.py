@@ -12,7 +12,7 @@ from ..functions.ordering import BLOCK, dense_position, running
 from ..functions.text import computed
 from ..session import held, small_side
 
-MAX_TABLES = 6  # queries above this are dashboards, not join patterns
+NARROW = 6  # baskets up to this many tables give the first bound of the top lists
 LETTERS = "abcde"
 
 
@@ -75,11 +75,14 @@ def _count_combinations(baskets: DataFrame, size: int) -> DataFrame:
     return combinations(baskets, size).groupBy(*members).agg(F.count(F.lit(1)).alias("count"))
 
 
-def popular_combinations(baskets: DataFrame, size: int, max_tables: int = MAX_TABLES) -> DataFrame:
-    """Sets of `size` tables in queries of at most `max_tables`, ranked, with
-    each member's own count.  At most C(max_tables, size) rows per query."""
+def popular_combinations(baskets: DataFrame, size: int, max_tables: int | None = None) -> DataFrame:
+    """Sets of `size` tables used together, ranked, with each member's own count.
+
+    A query of n tables has C(n, size) sets; `max_tables` leaves out queries above it.
+    """
     members = [f"table_{x}" for x in LETTERS[:size]]
-    counted = _count_combinations(baskets.filter(F.size("tables") <= max_tables), size)
+    taken = baskets if max_tables is None else baskets.filter(F.size("tables") <= max_tables)
+    counted = _count_combinations(taken, size)
     single = small_side(_count_tables(baskets))
     for m in members:
         own = single.select(F.col("full_name").alias(m), F.col("count").alias(f"{m}_count"))
@@ -88,23 +91,23 @@ def popular_combinations(baskets: DataFrame, size: int, max_tables: int = MAX_TA
     return ranked.select("rank", *members, "count", *[f"{m}_count" for m in members])
 
 
-def popular_pairs(df: DataFrame, max_tables: int = MAX_TABLES) -> DataFrame:
+def popular_pairs(df: DataFrame, max_tables: int | None = None) -> DataFrame:
     return popular_combinations(held(query_tables(df)), 2, max_tables)
 
 
-def popular_triples(df: DataFrame, max_tables: int = MAX_TABLES) -> DataFrame:
+def popular_triples(df: DataFrame, max_tables: int | None = None) -> DataFrame:
     return popular_combinations(held(query_tables(df)), 3, max_tables)
 
 
-def popular_quads(df: DataFrame, max_tables: int = MAX_TABLES) -> DataFrame:
+def popular_quads(df: DataFrame, max_tables: int | None = None) -> DataFrame:
     return popular_combinations(held(query_tables(df)), 4, max_tables)
 
 
-def popular_quints(df: DataFrame, max_tables: int = MAX_TABLES) -> DataFrame:
+def popular_quints(df: DataFrame, max_tables: int | None = None) -> DataFrame:
     return popular_combinations(held(query_tables(df)), 5, max_tables)
 
 
-def top_combinations(baskets: DataFrame, size: int, k: int, small: int = MAX_TABLES) -> DataFrame:
+def top_combinations(baskets: DataFrame, size: int, k: int, small: int = NARROW) -> DataFrame:
     """The k most frequent sets with no limit on tables per query, exactly.
 
     A wide query (many tables) has far too many subsets to emit them all.  The

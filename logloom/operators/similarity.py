@@ -60,12 +60,17 @@ def vector_topk(
     cells.  Block and query chunk are joined by equality and compared as one
     matrix product, so neither a popular cell nor a popular block is one task.
 
-    queries: query_id, embedding; items: item_id, embedding.
+    queries: query_id, embedding; items: item_id, embedding.  Rows without a vector take no
+    part; without items there are no rows.
     """
-    queries = queries.select("query_id", "embedding")
-    items = items.select("item_id", "embedding")
+    queries = queries.select("query_id", "embedding").where("embedding IS NOT NULL")
+    items = items.select("item_id", "embedding").where("embedding IS NOT NULL")
     # The pivots and one line per cell are all that the driver sees.
     sample = items.orderBy(F.xxhash64("item_id"), "item_id").limit(pivots).toPandas()
+    if not len(sample):
+        kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema.fields, *items.schema.fields)}
+        none = f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, cosine double, rank long"
+        return queries.sparkSession.createDataFrame([], none)
     centre = _unit(sample["embedding"])
     placed = _in_cells(items, centre)
     cells = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_dist").alias("r")).toPandas()

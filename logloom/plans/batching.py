@@ -116,8 +116,20 @@ BEFORE_OVERFLOW = "SELECT min(m.n) FROM num m WHERE m.grp = b.grp AND m.n > b.n
 TOKENS = "greatest(1, length(text) // 4)"
 
 
+# Texts above the budget in pieces; slot: document and piece in one number.
+PIECES = f"""SELECT source, doc_id * 100000 + piece AS slot, least(4000, tokens - piece * 4000) AS tokens
+  FROM (SELECT *, unnest(range(0, (tokens - 1) // 4000 + 1)) AS piece FROM (SELECT doc_id, source, {TOKENS} AS tokens FROM documents))"""
+
+
+@query("pack_tokens", packing_check(PIECES, "source", "slot", "tokens", BEFORE_OVERFLOW.format(budget=4000), ""))
+def _(t):
+    tokens = F.greatest(F.lit(1), F.floor(F.length("text") / 4))
+    packed = packing.pack_tokens(t.table("documents"), 4000, "source", ["doc_id"], tokens)
+    return packed.select("source", (F.col("doc_id") * 100000 + F.col("piece_no")).alias("slot"), "size", "batch_no")
+
+
 @query(
-    "pack_tokens",
+    "pack_tokens_cut",
     packing_check(
         DOCS, "source", "doc_id", f"CASE WHEN {TOKENS} > 4000 THEN 3900 ELSE {TOKENS} END",
         BEFORE_OVERFLOW.format(budget=4000), "",
@@ -125,7 +137,25 @@ TOKENS = "greatest(1, length(text) // 4)"
 )
 def _(t):
     tokens = F.greatest(F.lit(1), F.floor(F.length("text") / 4))
-    return packing.pack_tokens(t.table("documents"), 4000, "source", ["doc_id"], tokens)
+    return packing.pack_tokens(t.table("documents"), 4000, "source", ["doc_id"], tokens, cut=True)
+
+
+# Groups: the names of arriving queries, some of them missing.
+UNNAMED = f"SELECT * REPLACE (coalesce(name, '(none)') AS name) FROM ({ARRIVALS}) a"
+
+
+@query(
+    "pack_rows_tokens_arrivals",
+    packing_check(
+        UNNAMED, "name", "pos", "greatest(1, coalesce(length(query_sql), 0))",
+        "SELECT min(m.n) + 1 FROM num m WHERE m.grp = b.grp AND m.n >= b.n AND (m.upto - b.base >= 8000 OR m.n - b.n + 1 >= 90)",
+        "",
+    ),
+)
+def _(t):
+    size = F.greatest(F.lit(1), F.coalesce(F.length("query_sql"), F.lit(0)))
+    packed = packing.pack_rows_tokens(t.arrivals(), 90, 8000, "name", ["pos"], size)
+    return packed.withColumn("name", F.coalesce("name", F.lit("(none)")))
 
 
 @query(
@@ -299,7 +329,7 @@ def _one_tool(prompt: str) -> str:
 
 
 ROUND = f"""{HITS}, ledger AS ({LEDGER}), links AS ({LINKS}),
-todo AS (SELECT DISTINCT CAST(query_id AS VARCHAR) AS query_id FROM hits WHERE n_refs >= 1 AND length(query_sql) <= 1000
+todo AS (SELECT DISTINCT CAST(query_id AS VARCHAR) AS query_id FROM hits WHERE n_refs >= 1
   AND CAST(query_id AS VARCHAR) NOT IN (SELECT query_id FROM ledger) AND CAST(query_id AS VARCHAR) NOT IN (SELECT value FROM links))"""
 
 

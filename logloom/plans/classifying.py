@@ -9,7 +9,7 @@ from ..operators import domains as dm
 from ..operators import popularity as pop
 from ..session import held
 from .catalog import query
-from .corpus import CORPUS, TAXONOMY
+from .corpus import ARRIVALS, CORPUS, TAXONOMY
 from .ingesting import STRIP
 from .popularity import PREFIX_COUNTS, SIMPLE
 from .texts import ALIASES, LOG, ORDERED_SQL, SLUG, SLUGS
@@ -108,6 +108,19 @@ def _(t):
     return dm.query_domain(t.corpus(), t.sql(TAXONOMY), _overrides(t))
 
 
+# The log as it arrives: ids are missing and repeat, and every row has its domain.
+BY_ROW = f"SELECT * EXCLUDE (query_id), pos AS query_id FROM ({ARRIVALS}) a"
+
+
+@query(
+    "query_domain_arrivals",
+    f"""{DOMAIN.replace(CORPUS, BY_ROW)}
+SELECT a.query_id, g1, g2, g3 FROM domain_of d JOIN ({ARRIVALS}) a ON a.pos = d.query_id""",
+)
+def _(t):
+    return dm.query_domain(t.arrivals(), t.sql(TAXONOMY), _overrides(t))
+
+
 @query(
     "classify_rules",
     f"""{DOMAIN}, {SLUGS.removeprefix(LOG + ", ")}
@@ -148,7 +161,7 @@ TABLE_RULE = "coalesce(" + ", ".join(
 ) + ", 'general')"
 UNKNOWN = f"""inferred AS (SELECT u.name, {TABLE_RULE} AS domain FROM unknown u
   LEFT JOIN (SELECT name, string_split(name, '.')[1] AS prefix FROM prefix_counts WHERE kind = 'table') x ON x.prefix = u.name GROUP BY 1)"""
-TOP = """top AS (SELECT name, "count" FROM prefix_counts WHERE kind = 'prefix' ORDER BY "count" DESC, name LIMIT 500)"""
+TOP = """top AS (SELECT name, "count" FROM prefix_counts WHERE kind = 'prefix')"""
 MAP = f"""{PREFIX_COUNTS}, {TOP}, {seed_lookup('top')}, unknown AS (SELECT name FROM seeded WHERE domain IS NULL), {UNKNOWN},
 domain_map AS (SELECT top.name, top."count", coalesce(seeded.domain, inferred.domain) AS domain FROM top
   JOIN seeded ON seeded.name = top.name LEFT JOIN inferred ON inferred.name = top.name)"""
@@ -203,6 +216,15 @@ def _(t):
     return dm.vote_domain(t.corpus(), mapped(t)[1])
 
 
+@query(
+    "vote_domain_arrivals",
+    f"""WITH {MAP}, {VOTED.replace(CORPUS, BY_ROW)}
+SELECT a.query_id, vote.domain FROM vote JOIN ({ARRIVALS}) a ON a.pos = vote.query_id""",
+)
+def _(t):
+    return dm.vote_domain(t.arrivals(), mapped(t)[1])
+
+
 PAIRS = _values([(k, *v) for k, v in dm.DOMAIN_PAIRS.items()], ["domain", "g1", "g2"])
 
 

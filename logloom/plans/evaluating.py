@@ -53,8 +53,8 @@ def _(t):
 
 @query(
     "coverage_misses",
-    f"""WITH {BOTH}, head AS (SELECT * FROM pairs ORDER BY query_id LIMIT 15)
-SELECT query_id, a3 AS g3_actual, a4 AS g4_actual, g3, g4 FROM head WHERE NOT ({RIGHT})""",
+    f"""WITH {BOTH}
+SELECT query_id, a3 AS g3_actual, a4 AS g4_actual, g3, g4 FROM pairs WHERE NOT ({RIGHT})""",
 )
 def _(t):
     return ev.coverage_misses(*_pair(t))

@@ -25,7 +25,7 @@ from ..operators import (
     routing,
     toolbox,
 )
-from ..session import held
+from ..session import held, small_side
 from ..sources import files
 
 MODES = {"single": routing.route_single, "multi": routing.route_multi}
@@ -39,12 +39,14 @@ def popularity_report(log: DataFrame, pos: str = "pos") -> tuple[DataFrame, Data
 
 def export_by_table(log: DataFrame, impact_rows: DataFrame, path: str, chunk_mb: float = 40.0) -> DataFrame:
     """Write the queries of each top table as INSERT files of at most `chunk_mb`
-    below path/<mode>/full_name=…/file_name=…; returns rows and bytes per file."""
+    below path/<mode>/full_name=…/file_name=…; returns rows and bytes per file.  Every
+    row of the log counts, also without an id or with a repeated one."""
     top = held(popularity.top_tier(impact_rows))
-    order, limit, reports = ["query_id"], int(chunk_mb * 1_048_576), []
+    order, limit, reports = ["query_id", "row_no"], int(chunk_mb * 1_048_576), []
     for mode, route in MODES.items():
         # a query has another text here: its INSERT, which the packer measures
-        rows = held(files.render_inserts(route(log, top)).select("full_name", "query_id", "statement"))
+        rows = files.render_inserts(route(log, top)).select("full_name", "query_id", "statement")
+        rows = held(rows.withColumn("row_no", F.monotonically_increasing_id()))
         chunks = held(packing.chunk_bytes(rows, limit, "full_name", order, "statement"))
         packing.write_chunks(rows, chunks, f"{path}/{mode}", "full_name", order, "statement")
         report = chunks.groupBy("full_name", "file_name").agg(
@@ -68,9 +70,11 @@ def build_toolbox(log: DataFrame, gold: DataFrame, *more_logs: DataFrame) -> Too
     """
     counts = popularity.prefix_counts(log, *more_logs)
     mapping = held(domains.domain_map(counts))
-    features = sx.add_shape_v2(toolbox.feature_text(log)).select("query_id", "features", "g5")
-    # read for the gold rows, the match and its boosts
-    queries = held(features.join(domains.vote_domain(log, mapping), "query_id"))
+    voted = domains.with_votes(sx.add_shape_v2(toolbox.feature_text(log)))
+    # the log is read once; the row number is stable from here on
+    numbered = voted.withColumn("_row", F.monotonically_increasing_id())
+    rows = held(numbered.select("_row", "query_id", "features", "g5", "_votes"))
+    queries = held(rows.drop("_votes").join(domains.tally(rows, mapping, "_row"), "_row").drop("_row"))
     labelled = gold.select("query_id", "g3", "g4", F.col("g5").alias("_g5")).join(queries, "query_id")
     labelled = dense_position(labelled, "query_id", name="pos").select(
         "pos", "g3", "g4", F.col("_g5").alias("g5"), "domain", "features"
@@ -79,13 +83,13 @@ def build_toolbox(log: DataFrame, gold: DataFrame, *more_logs: DataFrame) -> Too
     return Toolbox(queries, labelled, held(toolbox.add_gold_tools(made, labelled)))
 
 
-def match_log(box: Toolbox, max_features: int = 8000) -> DataFrame:
-    """Best tool of every query; the vocabulary is fitted on tools and gold rows."""
+def match_log(box: Toolbox, max_features: int | None = None) -> DataFrame:
+    """Best tool of every row; the vocabulary is fitted on tools and gold rows."""
     texts = box.tools.select(F.concat(F.lit("t"), "tool_ord").alias("doc_id"), "text").unionByName(
         box.gold.select(F.concat(F.lit("g"), "pos").alias("doc_id"), F.col("features").alias("text"))
     )
     vocabulary = held(toolbox.fit_vocabulary(texts, max_features))
-    return toolbox.match_toolbox(box.queries, box.tools, vocabulary, max_features)
+    return toolbox.match_toolbox(box.queries, box.tools, vocabulary)
 
 
 class Registry(NamedTuple):
@@ -107,22 +111,30 @@ def extract_round(
     table (single-table queries first), prompt, call the model, read its tools,
     merge them and mark the queries of every batch that gave tools.
 
+    A query goes to the model once, under the first of its tables by rank; rows without an id
+    go too, but the ledger cannot name them.
     The replies are held: a model call is dear and must not be made again.
     """
     top = held(popularity.top_tier(impact_rows))
     seen = held(incremental.seen_ids(state.ledger, state.links))
+    # a row has one mode, so mode and row number tell it apart
+    numbered = log.withColumn("row_no", F.monotonically_increasing_id())
     parts = [
-        route(log, top, max_len, seen).select(
-            "full_name", F.lit(i).alias("mode_no"), F.col("query_id").cast("string").alias("query_id"), "name", "query_sql"
+        route(numbered, top, max_len, seen).select(
+            "full_name", F.lit(i).alias("mode_no"), F.col("query_id").cast("string").alias("query_id"), "row_no", "name", "query_sql"
         )
         for i, route in enumerate(MODES.values())
     ]
-    routed = held(parts[0].unionByName(parts[1]))
-    order = ["mode_no", "query_id"]
+    every = held(parts[0].unionByName(parts[1]))
+    order = ["mode_no", "query_id", "row_no"]
+    ranked = every.select("mode_no", "row_no", "full_name").join(small_side(top.select("full_name", "rank")), "full_name")
+    first = ranked.groupBy("mode_no", "row_no").agg(F.min_by("full_name", "rank").alias("full_name"))
+    routed = held(every.join(first, ["mode_no", "row_no", "full_name"], "left_semi").select(*every.columns))
     packed = packing.pack_rows_tokens(routed, rows, tokens, "full_name", order)
     batch_id = F.concat_ws("#", "full_name", F.col("batch_no").cast("string"))
+    placed = packed.select("full_name", "mode_no", "row_no", "batch_no")
     members = held(
-        routed.join(packed.drop("size"), ["full_name", *order]).select(
+        routed.join(placed, ["full_name", "mode_no", "row_no"]).select(
             batch_id.alias("batch_id"), F.struct(*order).alias("position"), "query_id", "name", "query_sql"
         )
     )
@@ -136,7 +148,7 @@ def extract_round(
         }
     )
     answered = members.join(found.select("batch_id").distinct(), "batch_id", "left_semi")
-    ids = answered.select("query_id", F.current_timestamp().alias("seen_at"))
+    ids = answered.where("query_id IS NOT NULL").select("query_id", F.current_timestamp().alias("seen_at"))
     return Registry(
         registry.merge_tools(state.tools, new),
         registry.merge_links(state.tools, state.links, new),

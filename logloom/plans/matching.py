@@ -18,7 +18,7 @@ from .texts import SHAPE_V2_SQL
 
 SEED_LISTS = _values(
     [
-        (d, " ".join([k for k, v in dm.SEED_PREFIXES.items() if v == d][: tb.SEED_WORDS]))
+        (d, " ".join([k for k, v in dm.SEED_PREFIXES.items() if v == d]))
         for d in dict.fromkeys(dm.SEED_PREFIXES.values())
     ],
     ["domain", "words"],
@@ -82,8 +82,7 @@ def tfidf_sql(fit, source, key, name):
 
     vocabulary = f"""fit_rows AS (SELECT row_number() OVER () AS d, text FROM ({fit})),
 fit_terms AS (SELECT d, term, count(*) AS tf FROM ({terms("fit_rows", "d,")}) GROUP BY 1, 2),
-vocab AS (SELECT term, ln((1 + (SELECT count(*) FROM fit_rows)) / (1 + count(*))) + 1 AS idf FROM fit_terms GROUP BY 1
-  ORDER BY sum(tf) DESC, term LIMIT 8000)"""
+vocab AS (SELECT term, ln((1 + (SELECT count(*) FROM fit_rows)) / (1 + count(*))) + 1 AS idf FROM fit_terms GROUP BY 1)"""
     weights = f"""{name}_raw AS (SELECT {key}, term, (1 + ln(tf)) * idf AS w FROM (SELECT {key}, term, count(*) AS tf FROM ({terms(source, key + ",")}) GROUP BY 1, 2)
   JOIN vocab USING (term)),
 {name} AS (SELECT {key}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS weight FROM {name}_raw)"""
@@ -159,15 +158,14 @@ _KEPT, _ALL_N = "(SELECT count(*) FROM kept)", "(SELECT count(*) FROM tools)"
 @query(
     "prune_toolbox",
     f"""WITH {DOC_MATCHED}, labelled AS (SELECT g3 FROM matched WHERE query_id IN (SELECT doc_id FROM labels)),
-sampled AS (SELECT g3 FROM matched ORDER BY md5('42' || CAST(query_id AS VARCHAR)), query_id LIMIT 300),
-kept AS (SELECT g3 FROM tools WHERE g3 IN (SELECT g3 FROM labelled UNION SELECT g3 FROM sampled))
+kept AS (SELECT g3 FROM tools WHERE g3 IN (SELECT g3 FROM labelled UNION SELECT g3 FROM matched))
 SELECT g3, tool_ord FROM tools WHERE g3 IN (SELECT g3 FROM kept) OR NOT ({_EFFICIENT.format(n=_KEPT)} >= {_EFFICIENT.format(n=_ALL_N)})""",
 )
 def _(t):
     matches, tools = _doc_matches(t)
     matches = held(matches)
     labelled = matches.join(t.table("labels").select(F.col("doc_id").alias("query_id")), "query_id", "left_semi")
-    return tb.prune_toolbox(tools, labelled, matches, F.lit(0.5), sample=300).select("g3", "tool_ord")
+    return tb.prune_toolbox(tools, labelled, matches, F.lit(0.5)).select("g3", "tool_ord")
 
 
 # --- nearest ----------------------------------------------------------------

@@ -48,13 +48,13 @@ def _combos(size: int) -> str:
     return f"SELECT {tables}, count(*) AS \"count\" FROM {joins} {{where}} GROUP BY ALL"
 
 
-def _ranked_combos(size: int) -> str:
+def _ranked_combos(size: int, where: str = "") -> str:
     letters = "abcde"[:size]
     members = ", ".join(f"table_{x}" for x in letters)
     own = ", ".join(f'c{x}."count" AS table_{x}_count' for x in letters)
     joins = " ".join(f"JOIN counted c{x} ON c{x}.full_name = table_{x}" for x in letters)
     return (
-        f"{NAMES}, combos AS ({_combos(size).format(where='WHERE ua.n <= 6')}) "
+        f"{NAMES}, combos AS ({_combos(size).format(where=where)}) "
         f'SELECT row_number() OVER (ORDER BY combos."count" DESC, {members}) AS rank, {members}, combos."count" AS "count", {own} '
         f"FROM combos {joins}"
     )
@@ -65,6 +65,11 @@ def _(t):
     return pop.popular_pairs(t.corpus())
 
 
+@query("popular_pairs_narrow", _ranked_combos(2, "WHERE ua.n <= 6"))
+def _(t):
+    return pop.popular_pairs(t.corpus(), max_tables=6)
+
+
 @query("popular_triples", _ranked_combos(3))
 def _(t):
     return pop.popular_triples(t.corpus())
@@ -117,7 +122,7 @@ def part_baskets(t):
 
 @query(
     "basket_pairs",
-    f"""WITH {BASKETS}, combos AS ({_combos(2).format(where='WHERE ua.n <= 6')})
+    f"""WITH {BASKETS}, combos AS ({_combos(2).format(where='')})
 SELECT row_number() OVER (ORDER BY combos."count" DESC, table_a, table_b) AS rank, table_a, table_b, combos."count" AS "count",
   ca."count" AS table_a_count, cb."count" AS table_b_count
 FROM combos JOIN counted ca ON ca.full_name = table_a JOIN counted cb ON cb.full_name = table_b""",

@@ -226,7 +226,7 @@ def _(t):
 
 @query("truncate_sql", "SELECT doc_id, substr(text, 1, 8000) AS head FROM documents")
 def _(t):
-    return t.table("documents").select("doc_id", tx.truncate_sql("text").alias("head"))
+    return t.table("documents").select("doc_id", tx.truncate_sql("text", 8000).alias("head"))
 
 
 @query("clean_label", f"SELECT doc_id, replace(lower({STRIP('text')}), ' ', '_') AS label FROM documents")

@@ -6,11 +6,12 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_points
+from logloom.plans import catalog
 
 from .conftest import SF_DIR
 
-QUERIES = entry_points.queries()
-CHECKS = entry_points.oracle_sql()
+QUERIES = catalog.QUERIES
+CHECKS = catalog.CHECKS
 # answers that may be empty on the smallest data
 MAY_BE_EMPTY = {"drill_down", "top_tier", "mentions_table", "page", "route_multi_unseen"}
 

@@ -251,9 +251,35 @@ def test_flows_from_files(spark, tmp_path):
     text = "".join(p.read_text() for p in sorted((tmp_path / "out" / "single").rglob("part-*")))
     assert text.count("INSERT INTO") == 20
     gold = cleaned.limit(3).select("query_id", F.lit("gold_tool").alias("g3"), F.lit("a|b").alias("g4"), F.lit("series").alias("g5"))
-    named = cleaned.filter("query_id is not null")
-    matches = flows.match_log(flows.build_toolbox(named, gold))
-    assert matches.count() == named.count()
+    matches = flows.match_log(flows.build_toolbox(cleaned, gold))
+    assert matches.count() == cleaned.count()
+    done = flows.export_by_table(raw, forced, str(tmp_path / "twice"), chunk_mb=0.003)
+    written = "".join(p.read_text() for p in sorted((tmp_path / "twice").rglob("part-*")))
+    assert written.count("INSERT INTO") == sum(r.n_rows for r in done.collect()) == 330
+    tax = spark.createDataFrame([(0, "dex", "trades", "a", "b", "c")], "pos long, namespace string, table_name string, g1 string, g2 string, g3 string")
+    assert domains.query_domain(raw, tax).count() == domains.classify_rules(raw, tax).count() == 220
+    empty = spark.createDataFrame([], "name string, count long, domain string")
+    assert domains.vote_domain(raw, empty).count() == 220
+
+
+def test_round_sends_each_query_once(spark):
+    sql = "select 1 from dex.trades t join prices.usd p on 1=1 join nft.trades n on 1=1 where k = {}"
+    queries = spark.createDataFrame([(f"q{i}", "n", sql.format(i) + " " * 2000) for i in range(6)], "query_id string, name string, query_sql string")
+    tables = spark.createDataFrame(
+        [(i + 1, *n.split("."), n, 9 - i, "top_80") for i, n in enumerate(("dex.trades", "nft.trades", "prices.usd"))],
+        "rank long, namespace string, `table` string, full_name string, count long, tier string",
+    )
+    ledger = spark.createDataFrame([], "query_id string, seen_at timestamp")
+    links = spark.createDataFrame([], "tool_id string, kind string, value string")
+    tools = spark.createDataFrame([], "tool_id string, g1 string, g2 string, g3 string, g4 string, g5 string, description string, scope string, returns string, viz string, inputs string")
+
+    def model(prompt):
+        ids = [line[1 : line.index("]")] for line in prompt.split("\n") if line.startswith("[q")]
+        return f"## Found\ng1: a\ng3: tool_{len(ids)}\nsource_query_ids: {','.join(ids)}\n"
+
+    state = flows.extract_round(queries, tables, flows.Registry(tools, links, ledger), model)
+    assert sorted(r.query_id for r in state.ledger.collect()) == [f"q{i}" for i in range(6)]
+    assert [r.g3 for r in state.tools.collect()] == ["tool_6"]  # one prompt with all six
 
 
 def test_yaml_files(spark, tmp_path):

@@ -76,10 +76,34 @@ def test_pack(spark, span, blocks, budget, n):
 
 def test_pack_tokens_cuts_large_rows(spark):
     df = spark.createDataFrame([("a", 1, 500), ("a", 2, 90), ("a", 3, 600)], "g string, i long, s long")
-    got = packing.pack_tokens(df, 400, "g", ["i"], F.col("s")).orderBy("i").collect()
+    got = packing.pack_tokens(df, 400, "g", ["i"], F.col("s"), cut=True).orderBy("i").collect()
     assert [(r.size, r.batch_no) for r in got] == [(300, 0), (90, 0), (300, 1)]
 
 
+def test_pack_tokens_splits_large_rows(spark):
+    text = "".join(chr(97 + i % 26) for i in range(4 * 900 + 3))
+    df = spark.createDataFrame([("a", 1, text), ("a", 2, "y" * 360), ("a", 3, None)], "g string, i long, t string")
+    tokens = F.coalesce(F.floor(F.length("t") / 4), F.lit(0))
+    got = packing.pack_tokens(df, 400, "g", ["i"], tokens).join(df, ["g", "i"])
+    got = got.withColumn("part", packing.piece_of_text("t", "piece_no", 400)).orderBy("i", "piece_no").collect()
+    assert [(r.i, r.piece_no, r.size, r.batch_no) for r in got] == [(1, 0, 400, 0), (1, 1, 400, 1), (1, 2, 100, 2), (2, 0, 90, 2), (3, 0, 1, 2)]
+    assert "".join(r.part for r in got if r.i == 1) == text
+    even = spark.createDataFrame([("a", 1, text[:3203])], "g string, i long, t string")
+    got = packing.pack_tokens(even, 400, "g", ["i"], tokens).join(even, ["g", "i"])
+    parts = [r.part for r in got.withColumn("part", packing.piece_of_text("t", "piece_no", 400)).orderBy("piece_no").collect()]
+    assert [len(p) for p in parts] == [1600, 1603] and "".join(parts) == text[:3203]
+
+
+def test_rows_without_group_or_id_are_packed_and_written(spark, tmp_path):
+    rows = [(None, 1, "a", "x" * 9), (None, 2, None, "y" * 9), ("g", 3, "a", "z" * 9), ("g", 4, None, "w" * 9), (None, 5, None, "v" * 9)]
+    df = spark.createDataFrame([(g, i, q, t + "\n") for g, i, q, t in rows], "g string, n long, id string, line string")
+    chunks = packing.chunk_bytes(df, 20, "g", ["id", "n"], "line", span=2)
+    assert sorted((str(r.g), r.n, r.batch_no) for r in chunks.collect()) == [("None", 1, 1), ("None", 2, 0), ("None", 5, 0), ("g", 3, 0), ("g", 4, 0)]
+    packing.write_chunks(df, chunks, str(tmp_path / "out"), "g", ["id", "n"], "line")
+    lines = [x for p in (tmp_path / "out").rglob("part-*") for x in p.read_text().splitlines() if not p.name.endswith(".crc")]
+    assert sorted(lines) == sorted(t for _, _, _, t in rows)
+
+
 def test_written_chunks_keep_order_and_budget(spark, tmp_path):
     df = spark.createDataFrame([("t", i, f"{'x' * (i % 7)}\n") for i in range(50)], "g string, i long, line string")
     chunks = packing.chunk_bytes(df, 40, "g", ["i"], "line")
