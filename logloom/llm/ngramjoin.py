@@ -107,8 +107,11 @@ def _tree(grams: np.ndarray, threshold: float, runs: int, levels: int) -> list[t
         tried = _mix(grams[:, None] ^ paths[None, :])
         gram, path = np.nonzero(tried <= limit)
         found = _mix(tried[gram, path] + np.uint64(level))
+        # a set is in a bucket once
+        found, at = np.unique(found, return_index=True)
+        path = path[at]
         out += zip([level] * len(found), paths[path].astype(np.int64).tolist(), found.astype(np.int64).tolist(), strict=True)
-        paths = np.unique(found)
+        paths = found
         if not len(paths):
             break
     return out
@@ -144,7 +147,7 @@ def _final_buckets(sets: DataFrame, levels: int, bucket: int, block: int) -> Dat
     Level by level: count the sets of each open path; buckets that are small enough, or at
     the last level, are final, the larger ones open their children.
     """
-    nodes = sets.select("cid", F.explode("tree").alias("t")).select("cid", "t.level", "t.parent", "t.path").distinct()
+    nodes = sets.select("cid", F.explode("tree").alias("t")).select("cid", "t.level", "t.parent", "t.path")
     nodes = stored(nodes, "nodes")
     finals: list[DataFrame] = []
     split: DataFrame | None = None
