@@ -375,10 +375,11 @@ def join_similar(
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, that with the smallest id; a repeated row is kept once."""
     # the table may be read again in other pieces, so rows are named by their id alone
-    chosen = join_similar(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    chosen = stored(chosen.groupBy("doc_id").count(), "chosen")
-    ids = chosen.select(F.col("doc_id").alias("__kept_id"))
-    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
-    if chosen.where("count > 1").isEmpty():
+    own = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    ids = stored(join_similar(docs, **options).groupBy("doc_id").agg(F.count_if(own).alias("n")), "ids")
+    # the ids that go are the fewer ones, and their table is the smaller side of the join
+    gone = stored(ids.where("n = 0").select(F.col("doc_id").alias("__gone_id")), "gone")
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_id")), "left_anti")
+    if ids.where("n > 1").isEmpty():
         return kept
     return kept.dropDuplicates(["doc_id", "text"])
