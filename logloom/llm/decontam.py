@@ -6,25 +6,26 @@ outputs differ in few places: edit distance has become Hamming distance.  Bit sa
 compares a few random places of the outputs; repeated with other walks and places it finds
 a close pair with high probability.  What it finds is verified by exact edit distance.
 
-Windows have the size of the item they are held against.  They are laid at the places where
-a document has a run of `gram` characters that begins a word in the item, at the item's
-own offset; both walks (to the right and to the left) start in step there.  An item has one
-such place per word, and each is tried with every walk, which is what recall rests on: with the
-defaults about 0.99 of leaks with up to a tenth of their characters edited are found, and 0.97 at the
-limit (measured against brute force).
+Windows have the size of the item they are held against.  They are laid wherever a document
+and the item have a run of `gram` characters in common, at any offset of both, spaces or not; both walks
+(to the right and to the left) start in step there.  A run has a window at its beginning and at every
+`STRIDE`-th offset of the item.  Items for which random edits at the limit would break all
+runs of `gram` characters with a probability above 1 - `SEED_RECALL` have shorter ones, down to what
+any edits within the limit leave whole.
 
 The benchmark is the stated query set: it is taken in blocks of `block_items` items, and each
 block goes once over all documents in whole, without a shuffle.
 
 Defined cases: texts are compared in lower case with white space runs as one space; a null or
-empty text has no leak and an empty item leaks nowhere; items shorter than `gram` are looked for as
-they are; repeated items count once, repeated documents each get their rows; a null id is passed on as null; an
+empty text has no leak and an empty item leaks nowhere; items of
+any length are looked for within the edit rate; repeated items count once, repeated documents each get their rows; a null id is passed on as null; an
 empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import ahocorasick
 import numpy as np
@@ -35,6 +36,8 @@ from .common import stored
 
 GRAM = 12
 MAX_EDIT_RATE = 0.15
+SEED_RECALL = 0.99
+STRIDE = 6
 WALKS = 4
 SAMPLES = 12
 PLACES = 3
@@ -49,6 +52,16 @@ def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def seed_length(size: int, limit: int, gram: int) -> int:
+    """The longest run, up to `gram`, that `limit` random edits of `size` characters leave whole often enough."""
+    for g in range(min(gram, size), 1, -1):
+        # inclusion and exclusion over the gaps between the edits
+        whole = sum((-1) ** (i + 1) * comb(limit + 1, i) * comb(size - i * g, limit) for i in range(1, (size - limit) // g + 1))
+        if whole >= SEED_RECALL * comb(size, limit):
+            return g
+    return 1
+
+
 def _symbols(text: str) -> np.ndarray:
     """Code points as symbols 1..255; 0 is the padding."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -98,16 +111,15 @@ def edits_within(item: str, region: str) -> int:
 class Items:
     """A block of the benchmark: seeds, and the sampled outputs of every window of its items."""
 
-    def __init__(self, items: list[tuple[int, str]], gram: int, walks: int, samples: int, places: int):
+    def __init__(self, items: list[tuple[int, str]], gram: int, max_rate: float, walks: int, samples: int, places: int):
         self.ids = [i for i, _ in items]
         self.texts = [t for _, t in items]
-        self.gram = gram
         seeds: dict[str, list[int]] = {}
         owners, offsets = [], []
         for k, text in enumerate(self.texts):
-            starts = [0] + [i + 1 for i, c in enumerate(text) if c == " "]
-            for at in [s for s in starts if s + gram <= len(text)] or [0]:
-                seeds.setdefault(text[at : at + gram], []).append(len(owners))
+            length = seed_length(len(text), int(max_rate * len(text)), gram)
+            for at in range(len(text) - length + 1):
+                seeds.setdefault(text[at : at + length], []).append(len(owners))
                 owners.append(k)
                 offsets.append(at)
         self.owner, self.offset = np.array(owners, np.int64), np.array(offsets, np.int64)
@@ -120,11 +132,19 @@ class Items:
         self.steps = 2 * int(self.size.max())
         self.bits = rng.integers(0, 2, (walks, self.steps, 256), np.uint8).astype(bool)
         self.places = rng.random((walks, samples, places))
-        ends = np.cumsum(self.size)
-        codes = np.concatenate([_symbols(t) for t in self.texts])
-        at = (ends - self.size)[self.owner] + self.offset
-        every = np.arange(len(owners))
-        self.sampled = [self._sample(codes, at, every, self.offset, self.size[self.owner] - self.offset, w) for w in range(walks)]
+        self.codes = np.concatenate([_symbols(t) for t in self.texts])
+        self.at = (np.cumsum(self.size) - self.size)[self.owner] + self.offset
+        self.sampled = np.zeros((walks, len(owners), samples, places), np.uint8)
+        self.ready = np.zeros((walks, len(owners)), bool)
+
+    def _own(self, entry: np.ndarray, w: int) -> np.ndarray:
+        """The sampled outputs of the items themselves, computed when first met."""
+        todo = np.unique(entry[~self.ready[w][entry]])
+        if len(todo):
+            right = self.size[self.owner[todo]] - self.offset[todo]
+            self.sampled[w][todo] = self._sample(self.codes, self.at[todo], todo, self.offset[todo], right, w)
+            self.ready[w][todo] = True
+        return self.sampled[w][entry]
 
     def _sample(self, codes, at, entry, left, right, w: int) -> np.ndarray:
         """(strings x samples x places): the outputs at the sampled places of each window.
@@ -150,28 +170,35 @@ class Items:
             if not len(todo):
                 break
             seen = self._sample(codes, at[todo], entry[todo], left[todo], right[todo], w)
-            found[todo] = (seen == self.sampled[w][entry[todo]]).all(axis=2).any(axis=1)
+            found[todo] = (seen == self._own(entry[todo], w)).all(axis=2).any(axis=1)
         return found
 
+    def _thinned(self, owner: np.ndarray, places: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of hits in a row, the first one and those at every `STRIDE`-th offset of the item."""
+        item, offset = self.owner[entry], self.offset[entry]
+        order = np.lexsort((places, places - offset, item, owner))
+        owner, places, entry, item, offset = (x[order] for x in (owner, places, entry, item, offset))
+        follows = np.zeros(len(owner), bool)
+        follows[1:] = (owner[1:] == owner[:-1]) & (item[1:] == item[:-1]) & (places[1:] == places[:-1] + 1) & (offset[1:] == offset[:-1] + 1)
+        keep = ~follows | (offset % STRIDE == 0)
+        return owner[keep], places[keep], entry[keep]
+
     def leaks(self, texts: list[str], max_rate: float) -> list[tuple[int, int, int]]:
         """(text number, item number, edits) of all leaks, the best of each pair."""
         owner, places, entries = [], [], []
         kept, starts, total = {}, [], 0
         for n, text in enumerate(texts):
             for end, (length, found) in self.automaton.iter(text):
-                at = end - length + 1
-                if at and text[at - 1] != " ":
-                    continue
                 if n not in kept:
                     kept[n] = total
                     total += len(text)
                 owner += [n] * len(found)
-                places += [at] * len(found)
+                places += [end - length + 1] * len(found)
                 entries.append(found)
         if not entries:
             return []
         codes = np.concatenate([_symbols(texts[n]) for n in kept])
-        owner, places, entry = np.array(owner), np.array(places), np.concatenate(entries)
+        owner, places, entry = self._thinned(np.array(owner), np.array(places), np.concatenate(entries))
         size, offset = self.size[self.owner[entry]], self.offset[entry]
         lengths = np.array([len(t) for t in texts])[owner]
         left = np.minimum(offset, places)
@@ -227,7 +254,7 @@ def find_leaks(
 
     def scan(block: list[tuple[int, str]]) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            items = Items(block, gram, walks, samples, places)
+            items = Items(block, gram, max_edit_rate, walks, samples, places)
             for batch in batches:
                 ids = batch["doc_id"].tolist()
                 found = items.leaks([normal(t) for t in batch["text"]], max_edit_rate)

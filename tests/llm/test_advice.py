@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.llm import linededup
+from logloom.llm import decontam, linededup
 
+from .test_models import plain_edits
 from .test_native import clash, documents
 
 
@@ -43,3 +44,28 @@ def test_a_hub_joins_hundreds_of_variants(spark, block):
     roots = linededup.components(linededup.similar(docs, firsts, block=block))
     left = firsts.join(roots, F.col("key") == F.col("node"), "left").select(F.coalesce("root", "key")).distinct().count()
     assert left == len(plain_kept(lines)) == 1
+
+
+def test_leaks_without_spaces_short_and_quoted(spark):
+    rng = random.Random(12)
+    han = [chr(0x4E00 + i) for i in range(800)]
+    run = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    items = [(i, run(60, han)) for i in range(4)] + [(i, run(80, "abcdefgh(){};=_")) for i in range(4, 8)]
+    items += [(i, f"{run(6, 'abcdefgh')} {run(5, 'ijklmnop')} {run(8, 'abcdefgh')}") for i in range(8, 14)] + [(14, "tiny item"), (15, "xyz")]
+    rows = []
+    for i, (k, item) in enumerate(items * 4):
+        text = list(item)
+        for _ in range(rng.randint(0, int(decontam.MAX_EDIT_RATE * len(item)))):
+            text[rng.randrange(len(text))] = rng.choice("abcdefgh")
+        filler = han if k < 4 else "qrstuvw"
+        rows.append((i, f"{run(150, filler)}{rng.choice(['(', '“', ''])}{''.join(text)}{run(150, filler)}", "s"))
+    rows.append((900, run(300, han) + items[0][1] + run(300, han), "s"))
+    got = {(r.doc_id, r.item_id, r.edits) for r in decontam.find_leaks(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = set()
+    for i, t, _ in rows:
+        for k, item in items:
+            edits = plain_edits(decontam.normal(item), decontam.normal(t))
+            if edits <= int(decontam.MAX_EDIT_RATE * len(item)):
+                want.add((i, k, edits))
+    assert got <= want and (900, 0, 0) in got
+    assert len(got) >= 0.97 * len(want) and len(want) >= len(rows)
