@@ -192,7 +192,7 @@ def _vocabulary(examples: DataFrame, totals: dict[int, int], n_terms: int) -> li
     a, b = F.col("t"), F.col("n") - F.col("t")
     c, d = F.lit(t) - a, F.lit(n - t) - b
     rate = F.lit(t / n)
-    g2 = (
+    g2 = 2 * (
         part(a, F.col("n") * rate)
         + part(b, F.col("n") * (1 - rate))
         + part(c, (F.lit(n) - F.col("n")) * rate)

@@ -1,11 +1,13 @@
 """Cases of the second review, each against brute force."""
 
+import collections
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.llm import decontam, linededup
+from logloom.llm import decontam, linededup, toxicity
 
 from .test_models import plain_edits
 from .test_native import clash, documents
@@ -69,3 +71,25 @@ def test_leaks_without_spaces_short_and_quoted(spark):
                 want.add((i, k, edits))
     assert got <= want and (900, 0, 0) in got
     assert len(got) >= 0.97 * len(want) and len(want) >= len(rows)
+
+
+def test_rare_toxic_words_are_terms(spark):
+    rng = random.Random(2)
+    rows, labels = [], []
+    for i in range(600):
+        words = [f"word{rng.choice('abcdefgh')}{rng.choice('abcdefgh')}" for _ in range(30)]
+        if i % 5 == 0:
+            words += [f"rude{chr(97 + i // 5 % 15)}"] * 3
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), "s"))
+        labels.append((i, 1, int(i % 5 == 0)))
+    docs = documents(spark, rows)
+    index = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    used = [i for i in range(0, 600, 5) if zlib.crc32(str(i).encode()) % 3 != 1]
+    often = collections.Counter(i // 5 % 15 for i in used)
+    known = {j for j in range(15) if often[j] >= 4}
+    assert len(known) >= 8 and min(often[j] for j in known) <= 6
+    assert all(f"rude{chr(97 + j)}" in index.vocabulary for j in known)
+    found = {r.doc_id: r.predicted for r in toxicity.score(docs, index).collect()}
+    rude = [i for i in range(0, 600, 5) if i // 5 % 15 in known]
+    assert sum(found[i] for i in rude) >= 0.95 * len(rude) and sum(found[i] for i in range(600) if i % 5) <= 5
