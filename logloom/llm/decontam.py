@@ -31,6 +31,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import stored
 
@@ -239,7 +240,7 @@ def _blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def find_leaks(
+def _found(
     docs: DataFrame,
     benchmark: DataFrame,
     *,
@@ -250,13 +251,13 @@ def find_leaks(
     places: int = PLACES,
     block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
-    """(doc_id, text), (item_id, text) -> one row per document and item within the edit rate."""
+    """What `find_leaks` returns, with the hash of the text it was found in."""
 
     def scan(block: list[tuple[int, str]]) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             items = Items(block, gram, max_edit_rate, walks, samples, places)
             for batch in batches:
-                ids = batch["doc_id"].tolist()
+                ids, hashes = batch["doc_id"].tolist(), batch["h"].tolist()
                 found = items.leaks([normal(t) for t in batch["text"]], max_edit_rate)
                 yield pd.DataFrame(
                     {
@@ -264,18 +265,28 @@ def find_leaks(
                         "item_id": pd.array([items.ids[k] for _, k, _ in found], "Int64"),
                         "edits": np.array([e for _, _, e in found], np.int32),
                         "item_chars": np.array([items.size[k] for _, k, _ in found], np.int32),
+                        "h": np.array([hashes[n] for n, _, _ in found], np.int64),
                     }
                 )
 
-        return docs.select("doc_id", "text").mapInPandas(run, LEAK)
+        return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInPandas(run, f"{LEAK}, h long")
 
-    out = docs.sparkSession.createDataFrame([], LEAK)
+    out = docs.sparkSession.createDataFrame([], f"{LEAK}, h long")
     for block in _blocks(benchmark, block_items):
         out = out.unionByName(scan(block))
     return out
 
 
+def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """(doc_id, text), (item_id, text) -> one row per document and item within the edit rate."""
+    return _found(docs, benchmark, **options).drop("h")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents in which no item leaks; all columns and repeated rows stay."""
-    bad = stored(find_leaks(docs, benchmark, **options).where("doc_id IS NOT NULL").select("doc_id").distinct(), "leaks")
-    return docs.join(bad, "doc_id", "left_anti")
+    """The documents in which no item leaks; all columns and repeated rows stay.
+
+    A row is named by its id and the hash of its text; rows without an id stay.
+    """
+    found = _found(docs, benchmark, **options).where("doc_id IS NOT NULL")
+    bad = stored(found.select(F.col("doc_id").alias("__bad_id"), F.col("h").alias("__bad_h")).distinct(), "leaks")
+    return docs.join(bad, (F.col("doc_id") == F.col("__bad_id")) & (F.xxhash64("text") == F.col("__bad_h")), "left_anti")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import SPACES, stored
 from .components import components
 
 N = 5
@@ -45,7 +45,7 @@ SKETCH = 32
 MIN_AGREE = 17
 SEED = 77
 
-SIGNATURE = "doc_id long, cid string, n int, sketch binary, tree array<struct<level: int, parent: long, path: long>>"
+SIGNATURE = "doc_id long, h long, cid string, n int, sketch binary, tree array<struct<level: int, parent: long, path: long>>"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -118,27 +118,27 @@ def _tree(grams: np.ndarray, threshold: float, runs: int, levels: int) -> list[t
 
 
 def signatures(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, runs: int = RUNS, levels: int = LEVELS) -> DataFrame:
-    """(doc_id, text) -> id of the word sequence, number of n-grams, sketch and chosen paths."""
+    """(doc_id, text) -> hash of the text, id of the word sequence, number of n-grams, sketch and chosen paths."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(n)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, text, h in zip(batch["doc_id"], batch["text"], batch["h"], strict=True):
                 words = words_of(text)
                 doc = None if pd.isna(doc_id) else int(doc_id)
                 if not words:
-                    rows.append((doc, None, 0, None, None))
+                    rows.append((doc, h, None, 0, None, None))
                     continue
                 cid = hashlib.sha256(b" ".join(words)).hexdigest()[:32]
                 grams = shingle(words)
                 tree = [{"level": a, "parent": b, "path": c} for a, b, c in _tree(grams, threshold, runs, levels)]
-                rows.append((doc, cid, len(grams), _sketch(grams), tree))
-            out = pd.DataFrame(rows, columns=["doc_id", "cid", "n", "sketch", "tree"])
+                rows.append((doc, h, cid, len(grams), _sketch(grams), tree))
+            out = pd.DataFrame(rows, columns=["doc_id", "h", "cid", "n", "sketch", "tree"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, SIGNATURE)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInPandas(run, SIGNATURE)
 
 
 def _final_buckets(sets: DataFrame, levels: int, bucket: int, block: int) -> DataFrame:
@@ -294,8 +294,11 @@ def links(docs: DataFrame, sets: DataFrame, placed: DataFrame, *, n: int = N, th
     found = stored(_by_comparison(placed).mapInPandas(active, row), "active")
     # texts are fetched only for sets that have a candidate
     one = sets.select("cid", "doc_id").join(found.select("cid").distinct(), "cid", "left_semi")
-    named = one.withColumnRenamed("doc_id", "_d")
-    texts = docs.select("doc_id", "text").join(named, F.col("doc_id").eqNullSafe(F.col("_d"))).select("cid", "text")
+    # texts without an id are told apart by their own digest, else all would meet all
+    own = F.substring(F.sha2(F.btrim(F.regexp_replace("text", SPACES, " ")), 256), 1, 32)
+    named = one.select("cid", F.col("doc_id").alias("_d"), F.when(F.col("doc_id").isNull(), F.col("cid")).otherwise("").alias("_c"))
+    own = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), own).otherwise("").alias("c"))
+    texts = own.join(named, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("c") == F.col("_c"))).select("cid", "text")
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # an id may stand on several texts: the right one has the digest
@@ -330,7 +333,7 @@ def links(docs: DataFrame, sets: DataFrame, placed: DataFrame, *, n: int = N, th
     return _by_comparison(whole).mapInPandas(compare, "cid string, root string, links long")
 
 
-def join_similar(
+def _joined(
     docs: DataFrame,
     *,
     n: int = N,
@@ -340,11 +343,7 @@ def join_similar(
     bucket: int = BUCKET,
     block: int = BLOCK,
 ) -> DataFrame:
-    """(doc_id, text) -> doc_id, class_id, n_links, n_copies, one row per input row.
-
-    `n_links` counts the different texts of similarity `threshold` or more, `n_copies` the
-    rows with the same text, the row itself included.
-    """
+    """What `join_similar` returns, with the hash of each row's text and the class's own name for it (null: no words)."""
     signed = stored(signatures(docs, n=n, threshold=threshold, runs=runs, levels=levels), "signatures")
     texts = signed.where("cid IS NOT NULL")
     sets = texts.groupBy("cid").agg(
@@ -363,23 +362,49 @@ def join_similar(
     named = stored(named.withColumn("root", F.coalesce("root", "cid")), "named")
     classes = stored(named.groupBy("root").agg(F.min("doc_id").alias("class_id")), "classes")
     facts = named.join(classes, "root").join(counted, "cid", "left")
-    facts = stored(facts.select("cid", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "facts")
-    return signed.select("doc_id", "cid").join(facts, "cid", "left").select(
+    facts = stored(facts.select("cid", "root", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "facts")
+    return signed.select("doc_id", "h", "cid").join(facts, "cid", "left").select(
         "doc_id",
+        "h",
+        "root",
         F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
     )
 
 
+def join_similar(
+    docs: DataFrame,
+    *,
+    n: int = N,
+    threshold: float = THRESHOLD,
+    runs: int = RUNS,
+    levels: int = LEVELS,
+    bucket: int = BUCKET,
+    block: int = BLOCK,
+) -> DataFrame:
+    """(doc_id, text) -> doc_id, class_id, n_links, n_copies, one row per input row.
+
+    `n_links` counts the different texts of similarity `threshold` or more, `n_copies` the
+    rows with the same text, the row itself included.
+    """
+    joined = _joined(docs, n=n, threshold=threshold, runs=runs, levels=levels, bucket=bucket, block=block)
+    return joined.select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class, that with the smallest id; a repeated row is kept once."""
-    # the table may be read again in other pieces, so rows are named by their id alone
-    own = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    ids = stored(join_similar(docs, **options).groupBy("doc_id").agg(F.count_if(own).alias("n")), "ids")
-    # the ids that go are the fewer ones, and their table is the smaller side of the join
-    gone = stored(ids.where("n = 0").select(F.col("doc_id").alias("__gone_id")), "gone")
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_id")), "left_anti")
-    if ids.where("n > 1").isEmpty():
+    """One document of each class, that with the smallest id (nulls last; of several texts of that id the one
+    of the smallest hash); a repeated row is kept once, and one without words stays."""
+    # the table may be read again in other pieces, so rows are named by their id and the hash of their text
+    rows = _joined(docs, **options).where("root IS NOT NULL").groupBy("root", "doc_id", "h").agg(F.count("*").alias("n"))
+    rows = stored(rows, "rows")
+    named = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")
+    firsts = stored(rows.groupBy("root").agg(F.min(named).alias("first")), "firsts")
+    ids = rows.join(firsts, "root").withColumn("own", named == F.col("first"))
+    # the rows that go are the fewer ones, and their table is the smaller side of the join
+    gone = stored(ids.where("NOT own").select(F.col("doc_id").alias("__gone_id"), F.col("h").alias("__gone_h")), "gone")
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.xxhash64("text") == F.col("__gone_h")), "left_anti")
+    if rows.where("n > 1").isEmpty():
         return kept
-    return kept.dropDuplicates(["doc_id", "text"])
+    worded = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return kept.where(worded).dropDuplicates(["doc_id", "text"]).unionByName(kept.where(F.coalesce(~worded, F.lit(True))))

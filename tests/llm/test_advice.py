@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.llm import decontam, linededup, toxicity
+from logloom.llm import decontam, linededup, ngramjoin, toxicity
 
 from .test_models import plain_edits
 from .test_native import clash, documents
@@ -93,3 +93,18 @@ def test_rare_toxic_words_are_terms(spark):
     found = {r.doc_id: r.predicted for r in toxicity.score(docs, index).collect()}
     rude = [i for i in range(0, 600, 5) if i // 5 % 15 in known]
     assert sum(found[i] for i in rude) >= 0.95 * len(rude) and sum(found[i] for i in range(600) if i % 5) <= 5
+
+
+def test_rows_without_or_with_repeated_ids(spark):
+    rng = random.Random(5)
+    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    one, two, clean = prose(), prose(), prose()
+    rows = [(None, one, "s"), (None, f"{one} more", "s"), (None, two, "s"), (7, clean, "s"), (7, f"{clean} again", "s"), (7, f" {clean}", "s"), (None, None, "s")]
+    kept = [(r.doc_id, r.text) for r in ngramjoin.keep_one(clash(documents(spark, rows))).collect()]
+    assert len(kept) == 4 and len([t for i, t in kept if i is None]) == 3 and (None, two) in kept and (None, None) in kept
+    joined = ngramjoin.join_similar(documents(spark, rows))
+    assert sorted(r.n_links for r in joined.collect()) == [0, 0, 1, 1, 1, 1, 1]
+    leaks = [(7, clean, "s"), (7, f"{two} {one}", "s"), (8, clean, "s")]
+    items = spark.createDataFrame([(1, one)], "item_id long, text string")
+    left = decontam.decontaminate(clash(documents(spark, leaks)), items)
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(7, clean), (8, clean)]
