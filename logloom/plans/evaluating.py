@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import evaluate as ev
 from ..operators import explore as ex
 from .catalog import query
@@ -75,6 +77,14 @@ def _(t):
     return ev.label_distribution(t.sql(PRED), "g5")
 
 
+@query(
+    "label_distribution_domain",
+    f"""WITH p AS ({PRED}) SELECT lower(trim(g1)) AS label, count(*) AS "count", round(count(*) / (SELECT count(*) FROM p) * 100, 4) AS pct FROM p GROUP BY 1""",
+)
+def _(t):
+    return ev.label_distribution(t.sql(PRED).withColumn("domain", F.lower(F.trim("g1"))), "domain")
+
+
 @query("top_labels", f"""WITH p AS ({PRED}) SELECT g3, count(*) AS "count" FROM p GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15""")
 def _(t):
     return ev.top_labels(t.sql(PRED), ["g3"], 15)
