@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html, linededup, mixing, ngramjoin, quality, sharding, toxicity, warc
+from . import chat, decontam, html, linededup, mixing, ngramjoin, quality, resample, runs, sharding, toxicity, vectortree, warc
+from .common import let, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -192,3 +193,80 @@ def op10(table):
     scored = toxicity.score(docs, toxicity.fit(docs, table("labels")))
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def planted(doc_id, text):
+    """The text that op11 reads: one in ten is made periodic from some word on, by its id."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10).cast("long")
+
+    def periodic(w):
+        n = F.size(w).cast("long")
+        a = F.pmod(g, n)
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + F.pmod(g, F.lit(8)))).cast("long")
+        # both numbers once, not again for every word
+        made = let(F.struct(a.alias("a"), p.alias("p")), lambda c: F.transform(w, lambda _, i: F.get(w, at_of(c, i))))
+        return F.when(n > 0, F.array_join(made, " "))
+
+    def at_of(c, i):
+        return F.when(i < c["a"], i).otherwise(c["a"] + F.pmod(i - c["a"], c["p"])).cast("int")
+
+    return F.when(h % 10 == 0, let(words(text), periodic)).otherwise(text)
+
+
+@query("op11_periodic_runs")
+def op11(table):
+    docs = table("documents")
+    found = runs.detect_runs(docs.select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    found = found.withColumn("best", best)
+    length, period = F.col("best.length"), -F.col("best.p")
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listing = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.s")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(listing, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op12_nearest_vectors")
+def op12(table):
+    return vectortree.search(table("embeddings"), F.col("id") % 100 == 0)
+
+
+# The check counts CRC-32 by bytes, since the SQL engine has no such function: a table of 256 entries from the polynomial.
+@query(
+    "op13_importance_resampling",
+    r"""
+WITH RECURSIVE step AS (SELECT i AS b, i::BIGINT AS c, 0 AS n FROM range(256) t(i)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM step WHERE n < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM step WHERE n = 8),
+d AS (SELECT row_number() OVER () AS rid, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+f AS (SELECT rid, unnest(w) AS w FROM d),
+known AS (SELECT DISTINCT w, hex(encode(w)) AS x FROM (SELECT w FROM f UNION ALL SELECT w FROM b)),
+coded AS (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+  lambda acc, v: xor(acc >> 8, t[xor(acc & 255, v) + 1])), 4294967295) % 10000 AS k FROM known, crc),
+s AS (SELECT k, count(*) AS n FROM f JOIN coded USING (w) GROUP BY k),
+t AS (SELECT k, count(*) AS n FROM b JOIN coded USING (w) GROUP BY k),
+a AS (SELECT (SELECT coalesce(sum(n), 0) FROM s) AS s, (SELECT coalesce(sum(n), 0) FROM t) AS t),
+g AS (SELECT k, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (a.s + 10000)::DOUBLE / ((s.n + 1)::DOUBLE * (a.t + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (k), a),
+w AS (SELECT rid, sum(gain)::BIGINT AS total, count(*) AS n FROM f JOIN coded USING (w) JOIN g USING (k) GROUP BY rid),
+r AS (SELECT rid, doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(floor(total / n), 0)::BIGINT AS weight,
+  ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN w USING (rid)),
+c AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM r),
+o AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+  10 * count(*) FILTER (n_features >= 20) OVER () // 100 AS drawn FROM c)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= drawn THEN place END AS rank FROM o
+""",
+)
+def op13(table):
+    return resample.resample(table("documents"), table("benchmark"))
