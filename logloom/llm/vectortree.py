@@ -11,7 +11,8 @@ the distance of their centres, and leaves are visited in that order.  How many i
 bounded sample of rows is searched by brute force, the places of their true neighbours
 in their own visiting order are looked up, and the visits are widened until the lower bound of the sample's
 recall reaches the target.  A query that has met too few rows by then goes on to further leaves.
-Distances are computed directly, in double precision, on the original vectors.
+The page of the nearest leaf is read first; from the other pages come only rows that are no farther than
+the last that it gave.  Distances are computed directly, in double precision, on the original vectors.
 
 Equal vectors are indexed once, with their k + 1 smallest ids: no other copy can be among
 the k nearest of any query, own id left out.  Equal queries are searched once.
@@ -323,11 +324,11 @@ def search(
                     seen: dict[int, list[int]] = {}
                     for leaf in known.visits(query, leaves, k + 1):
                         seen.setdefault(page[leaf], []).append(leaf)
-                    found += [(i, p, leaf) for p, leaf in seen.items()]
-                at = [i for i, _, _ in found]
-                yield part.iloc[at].assign(page=[p for _, p, _ in found], leaves=[x for _, _, x in found])
+                    found += [(i, p, leaf, n == 0) for n, (p, leaf) in enumerate(seen.items())]
+                at, pages, seen_leaves, firsts = zip(*found, strict=True)
+                yield part.iloc[list(at)].assign(page=pages, leaves=seen_leaves, first=firsts)
 
-    visits = each.mapInPandas(walk, f"vec {kind}, asked long, page long, leaves array<long>")
+    visits = each.mapInPandas(walk, f"vec {kind}, asked long, page long, leaves array<long>, first boolean")
     visits = stored(visits, "visits")
     held: dict[int, int] = {}
     for r in sizes:
@@ -341,8 +342,8 @@ def search(
     of = lambda column, count: F.pmod(F.xxhash64(column), F.col(count))
     every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
     left = index.join(F.broadcast(cuts), "leaf").withColumn("b", of("vec", "blocks")).withColumn("c", every("chunks"))
+    left = left.select("page", "b", "c", "leaf", "ids", "vec").groupBy("page", "b", "c")
     pages = F.broadcast(cuts.select("page", "blocks", "chunks").distinct())
-    right = visits.join(pages, "page").withColumn("c", of("asked", "chunks")).withColumn("b", every("blocks"))
 
     def meet(some: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -351,18 +352,26 @@ def search(
             names, starts = np.unique(some["leaf"].to_numpy(), return_index=True)
             span = dict(zip(names.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(some)], strict=True), strict=True))
             vectors, ids = matrix(some["vec"]), some["ids"].tolist()
-            for q, query, wanted in zip(queries["asked"], matrix(queries["vec"]), queries["leaves"], strict=True):
+            for q, query, wanted, most in zip(queries["asked"], matrix(queries["vec"]), queries["leaves"], queries["most"], strict=True):
                 at = [i for leaf in wanted if leaf in span for i in range(*span[leaf])]
                 if at:
                     near = pairs_of(query[None, :], vectors[at], [ids[i] for i in at], k + 1)[0]
-                    found += [(q, d, i) for d, i in near]
+                    found += [(q, d, i) for d, i in near if not d > most]  # no bound is NaN
         return pd.DataFrame(found, columns=["asked", "score", "id"])
 
-    groups = left.select("page", "b", "c", "leaf", "ids", "vec").groupBy("page", "b", "c")
-    met = groups.cogroup(right.select("page", "b", "c", "asked", "vec", "leaves").groupBy("page", "b", "c"))
-    met = met.applyInPandas(meet, "asked long, score double, id long")
+    def visit(some: DataFrame) -> DataFrame:
+        right = some.join(pages, "page").withColumn("c", of("asked", "chunks")).withColumn("b", every("blocks"))
+        right = right.select("page", "b", "c", "asked", "vec", "leaves", "most").groupBy("page", "b", "c")
+        found = left.cogroup(right).applyInPandas(meet, "asked long, score double, id long")
+        nearest = Window.partitionBy("asked").orderBy("score", "id")
+        return found.distinct().withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + 1)
+
+    # the page of the nearest leaf first: what it gives bounds what the other pages send
+    near = stored(visit(visits.where("first").withColumn("most", F.lit(None).cast("double"))), "near")
+    bound = near.where(F.col("r") == k + 1).select("asked", F.col("score").alias("most"))
+    met = near.unionByName(visit(visits.where(~F.col("first")).join(bound, "asked", "left")))
     nearest = Window.partitionBy("asked").orderBy("score", "id")
-    met = met.distinct().withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + 1)
+    met = met.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + 1)
     lists = met.groupBy("asked").agg(F.array_sort(F.collect_list(F.struct("score", "id"))).alias("near"))
 
     own = asked.join(each, "vec").select("id", "asked").distinct().join(lists, "asked")
