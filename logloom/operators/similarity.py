@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import held
+from ..session import held, measured_bytes
 
 PIVOTS = 64
 ITEM_ROWS = 4096  # vectors of one item block
@@ -154,8 +157,9 @@ def vector_topk(
 # --- labels -----------------------------------------------------------------
 
 
-LABEL_ROWS = 2048  # existing labels of one block
-ASKED_ROWS = 20_000  # labels of one chunk
+LABEL_INDEX_BYTES = 256 << 20  # what a task is sent at most
+LABEL_COPIES = 16  # bytes of the index for each byte of the labels, about
+RARE_LABELS = 64  # a gram of more labels than this is hot
 
 
 def _label_grams(label: str) -> set[str]:
@@ -164,56 +168,138 @@ def _label_grams(label: str) -> set[str]:
     return {*words, *("_".join(pair) for pair in zip(words, words[1:]))}
 
 
+@dataclass
+class LabelIndex:
+    """Known labels, in order, for the search of the nearest one by Jaccard.
+
+    Grams of at most `rare` labels have postings.  The others are hot: labels with the same set of hot
+    grams form a group, and of a group only the label of fewest grams (least on a tie) can win by
+    hot grams alone, for the score then depends on nothing else.
+    """
+
+    names: np.ndarray
+    sizes: np.ndarray
+    grams: dict[str, int]  # rare grams have numbers from 0 on, hot ones from `n_rare` on
+    n_rare: int
+    post_of: np.ndarray
+    post: np.ndarray
+    group: np.ndarray  # of each label
+    group_of: np.ndarray  # of each hot gram, its first entry in `groups`
+    groups: np.ndarray
+    first: np.ndarray  # of each group
+
+    @classmethod
+    def build(cls, names: list[str], rare: int) -> LabelIndex:
+        names = sorted(names)
+        each = [_label_grams(n) for n in names]
+        often = Counter(g for own in each for g in own)
+        known = sorted(often, key=lambda g: (often[g] > rare, often[g], g))
+        grams = {g: i for i, g in enumerate(known)}
+        n_rare = sum(often[g] <= rare for g in known)
+        pairs = np.array([(grams[g], j) for j, own in enumerate(each) for g in own if grams[g] < n_rare], np.int64).reshape(-1, 2)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        kinds: dict[tuple[int, ...], int] = {}
+        group = [kinds.setdefault(tuple(sorted(grams[g] for g in own if grams[g] >= n_rare)), len(kinds)) for own in each]
+        sizes = np.array([len(own) for own in each], np.int64)
+        group = np.array(group, np.int64)
+        order = np.lexsort((np.arange(len(names)), sizes, group))
+        heads = order[np.searchsorted(group[order], np.arange(len(kinds)))]
+        hot = np.array([(g - n_rare, k) for kind, k in kinds.items() for g in kind], np.int64).reshape(-1, 2)
+        hot = hot[np.lexsort((hot[:, 1], hot[:, 0]))]
+        return cls(
+            np.array(names, object),
+            sizes,
+            grams,
+            n_rare,
+            np.searchsorted(pairs[:, 0], np.arange(n_rare + 1)),
+            pairs[:, 1],
+            group,
+            np.searchsorted(hot[:, 0], np.arange(len(known) - n_rare + 1)),
+            hot[:, 1],
+            heads,
+        )
+
+    def nearest(self, label: str) -> tuple[str, float]:
+        """The known label of highest Jaccard, the least on a tie."""
+        own = _label_grams(label)
+        m, numbers = len(own), sorted(self.grams[g] for g in own if g in self.grams)
+        rare = [g for g in numbers if g < self.n_rare]
+        hot = np.zeros(len(self.first), np.int64)  # hot grams shared with each group
+        for g in numbers[len(rare) :]:
+            hot[self.groups[self.group_of[g - self.n_rare] : self.group_of[g - self.n_rare + 1]]] += 1
+        at, score = 0, 0.0
+
+        def offer(labels: np.ndarray, shared: np.ndarray) -> None:
+            nonlocal at, score
+            if len(labels):
+                jaccard = shared / (m + self.sizes[labels] - shared)
+                top = jaccard.max()
+                if top > 0 and top >= score:
+                    least = int(labels[jaccard == top].min())
+                    at, score = (min(at, least) if top == score else least), float(top)
+
+        offer(self.first, hot)
+        # rarest grams first; a label of Jaccard `score` or more shares one of the first m - score * m + 1 of any order
+        done = 0
+        while done < len(rare) and done <= m - math.ceil(score * m - 1e-9):
+            more = max(1, min(len(rare), m - math.ceil(score * m - 1e-9) + 1) - done) if done else 1
+            met = np.concatenate([self.post[self.post_of[g] : self.post_of[g + 1]] for g in rare[done : done + more]])
+            met = np.unique(met)
+            met = met[(self.sizes[met] >= score * m - 1e-9) & (self.sizes[met] * score <= m + 1e-9)]
+            done += more
+            offer(met, self._shared(met, rare) + hot[self.group[met]])
+        return self.names[at], score
+
+    def _shared(self, labels: np.ndarray, rare: list[int]) -> np.ndarray:
+        """Rare grams that each of the labels has in common with these."""
+        out = np.zeros(len(labels), np.int64)
+        for g in rare:
+            own = self.post[self.post_of[g] : self.post_of[g + 1]]
+            place = np.minimum(np.searchsorted(own, labels), len(own) - 1)
+            out += own[place] == labels
+        return out
+
+
 def nearest_label(
     labels: DataFrame,
     existing: DataFrame,
     fallback: str = "none",
-    label_rows: int = LABEL_ROWS,
-    asked_rows: int = ASKED_ROWS,
+    index_bytes: int = LABEL_INDEX_BYTES,
+    rare: int = RARE_LABELS,
 ) -> DataFrame:
     """(label, nearest, score): highest Jaccard over words and word pairs, least
     label on a tie (also when nothing is shared), `fallback` when none exists.
+    Nulls are no labels on either side.
 
-    A word that most labels share would pair nearly all with all in a join on
-    words.  So chunks of asked labels meet blocks of existing ones, both of
-    bounded size; a task keeps one best label per asked label, and no pair leaves it.
+    The known labels go to every task as an index, in parts of about `index_bytes` (measured);
+    each part is asked once for every label.  No pair of labels leaves a task, and a gram that most
+    labels share is not walked through: see `LabelIndex`.
     """
-    asked = held(labels.select("label").distinct())
-    known = held(existing.select(F.col("label").alias("nearest")).distinct())
-    blocks = math.ceil(known.count() / label_rows)
-    chunks = max(1, math.ceil(asked.count() / asked_rows))
-    if not blocks:
+    asked = labels.select("label").where(F.col("label").isNotNull()).distinct()
+    known = held(existing.select(F.col("label").alias("nearest")).where(F.col("nearest").isNotNull()).distinct())
+    parts = math.ceil(measured_bytes(known) * LABEL_COPIES / index_bytes)
+
+    def search(index: LabelIndex) -> DataFrame:
+        sent = labels.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = [sent.value.nearest(x) for x in batch["label"]]
+                yield pd.DataFrame({"label": batch["label"], "nearest": [n for n, _ in found], "score": [s for _, s in found]})
+
+        return asked.mapInPandas(run, "label string, nearest string, score double")
+
+    found = []
+    for part in range(parts):
+        own = known.where(F.pmod(F.xxhash64("nearest"), F.lit(parts)) == part) if parts > 1 else known
+        names = own.toArrow().column("nearest").to_pylist()
+        if names:
+            found.append(search(LabelIndex.build(names, rare)))
+    if not found:
         return asked.select("label", F.lit(fallback).alias("nearest"), F.lit(0.0).alias("score"))
-
-    def search(a: pd.DataFrame, k: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(k):
-            return pd.DataFrame(columns=["label", "nearest", "score"])
-        names = np.sort(k["nearest"].to_numpy().astype(object))
-        grams = [_label_grams(n) for n in names]
-        place = {g: i for i, g in enumerate(sorted(set().union(*grams)))}
-        has = np.zeros((len(place), len(names)), dtype=np.int16)
-        for j, members in enumerate(grams):
-            has[[place[g] for g in members], j] = 1
-        sizes = np.array([len(g) for g in grams])
-        best, score = [], []
-        for label in a["label"]:
-            own = _label_grams(label)
-            shared = has[[place[g] for g in own if g in place]].sum(axis=0)
-            jaccard = shared / (len(own) + sizes - shared)
-            at = int(jaccard.argmax())  # the first of equals is the least label
-            best.append(names[at])
-            score.append(float(jaccard[at]))
-        return pd.DataFrame({"label": a["label"], "nearest": best, "score": score})
-
-    spread = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select("label", spread("label", chunks).alias("_chunk"), every(blocks).alias("_block"))
-    right = known.select("nearest", every(chunks).alias("_chunk"), spread("nearest", blocks).alias("_block"))
-    found = (
-        left.groupBy("_chunk", "_block")
-        .cogroup(right.groupBy("_chunk", "_block"))
-        .applyInPandas(search, "label string, nearest string, score double")
-    )
-    # min over (-score, label): best score first, then the least label
-    best = found.groupBy("label").agg(F.min(F.struct((-F.col("score")).alias("s"), "nearest")).alias("b"))
-    return best.select("label", "b.nearest", F.round(-F.col("b.s"), 6).alias("score"))
+    best = reduce(DataFrame.unionByName, found)
+    if len(found) > 1:
+        # min over (-score, label): best score first, then the least label
+        best = best.groupBy("label").agg(F.min(F.struct((-F.col("score")).alias("s"), "nearest")).alias("b"))
+        best = best.select("label", "b.nearest", (-F.col("b.s")).alias("score"))
+    return best.withColumn("score", F.round("score", 6))

@@ -144,7 +144,7 @@ class Inputs:
         """Sources of a log come as one small file here; their texts are made and
         scanned on all cores.  Large input has more splits than cores and stays as it is."""
         cores = self.spark.sparkContext.defaultParallelism
-        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores // 2 else rows
+        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
     def corpus(self) -> DataFrame:
         return self.sql(CORPUS)

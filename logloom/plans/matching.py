@@ -93,7 +93,7 @@ _VOCAB, _WEIGHTS = tfidf_sql("SELECT text FROM documents UNION ALL SELECT text F
 
 
 def _doc_vocabulary(t):
-    docs = t.table("documents").select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text")
+    docs = t.spread(t.table("documents")).select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text")
     items = t.table("benchmark").select(F.concat(F.lit("b"), "item_id").alias("doc_id"), "text")
     return held(tb.fit_vocabulary(docs.unionByName(items)))
 
@@ -141,7 +141,7 @@ DOC_MATCHED = f"""asked AS ({DOC_ASKED}), tools AS ({DOC_TOOLS}), fit_gold AS (S
 
 
 def _doc_matches(t):
-    queries = t.sql(DOC_ASKED).withColumnRenamed("text", "features")
+    queries = t.spread(t.sql(DOC_ASKED)).withColumnRenamed("text", "features")
     tools = t.sql(DOC_TOOLS)
     return tb.match_toolbox(queries, tools, _doc_vocabulary(t)), tools
 

@@ -54,17 +54,34 @@ def held(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder and read it from there.
 
     Used where a result is read more than once and must be the same each time
-    (partition numbers of a sort), also after an executor is lost.
+    (partition numbers of a sort), also after an executor is lost.  What is held already is
+    not written again.
     """
+    if getattr(df, "_is_held", False):
+        return df
     scratch_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    kept._is_held = True
+    return kept
 
 
-BROADCAST_ROWS = 200_000  # narrow dictionary rows; some tens of megabytes
+BROADCAST_BYTES = 128 << 20
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A dictionary for one side of a join, held and counted: broadcast up to `rows`
-    rows, otherwise a shuffle join, which adaptive execution splits where skewed."""
+def measured_bytes(df: DataFrame) -> int:
+    """What the rows of `df` take in a broadcast, about: texts and nested values by their bytes, others by 16."""
+    sizes = [F.lit(32 + 16 * len(df.columns))]
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            sizes.append(F.octet_length(F.col(f"`{name}`")))
+        elif kind.startswith(("struct", "array", "map")):
+            sizes.append(F.octet_length(F.to_json(F.struct(F.col(f"`{name}`")))))
+    total = sum(F.coalesce(x.cast("long"), F.lit(0)) for x in sizes)
+    return df.agg(F.coalesce(F.sum(total), F.lit(0))).first()[0]
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A dictionary for one side of a join, held and measured: broadcast up to `most`
+    bytes, otherwise a shuffle join, which adaptive execution splits where skewed."""
     kept = held(df)
-    return F.broadcast(kept) if kept.count() <= rows else kept
+    return F.broadcast(kept) if measured_bytes(kept) <= most else kept
