@@ -13,6 +13,7 @@ from ..functions.text import computed
 from ..session import held, small_side
 
 NARROW = 6  # baskets up to this many tables give the first bound of the top lists
+LEADING = 8  # the most frequent pairs, whose sets of three raise the bound
 LETTERS = "abcde"
 
 
@@ -107,30 +108,130 @@ def popular_quints(df: DataFrame, max_tables: int | None = None) -> DataFrame:
     return popular_combinations(held(query_tables(df)), 5, max_tables)
 
 
+def _leads(rows: DataFrame, name: str, left: int) -> DataFrame:
+    """Conditional baskets: each member of `tables` that leaves `left` names behind it, as
+    column `name`, with those names.  They are dealt out again, so the subsets of one wide
+    row are formed in many tasks."""
+    out = rows.select("*", F.posexplode("tables").alias("_at", name)).filter(F.col("_at") < F.size("tables") - left)
+    rest = F.slice("tables", F.col("_at") + 2, F.size("tables") - F.col("_at") - 1)
+    return out.withColumn("tables", rest).drop("_at").repartition("_row", name)
+
+
+def _within(rows: DataFrame, keys: list[str], member: DataFrame, on: str) -> DataFrame:
+    """Baskets cut down to the tables that `member` (keys of the lead, `on`) allows."""
+    each = rows.select(*keys, F.explode("tables").alias(on))
+    return (
+        each.join(member, [c for c in member.columns], "left_semi")
+        .groupBy(*keys)
+        .agg(F.sort_array(F.collect_list(on)).alias("tables"))
+    )
+
+
+def _wide_sets(wide: DataFrame, size: int, pairs: DataFrame | None) -> DataFrame:
+    """The sets of wide baskets (_row, tables), lead by lead; with `pairs` only those all of whose pairs are in it."""
+    members = [f"table_{x}" for x in LETTERS[:size]]
+    rows, done = wide, []
+    for i, name in enumerate(members[:-1]):
+        rows, done = _leads(rows, name, size - i - 1), [*done, name]
+        if pairs is not None:  # what follows a lead must be its partner
+            partners = pairs.select(F.col("table_a").alias(name), F.col("table_b").alias("_t"))
+            rows = _within(rows, ["_row", *done], partners, "_t").filter(F.size("tables") >= size - i - 1)
+    return rows.select(*done, F.explode("tables").alias(members[-1]))
+
+
+def _first_sets(wide: DataFrame, size: int, n: int) -> DataFrame:
+    """At least the first `n` sets (by name) of each wide basket, if it has as many."""
+    starts = F.slice("tables", 1, n + size - 1)
+    alone = reduce(lambda x, i: x * (F.size("tables") - i) / i, range(1, size), F.lit(1.0)) >= n
+    rows = wide.select(F.when(alone, 1).otherwise(F.size("tables")).alias("_leads"), starts.alias("tables"))
+    sets = combinations_of(rows, size)
+    return sets.select(*[f"table_{x}" for x in LETTERS[:size]]).distinct()
+
+
+def combinations_of(rows: DataFrame, size: int) -> DataFrame:
+    """As `combinations`, the first member among the first `_leads` tables only."""
+    first = rows.select("_leads", "tables", F.posexplode("tables").alias("_at", "table_a"))
+    first = first.filter((F.col("_at") < F.col("_leads")) & (F.col("_at") < F.size("tables") - (size - 1)))
+    out = first.select("table_a", F.slice("tables", F.col("_at") + 2, F.size("tables")).alias("tables"))
+    if size == 2:
+        return out.select("table_a", F.explode("tables").alias("table_b"))
+    rest = [f"table_{x}" for x in LETTERS[1:size]]
+    out = out.select("table_a", "tables")
+    for i, name in enumerate(rest):
+        left = size - 2 - i
+        out = out.select(*[c for c in out.columns if c != "tables"], "tables", F.posexplode("tables").alias("_at", name))
+        out = out.filter(F.col("_at") < F.size("tables") - left)
+        out = out.withColumn("tables", F.slice("tables", F.col("_at") + 2, F.size("tables"))).drop("_at")
+    return out.drop("tables")
+
+
 def top_combinations(baskets: DataFrame, size: int, k: int, small: int = NARROW) -> DataFrame:
     """The k most frequent sets with no limit on tables per query, exactly.
 
-    A wide query (many tables) has far too many subsets to emit them all.  The
-    k-th best count among narrow queries alone is a lower bound for the final
-    k-th best count, and no set is more frequent than its rarest member; so in
-    wide queries only tables at or above the bound can take part, and the others
-    are removed before subsets are formed.  The result is the same.
+    A wide query (more than `small` tables) has far too many subsets to emit them all.  No set is more
+    frequent than the least frequent of its members or pairs, so wide queries are mined by levels:
+
+    * the k-th best count among narrow queries alone bounds the final k-th best count from below; in wide
+      queries only tables at or above the bound take part;
+    * for sets of three and more, only pairs at or above the bound take part, and the bound is raised first
+      by the sets that contain one of the most frequent pairs;
+    * subsets are formed from conditional baskets, one for each leading table, which are dealt out again.
+
+    A set of count 1 is no better than another but by name, so of these only the first by name are looked at.
     """
     members = [f"table_{x}" for x in LETTERS[:size]]
+    order = [F.desc("count"), *members]
     narrow = baskets.filter(F.size("tables") <= small)
-    best = _count_combinations(narrow, size).orderBy(F.desc("count")).offset(k - 1).limit(1)
-    bound = F.coalesce(best.select("count").scalar(), F.lit(0))
-    frequent = _count_tables(baskets).filter(F.col("count") >= bound).select("full_name")
-    wide = (
-        baskets.filter(F.size("tables") > small)
-        .select(F.monotonically_increasing_id().alias("_row"), "tables")  # ids may be missing
-        .select("_row", F.explode("tables").alias("full_name"))
-        .join(frequent, "full_name", "left_semi")
-        .groupBy("_row")
-        .agg(F.sort_array(F.collect_list("full_name")).alias("tables"))
-    )
-    counted = _count_combinations(narrow.select("tables").union(wide.select("tables")), size)
-    top = counted.orderBy(F.desc("count"), *members).limit(k)
+    # ids may be missing: rows get numbers of their own
+    wide = baskets.filter(F.size("tables") > small).select(F.monotonically_increasing_id().alias("_row"), "tables")
+    counted = _count_combinations(narrow, size)
+    if wide.isEmpty():
+        return _ranked(counted.orderBy(*order).limit(k), members)
+    wide = held(wide)
+
+    def kth(sets: DataFrame) -> int:
+        """The k-th best count, a bound from below; 1 if there are fewer sets."""
+        best = sets.select("count").orderBy(F.desc("count")).offset(k - 1).first()
+        return 1 if best is None else best[0]
+
+    bound = kth(counted)
+    often = max(bound, 2)
+    frequent = _count_tables(baskets).filter(F.col("count") >= often).select(F.col("full_name").alias("_t"))
+    cut = _within(wide, ["_row"], frequent, "_t").filter(F.size("tables") >= size)
+    cut = held(cut)
+    pairs = None
+    if size > 2:
+        both = combinations(narrow, 2).unionByName(_wide_sets(cut, 2, None))
+        pairs = both.groupBy("table_a", "table_b").agg(F.count(F.lit(1)).alias("count"))
+        pairs = held(pairs.filter(F.col("count") >= often))
+        bound = max(bound, kth(_around(baskets, pairs.orderBy(F.desc("count"), "table_a", "table_b").limit(LEADING), size, often)))
+        often = max(bound, 2)
+        pairs = small_side(pairs.filter(F.col("count") >= often).select("table_a", "table_b"))
+    sets = combinations(narrow, size).unionByName(_wide_sets(cut, size, pairs))
+    top = held(sets.groupBy(*members).agg(F.count(F.lit(1)).alias("count")).orderBy(*order).limit(k))
+    if bound <= 1 and top.filter(F.col("count") > 1).count() < k:
+        # sets of count 1: fewer than k others exist, so the first 2 k of a row hold its share of the first k
+        others = top.filter(F.col("count") > 1)
+        once = _first_sets(wide, size, 2 * k).join(others, members, "left_anti").withColumn("count", F.lit(1).cast("long"))
+        top = top.unionByName(once).distinct().orderBy(*order).limit(k)
+    return _ranked(top, members)
+
+
+def _around(baskets: DataFrame, few: DataFrame, size: int, often: int) -> DataFrame:
+    """Counts, from `often` on, of the sets of three that hold one of a few pairs; no rows for other sizes."""
+    rows = baskets.select(F.monotonically_increasing_id().alias("_row"), "tables")
+    pairs = [(r.table_a, r.table_b) for r in few.collect()]  # at most LEADING
+    if not pairs or size != 3:
+        return baskets.sparkSession.createDataFrame([], "count long")
+    has = [F.when(F.array_contains("tables", a) & F.array_contains("tables", b), F.array(F.lit(a), F.lit(b))) for a, b in pairs]
+    held_pairs = rows.select("tables", F.explode(F.filter(F.array(*has), lambda p: p.isNotNull())).alias("_p"))
+    beside = held_pairs.select("_p", F.explode(F.array_except("tables", "_p")).alias("_t"))
+    counts = beside.groupBy("_p", "_t").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") >= often)
+    # a set that holds two of the pairs is met twice
+    return counts.select(F.array_sort(F.concat("_p", F.array("_t"))).alias("_s"), "count").distinct()
+
+
+def _ranked(top: DataFrame, members: list[str]) -> DataFrame:
     order = Window.orderBy(F.desc("count"), *members)  # k rows
     return top.withColumn("rank", F.row_number().over(order).cast("long")).select("rank", *members, "count")
 
