@@ -278,14 +278,14 @@ def _(t):
 
 @query(
     "stream_new_queries",
-    f"""WITH arrivals AS ({ARRIVALS}) SELECT query_id, min(pos) AS pos, arg_min(name, pos) AS name
-FROM (SELECT query_id, pos, coalesce(name, '') AS name FROM arrivals WHERE query_id IS NOT NULL) GROUP BY 1""",
+    f"""WITH arrivals AS (SELECT query_id, pos, coalesce(name, '') AS name FROM ({ARRIVALS}) a)
+SELECT query_id, min(pos) AS pos, arg_min(name, pos) AS name FROM arrivals WHERE query_id IS NOT NULL GROUP BY 1
+UNION ALL SELECT query_id, pos, name FROM arrivals WHERE query_id IS NULL""",
 )
 def _(t):
-    # the log arrives as files; two runs over the same folder pass each id once
+    # the log arrives as files; two runs over the same folder pass each row once
     source = scratch_path(t.spark, "incoming")
-    rows = t.arrivals().filter("query_id IS NOT NULL")
-    rows.select("query_id", "pos", F.coalesce("name", F.lit("")).alias("name")).write.parquet(source)
+    t.arrivals().select("query_id", "pos", F.coalesce("name", F.lit("")).alias("name")).write.parquet(source)
     schema = "query_id string, pos long, name string"
     ledger, state = scratch_path(t.spark, "ledger"), scratch_path(t.spark, "state")
     for _run in range(2):
