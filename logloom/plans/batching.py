@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from ..functions.sqltext import est_tokens
@@ -347,3 +349,54 @@ def _(t):
 @query("extract_round_sources", f"{ROUND} SELECT value FROM links UNION SELECT query_id FROM todo")
 def _(t):
     return _round(t).links.select("value").distinct()
+
+
+def _shaky(model):
+    """The model, failing at the first try of every other prompt."""
+    tried = set()
+
+    def call(prompt):
+        key = zlib.crc32(prompt.encode())
+        if key % 2 and key not in tried:
+            tried.add(key)
+            raise TimeoutError("try again")
+        return model(prompt)
+
+    return call
+
+
+def _state(t):
+    tools = t.sql(TOOLS).drop("usage_count", "last_used_at")
+    return flows.Registry(tools, t.sql(LINKS), t.sql(LEDGER))
+
+
+@query(
+    "extract_drained",
+    f"""{ROUND} SELECT 'query' AS kind, query_id AS name FROM (SELECT query_id FROM ledger UNION SELECT query_id FROM todo)
+UNION ALL SELECT 'table', full_name FROM top""",
+)
+def _(t):
+    """Rounds until no top table has an unseen query: the ledger and the finished tables."""
+    path = scratch_path(t.spark, "drained")
+    calls = {"workers": 4, "retries": 1, "backoff": 0.0, "parallelism": 8}
+    end = flows.extract_drained(t.corpus(), top_tables(t), _state(t), _shaky(_one_tool), path, rows=50, tokens=5000, groups=None, **calls)
+    seen = end.state.ledger.select(F.lit("query").alias("kind"), F.col("query_id").alias("name"))
+    return seen.unionByName(end.tables.select(F.lit("table").alias("kind"), F.col("full_name").alias("name")))
+
+
+@query(
+    "composite_round",
+    f"""WITH ledger AS ({LEDGER}), links AS ({LINKS}), members AS ({MEMBERS}),
+corpus AS (SELECT * FROM ({CORPUS}) c WHERE CAST(query_id AS VARCHAR) NOT IN (SELECT query_id FROM ledger)
+  AND CAST(query_id AS VARCHAR) NOT IN (SELECT value FROM links)),
+picked AS (SELECT query_id, row_number() OVER (PARTITION BY group_name, member_no ORDER BY md5('0' || CAST(query_id AS VARCHAR)), query_id) AS r
+  FROM corpus JOIN members ON {MATCH} WHERE {REF_COUNT} > 1)
+SELECT 'query' AS kind, query_id AS name FROM (SELECT query_id FROM ledger UNION SELECT CAST(query_id AS VARCHAR) FROM picked WHERE r <= 40)
+UNION ALL SELECT DISTINCT 'group', group_name FROM members""",
+)
+def _(t):
+    """One prompt for each composite group: the ledger and the finished groups."""
+    done = t.spark.createDataFrame([], "group_name string")
+    state, groups = flows.composite_round(t.corpus(), _state(t), done, _one_tool)
+    seen = state.ledger.select(F.lit("query").alias("kind"), F.col("query_id").alias("name"))
+    return seen.unionByName(groups.select(F.lit("group").alias("kind"), F.col("group_name").alias("name")))

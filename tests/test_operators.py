@@ -309,16 +309,6 @@ def test_stream_passes_each_id_once(spark, tmp_path):
     assert got == [("1", 2, "first"), ("2", 1, "b"), ("3", 8, "c")]
 
 
-def test_stream_batch_can_run_again(spark, tmp_path):
-    """A batch that failed after its write replaces its own rows."""
-    path = str(tmp_path / "ledger")
-    rows = spark.createDataFrame([("1",), ("2",)], "query_id string")
-    for batch_id, part in ((0, rows.limit(1)), (1, rows)):
-        part.write.parquet(f"{path}/batch_id={batch_id}")
-    known = [r.query_id for r in arrivals._ledger(spark, path, 1).collect()]
-    assert known == ["1"]
-
-
 def test_page_numbers_ids_only(spark):
     df = spark.createDataFrame([(i, None if i % 5 else "n", None if i % 7 == 0 else f"q{i}") for i in range(100)], "query_id long, name string, query_sql string")
     want = [i for i in range(100) if i % 7][20:30]
