@@ -23,7 +23,7 @@ SEED_LISTS = _values(
     ],
     ["domain", "words"],
 )
-TEMPLATES = _values([(i, *t) for i, t in enumerate(tb.TEMPLATES)], ["k", "g5", "g3", "g4"])
+TEMPLATES = _values([(i, *t) for i, t in enumerate(tb.templates())], ["k", "g5", "g3", "g4"])
 TOOLBOX = f"""seed_lists AS {SEED_LISTS}, templates AS {TEMPLATES},
 active AS (SELECT domain, row_number() OVER (ORDER BY "count" DESC, domain) - 1 AS d FROM distribution WHERE active),
 made AS (SELECT a.d * 8 + t.k AS tool_ord, replace(t.g3, '{{domain}}', a.domain) AS g3, t.g4, t.g5, a.domain FROM active a CROSS JOIN templates t),
