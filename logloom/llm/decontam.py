@@ -45,6 +45,12 @@ PLACES = 3
 BLOCK_ITEMS = 2048
 SEED = 20240501
 CHUNK = 4096
+#: Seeds of longer items are as those of items of this length.
+LONG = 1000
+#: The random bits of a walk repeat after so many steps, far beyond what edits can shift.
+PERIOD = 4096
+#: Outputs of walks that are held at a time.
+WALK_BYTES = 32 << 20
 
 LEAK = "doc_id long, item_id long, edits int, item_chars int"
 
@@ -55,10 +61,12 @@ def normal(text: str | None) -> str:
 
 def seed_length(size: int, limit: int, gram: int) -> int:
     """The longest run, up to `gram`, that `limit` random edits of `size` characters leave whole often enough."""
+    if size > LONG:  # with the share of edits a run is the likelier whole, the longer the item
+        size, limit = LONG, LONG * limit // size
     for g in range(min(gram, size), 1, -1):
-        # inclusion and exclusion over the gaps between the edits
+        # inclusion and exclusion over the gaps between the edits, in whole numbers
         whole = sum((-1) ** (i + 1) * comb(limit + 1, i) * comb(size - i * g, limit) for i in range(1, (size - limit) // g + 1))
-        if whole >= SEED_RECALL * comb(size, limit):
+        if whole * 1000 >= int(SEED_RECALL * 1000) * comb(size, limit):
             return g
     return 1
 
@@ -77,7 +85,7 @@ def walk(codes: np.ndarray, at: np.ndarray, length: np.ndarray, way: int, bits:
         inside = gone < length
         symbol = np.where(inside, codes[np.where(inside, at + way * gone, 0)], 0)
         out[j] = symbol
-        gone += inside & bits[j][symbol]
+        gone += inside & bits[j % len(bits)][symbol]
     return out
 
 
@@ -131,7 +139,7 @@ class Items:
         self.automaton.make_automaton()
         rng = np.random.default_rng(SEED)
         self.steps = 2 * int(self.size.max())
-        self.bits = rng.integers(0, 2, (walks, self.steps, 256), np.uint8).astype(bool)
+        self.bits = rng.integers(0, 2, (walks, min(self.steps, PERIOD), 256), np.uint8).astype(bool)
         self.places = rng.random((walks, samples, places))
         self.codes = np.concatenate([_symbols(t) for t in self.texts])
         self.at = (np.cumsum(self.size) - self.size)[self.owner] + self.offset
@@ -151,8 +159,9 @@ class Items:
         """(strings x samples x places): the outputs at the sampled places of each window.
         `left`, `right`: what the text has on either side of the anchor."""
         out = np.empty((len(at), *self.places.shape[1:]), np.uint8)
-        for a in range(0, len(at), CHUNK):
-            part = slice(a, a + CHUNK)
+        step = max(1, min(CHUNK, WALK_BYTES // max(1, self.steps)))
+        for a in range(0, len(at), step):
+            part = slice(a, a + step)
             size, offset = self.size[self.owner[entry[part]]], self.offset[entry[part]]
             ahead = walk(codes, at[part], right[part], 1, self.bits[w], 2 * int((size - offset).max()))
             back = walk(codes, at[part] - 1, left[part], -1, self.bits[w], max(1, 2 * int(offset.max())))
@@ -184,6 +193,17 @@ class Items:
         keep = ~follows | (offset % STRIDE == 0)
         return owner[keep], places[keep], entry[keep]
 
+    def _exact(self, owner: np.ndarray, places: np.ndarray, entry: np.ndarray) -> list[tuple[int, int]]:
+        """(text, item) where all runs of the item stand one after the other: an exact copy."""
+        item, start = self.owner[entry], places - self.offset[entry]
+        order = np.lexsort((start, item, owner))
+        owner, item, start = owner[order], item[order], start[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (item[1:] != item[:-1]) | (start[1:] != start[:-1])
+        first = np.flatnonzero(new)
+        whole = np.diff(np.append(first, len(order))) == np.bincount(self.owner, minlength=len(self.texts))[item[first]]
+        return list(dict.fromkeys(zip(owner[first[whole]].tolist(), item[first[whole]].tolist(), strict=True)))
+
     def leaks(self, texts: list[str], max_rate: float) -> list[tuple[int, int, int]]:
         """(text number, item number, edits) of all leaks, the best of each pair."""
         owner, places, entries = [], [], []
@@ -199,14 +219,19 @@ class Items:
         if not entries:
             return []
         codes = np.concatenate([_symbols(texts[n]) for n in kept])
-        owner, places, entry = self._thinned(np.array(owner), np.array(places), np.concatenate(entries))
+        owner, places, entry = np.array(owner), np.array(places), np.concatenate(entries)
+        exact = self._exact(owner, places, entry)
+        best: dict[tuple[int, int], int] = dict.fromkeys(exact, 0)
+        if exact:
+            rest = ~np.isin(owner * len(self.texts) + self.owner[entry], [n * len(self.texts) + k for n, k in exact])
+            owner, places, entry = owner[rest], places[rest], entry[rest]
+        owner, places, entry = self._thinned(owner, places, entry)
         size, offset = self.size[self.owner[entry]], self.offset[entry]
         lengths = np.array([len(t) for t in texts])[owner]
         left = np.minimum(offset, places)
         right = np.minimum(size - offset, lengths - places)
         at = places + np.array([kept.get(n, 0) for n in range(len(texts))])[owner]
         close = self.near(codes, at, entry, left, right)
-        best: dict[tuple[int, int], int] = {}
         covered: dict[tuple[int, int], int] = {}
         order = np.flatnonzero(close)
         order = order[np.lexsort((places[order] - offset[order], self.owner[entry[order]], owner[order]))]
@@ -285,8 +310,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents in which no item leaks; all columns and repeated rows stay.
 
-    A row is named by its id and the hash of its text; rows without an id stay.
+    A row is named by its id, which may be null, and the hash of its text.
     """
-    found = _found(docs, benchmark, **options).where("doc_id IS NOT NULL")
+    found = _found(docs, benchmark, **options)
     bad = stored(found.select(F.col("doc_id").alias("__bad_id"), F.col("h").alias("__bad_h")).distinct(), "leaks")
-    return docs.join(bad, (F.col("doc_id") == F.col("__bad_id")) & (F.xxhash64("text") == F.col("__bad_h")), "left_anti")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad_id")) & (F.xxhash64("text") == F.col("__bad_h")), "left_anti")

@@ -165,18 +165,18 @@ def test_leaks_equal_brute_force(spark):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     docs = clash(documents(spark, rows))
     got = collections.Counter((r.doc_id, r.item_id, r.edits) for r in decontam.find_leaks(docs, benchmark, block_items=5).collect())
-    want = collections.Counter()
+    want, leaking = collections.Counter(), set()
     for i, t, _ in rows:
         for k, item in {(k, decontam.normal(x)) for k, x in items if x}:
             text = decontam.normal(t)
             edits = 0 if item in text else plain_edits(item, text) if len(text) < 2000 else 99
             if edits <= int(decontam.MAX_EDIT_RATE * len(item)):
                 want[i, k, edits] += 1
-    assert got == want and (3, 2, 0) in got
+                leaking.add(t)
+    assert got == want and (3, 2, 0) in got and items[1][1] in leaking
     clean = decontam.decontaminate(docs, benchmark)
     assert clean.columns == docs.columns
-    bad = {i for i, _, _ in want if i is not None}
-    assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted((i for i, _, _ in rows if i not in bad), key=str)
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted(((i, t) for i, t, _ in rows if t not in leaking), key=str)
     assert decontam.find_leaks(docs, benchmark.limit(0)).count() == 0 and decontam.find_leaks(docs.limit(0), benchmark).count() == 0
 
 
