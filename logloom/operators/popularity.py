@@ -13,6 +13,7 @@ from ..functions.text import computed
 from ..session import held, small_side
 
 NARROW = 6  # baskets up to this many tables give the first bound of the top lists
+DIRECT = 16  # 560 sets of three at most
 LEADING = 8  # the most frequent pairs, whose sets of three raise the bound
 LETTERS = "abcde"
 
@@ -165,7 +166,7 @@ def combinations_of(rows: DataFrame, size: int) -> DataFrame:
     return out.drop("tables")
 
 
-def top_combinations(baskets: DataFrame, size: int, k: int, small: int = NARROW) -> DataFrame:
+def top_combinations(baskets: DataFrame, size: int, k: int, small: int = NARROW, direct: int = DIRECT) -> DataFrame:
     """The k most frequent sets with no limit on tables per query, exactly.
 
     A wide query (more than `small` tables) has far too many subsets to emit them all.  No set is more
@@ -177,6 +178,9 @@ def top_combinations(baskets: DataFrame, size: int, k: int, small: int = NARROW)
       by the sets that contain one of the most frequent pairs;
     * subsets are formed from conditional baskets, one for each leading table, which are dealt out again.
 
+    Where no wide query keeps more than `direct` tables at or above the bound, their few subsets are
+    formed in the row instead.  The result is the same.
+
     A set of count 1 is no better than another but by name, so of these only the first by name are looked at.
     """
     members = [f"table_{x}" for x in LETTERS[:size]]
@@ -199,15 +203,16 @@ def top_combinations(baskets: DataFrame, size: int, k: int, small: int = NARROW)
     frequent = _count_tables(baskets).filter(F.col("count") >= often).select(F.col("full_name").alias("_t"))
     cut = _within(wide, ["_row"], frequent, "_t").filter(F.size("tables") >= size)
     cut = held(cut)
-    pairs = None
-    if size > 2:
+    pairs, widest = None, cut.agg(F.max(F.size("tables"))).first()[0] or 0
+    if size > 2 and widest > direct:
         both = combinations(narrow, 2).unionByName(_wide_sets(cut, 2, None))
         pairs = both.groupBy("table_a", "table_b").agg(F.count(F.lit(1)).alias("count"))
         pairs = held(pairs.filter(F.col("count") >= often))
         bound = max(bound, kth(_around(baskets, pairs.orderBy(F.desc("count"), "table_a", "table_b").limit(LEADING), size, often)))
         often = max(bound, 2)
         pairs = small_side(pairs.filter(F.col("count") >= often).select("table_a", "table_b"))
-    sets = combinations(narrow, size).unionByName(_wide_sets(cut, size, pairs))
+    wide_sets = combinations(cut, size) if widest <= direct else _wide_sets(cut, size, pairs)
+    sets = combinations(narrow, size).unionByName(wide_sets)
     top = held(sets.groupBy(*members).agg(F.count(F.lit(1)).alias("count")).orderBy(*order).limit(k))
     if bound <= 1 and top.filter(F.col("count") > 1).count() < k:
         # sets of count 1: fewer than k others exist, so the first 2 k of a row hold its share of the first k

@@ -28,16 +28,16 @@ def test_top_sets_equal_plain_loops(spark, size, seed):
     weights = [40, 30, 20] + [rng.choice([1, 3]) for _ in range(27)]
     baskets = [sorted(set(rng.choices(names, weights, k=rng.randint(2, (6, 25, 14)[seed])))) for _ in range((120, 60, 12)[seed])]
     baskets = [b for b in baskets if len(b) >= 2]
-    for k in (1, 5, 40):
-        got = popularity.top_combinations(frame(spark, baskets), size, k, small=4)
+    for k, direct in ((1, 0), (5, 0), (40, 0), (40, 16)):
+        got = popularity.top_combinations(frame(spark, baskets), size, k, small=4, direct=direct)
         assert [tuple(r) for r in got.orderBy("rank").collect()] == plain_top(baskets, size, k)
 
 
 @pytest.mark.parametrize("size", [2, 3])
 def test_sets_seen_once_come_by_name(spark, size):
     baskets = [[f"a{i:02d}" for i in range(12)], [f"b{i:02d}" for i in range(9)], ["a00", "a05", "c1", "c2", "c3", "c4", "c5", "c6"], ["x", "y"]]
-    for k in (3, 30):
-        got = popularity.top_combinations(frame(spark, baskets), size, k, small=4)
+    for k, direct in ((3, 0), (30, 0), (30, 16)):
+        got = popularity.top_combinations(frame(spark, baskets), size, k, small=4, direct=direct)
         assert [tuple(r) for r in got.orderBy("rank").collect()] == plain_top(baskets, size, k)
 
 
