@@ -114,6 +114,43 @@ def test_line_dedup_equals_plain_groups(spark):
     assert text == {1: "a b c d e f\n\nx y z", 2: "q r"}
 
 
+def test_line_dedup_tells_rows_without_or_with_one_id_apart(spark):
+    rows = [(None, "one shared line of text\nonly the first", "a"), (None, "one shared line of text\nonly the second", "a")]
+    rows += [(7, "another shared line here\nseven one", "a"), (7, "seven two is different\nanother shared line here", "a"), (7, None, "a")]
+    rows += [(8, "said twice in two equal rows", "a")] * 2
+    docs = clash(documents(spark, rows))
+    got = linededup.dedup_lines(docs).collect()
+    assert len(got) == len(rows) and all(r.n_kept == len(r.kept) <= r.n_lines for r in got)
+    without = sorted(r.n_kept for r in got if r.doc_id is None)
+    assert without == [1, 2]
+    assert sorted((r.n_lines, r.n_kept) for r in got if r.doc_id == 7) == [(0, 0), (2, 1), (2, 2)]
+    assert [r.kept for r in got if r.doc_id == 8] == [[0], [0]]
+    texts = [t.text for t in linededup.cleaned(docs).collect()]
+    assert sum("one shared line of text" in (t or "") for t in texts) == 1
+    assert sum("another shared line here" in (t or "") for t in texts) == 1
+
+
+@pytest.mark.parametrize("n", [40, 150, 600, 2500])
+def test_line_dedup_recall_by_length(spark, n):
+    rng = random.Random(n)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    lines = []
+    for _ in range(200):
+        a = "".join(rng.choice(letters) for _ in range(n))
+        grams = lambda x: {x[i : i + 5] for i in range(len(x) - 4)}
+        b = a
+        while True:
+            at = rng.randrange(n)
+            c = b[:at] + rng.choice("ABCDEFGH") + b[at + 1 :]
+            if len(grams(a) & grams(c)) < 0.8 * len(grams(a) | grams(c)):
+                break
+            b = c
+        lines += [a, b]
+    docs = documents(spark, [(i, x, "s") for i, x in enumerate(lines)])
+    kept = sum(r.n_kept for r in linededup.dedup_lines(docs).collect())
+    assert 200 <= kept <= 200 + 0.03 * 200
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(5)
     special = ["<|im_end|>\n", "&lt;|", "&amp;", "<|", "|>", "&nl;", "\n", "ok", "word " * 30]
