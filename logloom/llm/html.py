@@ -11,8 +11,9 @@ from a bounded sample of the given pages (`sample_pages` of at most `sample_byte
 the texts on both sides look alike and only structure tells them apart.
 
 Defined cases: null, empty or text-free html gives an empty text; markup may be cut off or not closed; an
-open comment, script or style runs to the end; repeated rows give equal results; an empty
-table gives an empty result; other columns are not read.
+open comment, script or style runs to the end; text of formulas and drawings stands in its line, fallback text of
+embedded objects and `noscript` is text like any other; ancestors count at any depth; repeated rows give equal
+results; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -49,9 +50,12 @@ CLASS_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var wbr img".split()
+    "strong sub sup time tt u var wbr img svg math object canvas audio video".split()
 )
-SILENT = frozenset("script style noscript template svg math iframe object head title textarea select canvas audio video".split())
+#: What lies in these is no text of the page.
+SILENT = frozenset("script style template iframe head title textarea select".split())
+#: All elements below these stand in the line, until an element of the page follows.
+FOREIGN = ("svg", "math")
 #: These end an open paragraph.
 ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
@@ -64,8 +68,6 @@ ENDS_ITSELF = frozenset("li dt dd tr td th option p".split())
 TRUTH = {"truthother": 0, "truthcontent": 1}
 #: An element of made pages that stands for no element at all.
 BARE = "truthbox"
-#: Features come from so many of the innermost ancestors.
-DEPTH = 64
 
 
 class Block:
@@ -97,8 +99,10 @@ def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order."""
     page = page or ""
     found: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    # open elements: tag, marks, and the label and the innermost marks that hold inside
+    stack: list[tuple[str, str, int, str]] = []
     is_open: Counter[str] = Counter()
+    around: Counter[str] = Counter()  # marks of open elements, however deep: features tell a set
     silent = 0
     parts: list[str] = []
     linked = 0
@@ -109,18 +113,21 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                near = stack[-DEPTH:]
-                path = tuple(m for t, m in near if t not in INLINE and t != BARE)
-                truth = next((TRUTH[w] for _, m in reversed(near) for w in m.split() if w in TRUTH), -1)
+                truth, inner = stack[-1][2:] if stack else (-1, "")
+                path = (*(m for m in around if m != inner), inner) if around else ()
                 found.append(Block(text, path, linked, truth))
             parts.clear()
         linked = 0
 
     def pop(index: int) -> None:
         nonlocal silent
-        for tag, _ in stack[index:]:
+        for tag, marks, _, _ in stack[index:]:
             silent -= tag in SILENT
             is_open[tag] -= 1
+            if tag not in INLINE and tag != BARE:
+                around[marks] -= 1
+                if not around[marks]:
+                    del around[marks]
         del stack[index:]
 
     while True:
@@ -138,7 +145,12 @@ def blocks(page: str | None) -> list[Block]:
         if not tag:
             continue
         rest = m["rest"] or m["rest2"] or ""
-        if tag not in INLINE or tag == "br":
+        own = tag in ENDS_PARAGRAPH or tag in ENDS_ITSELF or tag == "body"
+        foreign = not own and (is_open["svg"] > 0 or is_open["math"] > 0)
+        if own and (is_open["svg"] or is_open["math"]):  # an element of the page ends a drawing or formula
+            close_block()
+            pop(next(k for k, e in enumerate(stack) if e[0] in FOREIGN))
+        if tag not in INLINE and not foreign or tag == "br":
             close_block()
         if m["end"] or m["end2"]:
             if is_open[tag]:
@@ -151,7 +163,7 @@ def blocks(page: str | None) -> list[Block]:
             at = end.end() if end else len(page)
             continue
         if tag == "body" and silent:  # a head that was never closed
-            pop(next(k for k, (t, _) in enumerate(stack) if t in SILENT))
+            pop(next(k for k, e in enumerate(stack) if e[0] in SILENT))
         if tag in ENDS_PARAGRAPH or tag in ENDS_ITSELF:
             for k in range(len(stack) - 1, -1, -1):
                 open_tag = stack[k][0]
@@ -160,8 +172,16 @@ def blocks(page: str | None) -> list[Block]:
                     break
                 if open_tag not in INLINE:
                     break
+        if foreign and tag not in SILENT and tag not in FOREIGN:
+            continue  # its text goes on in the line
         if not rest.rstrip().endswith("/") or tag not in INLINE:
-            stack.append((tag, _marks(tag, rest) if rest else tag))
+            marks = _marks(tag, rest) if rest else tag
+            truth, inner = stack[-1][2:] if stack else (-1, "")
+            truth = next((TRUTH[w] for w in marks.split() if w in TRUTH), truth)
+            if tag not in INLINE and tag != BARE:
+                around[marks] += 1
+                inner = marks
+            stack.append((tag, marks, truth, inner))
             silent += tag in SILENT
             is_open[tag] += 1
     close_block()
@@ -435,8 +455,11 @@ def train_field(pieces: list[str], *, train_pages: int = TRAIN_PAGES, epochs: in
 def sample_pieces(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, sample_bytes: int = SAMPLE_BYTES) -> list[str]:
     """Texts of the blocks of a bounded sample of pages."""
     few = pages.where((F.octet_length("html") > 0) & (F.octet_length("html") <= sample_bytes))
-    few = few.select("html", hash60(F.col("page_id"), F.col("html")).alias("h")).orderBy("h", "html").limit(sample_pages)
-    return [b.text for r in few.collect() for b in blocks(r["html"])]
+    hashed = few.select("html", hash60(F.col("page_id"), F.col("html")).alias("h"))
+    # 64 numbers first, then their pages: no sort of whole pages, and no more than the sample comes to the driver
+    keys = sorted({r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(sample_pages).collect()})
+    chosen = hashed.where(F.col("h").isin(keys)).groupBy("h").agg(F.min("html").alias("html")).collect()
+    return [b.text for r in sorted(chosen) for b in blocks(r["html"])]
 
 
 def extract(pages: DataFrame, **options) -> DataFrame:
