@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sqltext as sx
 from ..functions.text import computed
-from ..session import small_side
+from ..session import held, small_side
 from .incremental import remaining
 
 
@@ -20,7 +20,10 @@ def reference_map(queries: DataFrame, tables: DataFrame) -> DataFrame:
     dictionary-sized table, and matched by equality; no query is compared with
     each table.
     """
-    refs = queries.select(F.explode(sx.mentions("query_sql")).alias("ref")).distinct()
+    return _meanings(queries.select(F.explode(sx.mentions("query_sql")).alias("ref")).distinct(), tables)
+
+
+def _meanings(refs: DataFrame, tables: DataFrame) -> DataFrame:
     name = F.substring_index("ref", ".", -1)
     cuts = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.substring(name, F.lit(1), i))
     wanted = tables.select(
@@ -37,12 +40,15 @@ def _matched(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     where they are.  Two references of a row may mean the same table: the first
     of them is kept, which the row decides from its own list, without a shuffle.
     """
-    mapping = small_side(mapping)
-    named = computed(rows, _refs=sx.mentions("query_sql"))
-    hits = named.select(*rows.columns, "_refs", F.explode("_refs").alias("ref")).join(mapping, "ref")
+    return _found(computed(rows, _refs=sx.mentions("query_sql")), mapping)
+
+
+def _found(named: DataFrame, mapping: DataFrame) -> DataFrame:
+    columns = [c for c in named.columns if c != "_refs"]
+    hits = named.select(*columns, "_refs", F.explode("_refs").alias("ref")).join(small_side(mapping), "ref")
     target = F.concat(F.col("ns"), F.lit("."), F.col("cut"))
     first = F.try_element_at(F.filter("_refs", lambda r: F.startswith(r, target)), F.lit(1))
-    return hits.filter(F.col("ref") == first).select(*rows.columns, "full_name")
+    return hits.filter(F.col("ref") == first).select(*columns, "full_name")
 
 
 def mentions_table(queries: DataFrame, tables: DataFrame) -> DataFrame:
@@ -51,6 +57,11 @@ def mentions_table(queries: DataFrame, tables: DataFrame) -> DataFrame:
     return _matched(rows, reference_map(queries, tables)).drop("query_sql")
 
 
+def _candidates(queries: DataFrame, max_len: int | None) -> DataFrame:
+    rows = queries.filter(F.col("query_sql").isNotNull())
+    return rows if max_len is None else rows.filter(F.length("query_sql") <= max_len)
+
+
 def _route(
     queries: DataFrame,
     popular: DataFrame,
@@ -58,11 +69,8 @@ def _route(
     max_len: int | None,
     seen: DataFrame | None,
 ) -> DataFrame:
-    rows = queries.filter(F.col("query_sql").isNotNull())
-    if max_len is not None:
-        rows = rows.filter(F.length("query_sql") <= max_len)
     n = sx.distinct_ref_count("query_sql")
-    rows = rows.filter(n > 1 if multi else n == 1)
+    rows = _candidates(queries, max_len).filter(n > 1 if multi else n == 1)
     if seen is not None:
         rows = remaining(rows, seen)
     return _matched(rows, reference_map(queries, popular))
@@ -90,6 +98,27 @@ def route_summary(single: DataFrame, multi: DataFrame) -> DataFrame:
     return both.groupBy("full_name").agg(F.sum("s").alias("n_single"), F.sum("m").alias("n_multi"))
 
 
+def route_counts(
+    queries: DataFrame, popular: DataFrame, max_len: int | None = None, seen: DataFrame | None = None
+) -> DataFrame:
+    """`route_summary` of both modes from one pass over the log.
+
+    The pass writes (references, several) of each query that names a table, without its text; the
+    dictionary of references and the counts are read from there.
+    """
+    rows = _candidates(queries, max_len)
+    if seen is not None:
+        rows = remaining(rows, seen)
+    parsed = computed(rows, _refs=sx.mentions("query_sql"), _n=sx.distinct_ref_count("query_sql"))
+    parsed = held(parsed.filter(F.col("_n") > 0).select("_refs", (F.col("_n") > 1).alias("several")))
+    mapping = _meanings(parsed.select(F.explode("_refs").alias("ref")).distinct(), popular)
+    return (
+        _found(parsed, mapping)
+        .groupBy("full_name")
+        .agg(F.count_if(~F.col("several")).alias("n_single"), F.count_if("several").alias("n_multi"))
+    )
+
+
 # Named sets of tables whose signals combine (fixed values).
 COMPOSITE_GROUPS = {
     "whale_accumulation": [("prices", "usd"), ("tokens", "transfers"), ("tokens", "balances")],

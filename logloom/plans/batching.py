@@ -62,7 +62,7 @@ FROM hits WHERE n_refs >= 1 GROUP BY 1""",
 )
 def _(t):
     log, top = t.corpus(), top_tables(t)
-    return routing.route_summary(routing.route_single(log, top), routing.route_multi(log, top))
+    return routing.route_counts(log, top)
 
 
 MEMBERS = " UNION ALL ".join(
