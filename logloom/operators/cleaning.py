@@ -1,8 +1,10 @@
 """Cleaning and deduplication of a query log.
 
-"First" rows are first by a position column.  Both dedupe steps are plain
-aggregations with map-side combine, so an id or a text that fills a third of
-the log is reduced to one row per input partition before the shuffle.
+"First" rows are first by a position column, which tells the rows apart.  Which rows stay is
+decided over positions, ids and text hashes of fixed width, in hash aggregations with
+map-side combine: an id or a text that fills a third of the log is one row per input
+partition before the shuffle.  The log then meets the positions that stay, held and
+measured: a broadcast, or one shuffle join; no row is sorted or aggregated with its texts.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col
+from ..session import small_side
 
 # Texts that say nothing (fixed values).
 EMPTY_DESCRIPTIONS = ["", "null", "none", "test", "n/a", "-"]
@@ -19,11 +22,8 @@ GARBAGE_NAMES = ["new query", "untitled", "query", "test", "unnamed query"]
 COPY_RUN = r"(?is)^(.*?)(?:Copy of\s*(?:\(#\d+\))?\s*)+"
 
 
-def _first_per(df: DataFrame, key: Column, pos: str) -> DataFrame:
-    rest = [c for c in df.columns if c != pos]
-    first = F.min_by(F.struct(*[col(c) for c in rest]), pos).alias("_row")
-    kept = df.groupBy(key.alias("_key")).agg(F.min(pos).alias(pos), first)
-    return kept.select(*[F.col(pos) if c == pos else F.col(f"_row.`{c}`") for c in df.columns])
+#: Start of the second hash of a text: both together are 128 bits.
+SECOND_HASH = "second"
 
 
 def _id_key(pos: str) -> Column:
@@ -36,14 +36,40 @@ def _too_short(n: int) -> Column:
     return col("query_sql").isNull() | (text == "") | (F.length(text) < n)
 
 
+def _facts(df: DataFrame, pos: str, n: int) -> DataFrame:
+    """(_pos, _id, _h1, _h2, _short) of each row; missing texts have a hash of their own."""
+    sql = F.struct(col("query_sql"))
+    return df.select(
+        col(pos).alias("_pos"),
+        _id_key(pos).alias("_id"),
+        F.xxhash64(sql).alias("_h1"),
+        F.xxhash64(F.lit(SECOND_HASH), sql, F.length("query_sql")).alias("_h2"),
+        _too_short(n).alias("_short"),
+    )
+
+
+def _first_ids(facts: DataFrame) -> DataFrame:
+    rest = [F.min_by(c, "_pos").alias(c) for c in ("_h1", "_h2", "_short")]
+    return facts.groupBy("_id").agg(*rest, F.min("_pos").alias("_first")).withColumnRenamed("_first", "_pos")
+
+
+def _first_texts(facts: DataFrame) -> DataFrame:
+    return facts.groupBy("_h1", "_h2").agg(F.min("_pos").alias("_pos"))
+
+
+def _staying(df: DataFrame, facts: DataFrame, pos: str) -> DataFrame:
+    kept = small_side(facts.select(F.col("_pos").alias("_kept")))
+    return df.join(kept, col(pos) == F.col("_kept"), "left_semi")
+
+
 def dedupe_by_id(df: DataFrame, pos: str = "pos") -> DataFrame:
     """Keep the first row of each query_id; rows without id all stay."""
-    return _first_per(df, _id_key(pos), pos)
+    return _staying(df, _first_ids(_facts(df, pos, 0)), pos)
 
 
 def dedupe_by_sql(df: DataFrame, pos: str = "pos") -> DataFrame:
     """Keep the first row of each SQL text; missing texts are one group."""
-    return _first_per(df, F.md5("query_sql"), pos)
+    return _staying(df, _first_texts(_facts(df, pos, 0)), pos)
 
 
 def drop_short_sql(df: DataFrame, n: int = 10) -> DataFrame:
@@ -68,10 +94,10 @@ def null_garbage_names(df: DataFrame) -> DataFrame:
 
 def clean(df: DataFrame, pos: str = "pos", n: int = 10) -> DataFrame:
     """All steps.  Rows with equal SQL are short together, so the length test
-    runs before the text dedupe and its rows (with the group of missing texts)
-    are never shuffled; the closing purge of blank SQL is part of that test."""
-    unique = dedupe_by_sql(drop_short_sql(dedupe_by_id(df, pos), n), pos)
-    return null_garbage_names(normalize_text(unique))
+    runs before the text dedupe, which then has no missing texts; the closing purge of
+    blank SQL is part of that test."""
+    first = _first_ids(_facts(df, pos, n)).filter(~F.col("_short"))
+    return null_garbage_names(normalize_text(_staying(df, _first_texts(first), pos)))
 
 
 CLEAN_STEPS = [

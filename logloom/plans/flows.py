@@ -71,10 +71,7 @@ def build_toolbox(log: DataFrame, gold: DataFrame, *more_logs: DataFrame) -> Too
     counts = popularity.prefix_counts(log, *more_logs)
     mapping = held(domains.domain_map(counts))
     voted = domains.with_votes(sx.add_shape_v2(toolbox.feature_text(log)))
-    # the log is read once; the row number is stable from here on
-    numbered = voted.withColumn("_row", F.monotonically_increasing_id())
-    rows = held(numbered.select("_row", "query_id", "features", "g5", "_votes"))
-    queries = held(rows.drop("_votes").join(domains.tally(rows, mapping, "_row"), "_row").drop("_row"))
+    queries = held(domains.with_domain(voted.select("query_id", "features", "g5", "_votes"), mapping))
     labelled = gold.select("query_id", "g3", "g4", F.col("g5").alias("_g5")).join(queries, "query_id")
     labelled = dense_position(labelled, "query_id", name="pos").select(
         "pos", "g3", "g4", F.col("_g5").alias("g5"), "domain", "features"

@@ -58,10 +58,19 @@ def test_texts_are_scanned_once(query_log):
     assert len(re.findall(r"--\[\^\\n\]", text)) == 1
 
 
-def test_clean_combines_before_each_shuffle(query_log):
+def test_clean_decides_over_numbers(query_log):
+    # positions, ids and hashes alone are aggregated, by hash; the log itself is neither sorted nor shuffled
+    text = plan(cleaning._first_texts(cleaning._first_ids(cleaning._facts(query_log, "pos", 10))))
+    assert text.count("Exchange hashpartitioning") == 2 and "SortAggregate" not in text
+    assert "ReadSchema: struct<query_id:bigint,pos:bigint,query_sql:string>" in text
     text = plan(cleaning.clean(query_log))
-    assert text.count("Exchange hashpartitioning") == 2
-    assert text.count("partial_min_by") == 2
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text and "Sort" not in text
+
+
+@pytest.mark.parametrize("name", ["query_domain", "classify_rules", "vote_domain"])
+def test_classification_stays_in_the_row(spark, name):
+    text = plan(QUERIES[name](spark, SF_DIR))
+    assert "Generate" not in text and "Exchange hashpartitioning" not in text.split("Subquery")[0]
 
 
 def test_page_sorts_ids_only(query_log):
