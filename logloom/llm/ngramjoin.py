@@ -4,9 +4,11 @@ Chosen-path join.  In every run a set chooses each of its n-grams with probabili
 1 / (threshold * size), by a hash all sets share, so sets that are similar choose a common n-gram
 more often than not.  Sets with the same choice form a bucket; a bucket above `bucket` sets
 splits again on n-grams chosen below that path.  Small buckets are compared by brute force.
-A pair at the threshold shares a bucket with probability 0.63 in a run if its buckets do not
-split, 0.47 and 0.38 after one and two splits; `runs` repeats bring all pairs to the target
-recall (default 8 runs: 0.998, 0.994, 0.98; pairs above the threshold more).
+A pair at the threshold chooses a common n-gram of a path with probability 0.63, and so shares a
+bucket in a run with 0.63, 0.47, 0.38 and 0.31 after none to three splits; the number of runs
+follows from the target recall after the most splits there can be (`runs_for`), so that pairs of
+smaller buckets, or above the threshold, are met more surely than that.  Paths below a bucket
+are made only for the sets of buckets that split.
 
 Large groups of near copies are not told apart by any n-gram.  Such a bucket, still too large at
 the last level, is compared block by block, each pair of blocks in a task of its own choice, so nothing
@@ -23,6 +25,7 @@ not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_side
 from .common import SPACES, stored
 from .components import components
 
 N = 5
 THRESHOLD = 0.8
-RUNS = 8
+RECALL = 0.98
 LEVELS = 4
 BUCKET = 256
 BLOCK = 512
@@ -45,7 +49,20 @@ SKETCH = 32
 MIN_AGREE = 17
 SEED = 77
 
-SIGNATURE = "doc_id long, h long, cid string, n int, sketch binary, tree array<struct<level: int, parent: long, path: long>>"
+SIGNATURE = "doc_id long, h long, cid binary, n int, sketch binary, paths array<long>"
+DIGEST = 16
+
+
+def runs_for(recall: float = RECALL, levels: int = LEVELS) -> int:
+    """Runs in which a pair at the threshold is met with probability `recall`, when its buckets split at all levels."""
+    met = 1.0
+    for _ in range(levels):
+        met = 1 - math.exp(-met)
+    return math.ceil(math.log(1 - recall) / math.log(1 - met))
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.sha256(b" ".join(words)).digest()[:DIGEST]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -98,27 +115,25 @@ def _sketch(grams: np.ndarray) -> bytes:
     return (_mix(least) >> np.uint64(48)).astype(np.uint16).tobytes()
 
 
-def _tree(grams: np.ndarray, threshold: float, runs: int, levels: int) -> list[tuple[int, int, int]]:
-    """(level, parent, path) of all the paths that a set chooses."""
+def _chosen(grams: np.ndarray, paths: np.ndarray, level: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The paths of `level` that a set chooses below `paths`, each once, and the path above each."""
     limit = np.uint64(min(2**64 - 1, int(2**64 / (threshold * len(grams)))))
-    paths = _mix(np.arange(runs, dtype=np.uint64) + np.uint64(1))
-    out: list[tuple[int, int, int]] = []
-    for level in range(1, levels + 1):
-        tried = _mix(grams[:, None] ^ paths[None, :])
+    found, above = [], []
+    for a in range(0, len(grams), 1 << 16):
+        tried = _mix(grams[a : a + (1 << 16), None] ^ paths[None, :])
         gram, path = np.nonzero(tried <= limit)
-        found = _mix(tried[gram, path] + np.uint64(level))
-        # a set is in a bucket once
-        found, at = np.unique(found, return_index=True)
-        path = path[at]
-        out += zip([level] * len(found), paths[path].astype(np.int64).tolist(), found.astype(np.int64).tolist(), strict=True)
-        paths = found
-        if not len(paths):
-            break
-    return out
+        found.append(_mix(tried[gram, path] + np.uint64(level)))
+        above.append(paths[path])
+    # a set is in a bucket once
+    out, at = np.unique(np.concatenate(found), return_index=True)
+    return out, np.concatenate(above)[at]
 
 
-def signatures(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, runs: int = RUNS, levels: int = LEVELS) -> DataFrame:
+def signatures(
+    docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, runs: int | None = None, levels: int = LEVELS
+) -> DataFrame:
     """(doc_id, text) -> hash of the text, id of the word sequence, number of n-grams, sketch and chosen paths."""
+    starts = _mix(np.arange(runs or runs_for(levels=levels), dtype=np.uint64) + np.uint64(1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(n)
@@ -130,42 +145,85 @@ def signatures(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, run
                 if not words:
                     rows.append((doc, h, None, 0, None, None))
                     continue
-                cid = hashlib.sha256(b" ".join(words)).hexdigest()[:32]
                 grams = shingle(words)
-                tree = [{"level": a, "parent": b, "path": c} for a, b, c in _tree(grams, threshold, runs, levels)]
-                rows.append((doc, h, cid, len(grams), _sketch(grams), tree))
-            out = pd.DataFrame(rows, columns=["doc_id", "h", "cid", "n", "sketch", "tree"])
+                paths, _ = _chosen(grams, starts, 1, threshold)
+                rows.append((doc, h, _digest(words), len(grams), _sketch(grams), paths.astype(np.int64)))
+            out = pd.DataFrame(rows, columns=["doc_id", "h", "cid", "n", "sketch", "paths"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInPandas(run, SIGNATURE)
 
 
-def _final_buckets(sets: DataFrame, levels: int, bucket: int, block: int) -> DataFrame:
+def _with_text(docs: DataFrame, rows: DataFrame, columns: str) -> DataFrame:
+    """`rows` (doc_id, cid and `columns`) with the text of each."""
+    # texts without an id are told apart by their own digest, else all would meet all
+    digest = F.unhex(F.substring(F.sha2(F.btrim(F.regexp_replace("text", SPACES, " ")), 256), 1, 2 * DIGEST))
+    none = F.lit(b"")
+    names = [c.split()[0] for c in columns.split(", ")] if columns else []
+    named = small_side(
+        rows.select(
+            "cid", *names, F.col("doc_id").alias("_d"), F.when(F.col("doc_id").isNull(), F.col("cid")).otherwise(none).alias("_c")
+        )
+    )
+    own = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), digest).otherwise(none).alias("c"))
+    met = own.join(named, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("c") == F.col("_c"))).select("cid", *names, "text")
+
+    def right(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # an id may stand on several texts: the right one has the digest
+        for batch in batches:
+            same = [_digest(words_of(t)) == c for c, t in zip(batch["cid"], batch["text"], strict=True)]
+            yield batch[same].drop_duplicates("cid")
+
+    return met.mapInPandas(right, ", ".join(["cid binary", *([columns] if columns else []), "text string"]))
+
+
+def _below(docs: DataFrame, sets: DataFrame, open_sets: DataFrame, n: int, threshold: float, levels: int) -> DataFrame:
+    """(cid, level, parent, path): the paths of the deeper levels of (cid, above), the sets in buckets that split."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingle = Shingler(n)
+        for batch in batches:
+            for cid, above, text in zip(batch["cid"], batch["above"], batch["text"], strict=True):
+                grams, paths = shingle(words_of(text)), np.array(above, np.int64).view(np.uint64)
+                for level in range(2, levels + 1):
+                    paths, parents = _chosen(grams, paths, level, threshold)
+                    if not len(paths):
+                        break
+                    made = {"level": level, "parent": parents.astype(np.int64), "path": paths.astype(np.int64)}
+                    yield pd.DataFrame({"cid": [cid] * len(paths), **made})
+
+    opened = open_sets.groupBy("cid").agg(F.collect_set("path").alias("above")).join(sets.select("cid", "doc_id"), "cid")
+    texts = _with_text(docs, opened, "above array<long>")
+    # the rows of one id and text come in several pieces
+    return texts.mapInPandas(run, "cid binary, level int, parent long, path long").distinct()
+
+
+def _final_buckets(docs: DataFrame, sets: DataFrame, n: int, threshold: float, levels: int, bucket: int, block: int) -> DataFrame:
     """(cid, path, blocks): the buckets in which sets are compared, with two sets or more.
 
     Level by level: count the sets of each open path; buckets that are small enough, or at
     the last level, are final, the larger ones open their children.
     """
-    nodes = sets.select("cid", F.explode("tree").alias("t")).select("cid", "t.level", "t.parent", "t.path")
-    nodes = stored(nodes, "nodes")
+    here = sets.select("cid", F.explode("paths").alias("path"))
     finals: list[DataFrame] = []
-    split: DataFrame | None = None
+    deeper: DataFrame | None = None
     for level in range(1, levels + 1):
-        here = nodes.where(F.col("level") == level)
-        if split is not None:
-            here = here.join(split.select(F.col("path").alias("parent")), "parent", "left_semi")
         counts = stored(here.groupBy("path").count().where("count > 1"), "counts")
         small = counts if level == levels else counts.where(F.col("count") <= bucket)
         met = here.join(small, "path").select("cid", "path", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
         finals.append(met)
-        split = counts.where(F.col("count") > bucket)
+        split = counts.where(F.col("count") > bucket).select("path")
         if level == levels or split.isEmpty():
             break
+        if deeper is None:
+            deeper = stored(_below(docs, sets, here.join(split, "path", "left_semi"), n, threshold, levels), "deeper")
+        here = deeper.where(F.col("level") == level + 1).join(split.withColumnRenamed("path", "parent"), "parent", "left_semi")
+        here = here.select("cid", "path")
     out = finals[0]
     for more in finals[1:]:
         out = out.unionByName(more)
-    return out
+    return stored(out, "finals")
 
 
 def _placed(sets: DataFrame, finals: DataFrame) -> DataFrame:
@@ -283,7 +341,7 @@ def _by_comparison(rows: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, sets: DataFrame, placed: DataFrame, *, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """(cid, root, links) parts: links of a set in one comparison, and the set it hangs on there."""
-    row = "cid string, n int, sketch binary, finals array<long>, path long, i int, j int, own int"
+    row = "cid binary, n int, sketch binary, finals array<long>, path long, i int, j int, own int"
 
     def active(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _groups(batches):
@@ -292,24 +350,9 @@ def links(docs: DataFrame, sets: DataFrame, placed: DataFrame, *, n: int = N, th
                 yield group.iloc[np.unique(np.concatenate([a, b]))]
 
     found = stored(_by_comparison(placed).mapInPandas(active, row), "active")
-    # texts are fetched only for sets that have a candidate
+    # texts are fetched only for sets that have a candidate; a text may come from several rows
     one = sets.select("cid", "doc_id").join(found.select("cid").distinct(), "cid", "left_semi")
-    # texts without an id are told apart by their own digest, else all would meet all
-    own = F.substring(F.sha2(F.btrim(F.regexp_replace("text", SPACES, " ")), 256), 1, 32)
-    named = one.select("cid", F.col("doc_id").alias("_d"), F.when(F.col("doc_id").isNull(), F.col("cid")).otherwise("").alias("_c"))
-    own = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), own).otherwise("").alias("c"))
-    texts = own.join(named, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("c") == F.col("_c"))).select("cid", "text")
-
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # an id may stand on several texts: the right one has the digest
-        for batch in batches:
-            same = [
-                hashlib.sha256(b" ".join(words_of(t))).hexdigest()[:32] == c
-                for c, t in zip(batch["cid"], batch["text"], strict=True)
-            ]
-            yield batch[same].drop_duplicates("cid")
-
-    texts = texts.mapInPandas(digest, "cid string, text string")
+    texts = _with_text(docs, one, "")
     whole = found.join(texts, "cid")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -330,7 +373,7 @@ def links(docs: DataFrame, sets: DataFrame, placed: DataFrame, *, n: int = N, th
             at = np.flatnonzero(counted)
             yield pd.DataFrame({"cid": cids[at], "root": cids[root[at]], "links": counted[at]})
 
-    return _by_comparison(whole).mapInPandas(compare, "cid string, root string, links long")
+    return _by_comparison(whole).mapInPandas(compare, "cid binary, root binary, links long")
 
 
 def _joined(
@@ -338,7 +381,7 @@ def _joined(
     *,
     n: int = N,
     threshold: float = THRESHOLD,
-    runs: int = RUNS,
+    runs: int | None = None,
     levels: int = LEVELS,
     bucket: int = BUCKET,
     block: int = BLOCK,
@@ -351,10 +394,10 @@ def _joined(
         F.count("*").alias("n_copies"),
         F.first("n").alias("n"),
         F.first("sketch").alias("sketch"),
-        F.first("tree").alias("tree"),
+        F.first("paths").alias("paths"),
     )
     sets = stored(sets, "sets")
-    placed = _placed(sets, _final_buckets(sets, levels, bucket, block))
+    placed = _placed(sets, _final_buckets(docs, sets, n, threshold, levels, bucket, block))
     parts = stored(links(docs, sets, placed, n=n, threshold=threshold), "links")
     counted = parts.groupBy("cid").agg(F.sum("links").alias("n_links"))
     roots = components(parts.select(F.col("cid").alias("a"), F.col("root").alias("b")))
@@ -378,7 +421,7 @@ def join_similar(
     *,
     n: int = N,
     threshold: float = THRESHOLD,
-    runs: int = RUNS,
+    runs: int | None = None,
     levels: int = LEVELS,
     bucket: int = BUCKET,
     block: int = BLOCK,
