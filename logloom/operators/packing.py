@@ -9,17 +9,20 @@ function needs only a running total.  So:
 2. Per interval, for each row that could be the first batch start in it, find
    the first batch start after the interval (`_exits`).  This does not need to
    know which of them is the real one, so all intervals run at once.
+   Groups of one interval begin at their first row and need no exits.
 3. The exits are composed, first inside blocks of intervals (`_block_exits`, in
    parallel), then over blocks: a few rows per block of many thousand log rows.
    That tells the real first start of each block, then of each interval.
 4. Per interval, number the batches from the real start.
 
 The unit of work is an interval, whatever the size of its group: one group may
-hold most of the table.  Only ids and sizes move, never the texts.
+hold most of the table.  Where groups are small and many, a task numbers a bucket of
+intervals at once.  Only ids and sizes move, never the texts.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -33,6 +36,7 @@ from ..functions.ordering import dense_position, running
 from ..functions.text import col
 from ..session import held
 
+BUCKET_ROWS = 1 << 16  # rows that are numbered at once, about; one interval may have more
 _EXIT = "{g}, _block long, _interval long, _entry long, _to long, _x long, _batches long"
 
 
@@ -219,29 +223,39 @@ def _pack(df: DataFrame, group: str, order: list[str], size: Column, rule: Rule,
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = _EXIT.format(g=f"{group} {kinds[group]}")
     width = (rule.rows or rule.budget) * span
-    exits = _reachable(held(_exits(rows, group, schema, rule, span, blocks)), group)
+    long = rows.where("_interval > 0").select(group).distinct()
+    exits = _reachable(held(_exits(rows.join(long, group, "left_semi"), group, schema, rule, span, blocks)), group)
     entries = _real_entries(exits, group, kinds[group], schema, width, blocks)
     out_schema = ", ".join(
         [f"{c} {kinds[c]}" for c in (group, *order)] + ["size long", "batch_no long"]
     )
 
-    def number(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_n")
-        n, entry, batch = pdf["_n"].to_numpy(), pdf["_entry"].iloc[0], pdf["_batch"].iloc[0]
-        starts = np.zeros(len(pdf), dtype=np.int64)
-        nxt = rule.next_starts(pdf["_before"].to_numpy(), pdf["_size"].to_numpy())
+    def batches(n: np.ndarray, before: np.ndarray, size: np.ndarray, entry: int, batch: int) -> np.ndarray:
+        """Batch numbers of one interval."""
+        starts = np.zeros(len(n), dtype=np.int64)
+        nxt = rule.next_starts(before, size)
         i = int(np.searchsorted(n, entry))
-        while i < len(pdf):
+        while i < len(n):
             starts[i] = 1
             i = nxt[i]
         # rows ahead of the first start belong to the batch that began earlier
-        return pdf.assign(size=pdf["_size"], batch_no=batch - 1 + np.cumsum(starts))[
-            [group, *order, "size", "batch_no"]
-        ]
-
+        return batch - 1 + np.cumsum(starts)
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_n", ignore_index=True)
+        # row numbers are dense over the whole table, so the rows of an interval follow each other
+        new = (pdf[group] != pdf[group].shift()) | (pdf["_interval"] != pdf["_interval"].shift())
+        cuts = np.append(np.flatnonzero(new), len(pdf))
+        n, before, size, entry, batch = (pdf[c].to_numpy() for c in ("_n", "_before", "_size", "_entry", "_batch"))
+        found = [batches(n[i:j], before[i:j], size[i:j], entry[i], batch[i]) for i, j in zip(cuts, cuts[1:])]
+        return pdf.assign(size=size, batch_no=np.concatenate(found))[[group, *order, "size", "batch_no"]]
+
+    buckets = max(1, math.ceil(rows.count() / BUCKET_ROWS))
     return (
-        rows.join(entries, [group, "_interval"])
-        .groupBy(group, "_interval")
+        rows.join(entries, [group, "_interval"], "left")
+        .fillna(0, ["_entry", "_batch"])  # the first interval of a group of one
+        .withColumn("_bucket", F.pmod(F.xxhash64(group, "_interval"), F.lit(buckets)))
+        .groupBy("_bucket")
         .applyInPandas(number, out_schema)
     )
 
