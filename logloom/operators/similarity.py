@@ -18,6 +18,7 @@ from ..session import held, measured_bytes
 PIVOTS = 64
 ITEM_ROWS = 4096  # vectors of one item block
 QUERY_ROWS = 16384  # vectors of one query chunk
+PRODUCT_CELLS = 1 << 22  # cells of the matrix product that a task holds at a time
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -33,6 +34,18 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
 
 
+def _best(asked: np.ndarray, items: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(items, cosines to 9 digits) of the k best items of each row, best first, the first of equals.
+    Rows are compared in slices, so memory does not follow their number."""
+    step = max(1, PRODUCT_CELLS // max(1, len(items)))
+    best, score = [], []
+    for low in range(0, len(asked), step):
+        cosine = np.round(asked[low : low + step] @ items.T, 9)
+        best.append(np.argsort(-cosine, axis=1, kind="stable")[:, :k].copy())  # a view would keep the whole order
+        score.append(np.take_along_axis(cosine, best[-1], axis=1))
+    return np.concatenate(best), np.concatenate(score)
+
+
 def _in_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Adds the nearest pivot and the distance to it."""
 
@@ -96,10 +109,8 @@ def vector_topk(
 
     def compare(q: pd.DataFrame, i: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per query the k best of a block: query row, item row, cosine."""
-        cosine = np.round(_unit(q["embedding"]) @ _unit(i["item_vec"]).T, 9)
-        best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(q)), best.shape[1])
-        return rows, best.ravel(), cosine[rows, best.ravel()]
+        best, cosine = _best(_unit(q["embedding"]), _unit(i["item_vec"]), k)
+        return np.repeat(np.arange(len(q)), best.shape[1]), best.ravel(), cosine.ravel()
 
     def bound(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
         tau = np.full(len(q), 2.0)
