@@ -212,7 +212,7 @@ LEDGER = "SELECT DISTINCT CAST(user_id AS VARCHAR(20)) AS query_id, CAST('2024-0
 SELECT query_id FROM ledger UNION SELECT value FROM links WHERE kind = 'source'""",
 )
 def _(t):
-    return inc.seen_ids(t.sql(LEDGER), t.sql(LINKS))
+    return inc.seen_ids(t.sql(LEDGER), t.links())
 
 
 @query(
@@ -337,7 +337,7 @@ todo AS (SELECT DISTINCT CAST(query_id AS VARCHAR) AS query_id FROM hits WHERE n
 
 def _round(t):
     tools = t.sql(TOOLS).drop("usage_count", "last_used_at")
-    state = flows.Registry(tools, t.sql(LINKS), t.sql(LEDGER))
+    state = flows.Registry(tools, t.links(), t.sql(LEDGER))
     return flows.extract_round(t.corpus(), top_tables(t), state, _one_tool, rows=50, tokens=5000)
 
 
@@ -367,7 +367,7 @@ def _shaky(model):
 
 def _state(t):
     tools = t.sql(TOOLS).drop("usage_count", "last_used_at")
-    return flows.Registry(tools, t.sql(LINKS), t.sql(LEDGER))
+    return flows.Registry(tools, t.links(), t.sql(LEDGER))
 
 
 @query(

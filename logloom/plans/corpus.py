@@ -6,6 +6,8 @@ one row per row of its source, so its size follows the data.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -98,10 +100,13 @@ FROM (SELECT concat('g', CAST(s_nationkey % 4 AS VARCHAR(20))) AS g1, concat('m'
       FROM supplier) s"""
 
 # Source links of the registry: the parts a supplier delivers, as query ids.
-LINKS = """
-SELECT DISTINCT concat('g', CAST(s_nationkey % 4 AS VARCHAR(20)), '.tool ', s_name) AS tool_id, 'source' AS kind,
+LINK_ROWS = """
+SELECT concat('g', CAST(s_nationkey % 4 AS VARCHAR(20)), '.tool ', s_name) AS tool_id, 'source' AS kind,
   CAST(l_partkey AS VARCHAR(20)) AS value
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"""
+LINKS = LINK_ROWS.replace("SELECT", "SELECT DISTINCT", 1)
+
+DISTINCT_ROWS = 500_000  # that one task compares
 
 # Proposed tools, one per order; every third key is in the registry already.
 NEW_TOOLS = """
@@ -146,6 +151,13 @@ class Inputs:
         cores = self.spark.sparkContext.defaultParallelism
         return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
+    def links(self) -> DataFrame:
+        """The rows of LINKS.  A table of few repeats is dealt out before it is made distinct, in parts that follow
+        its size: otherwise each task would hold its whole split."""
+        parts = max(1, math.ceil(self.table("lineitem").count() / DISTINCT_ROWS))
+        # `kind` is a constant, which the optimizer takes out of the distinct; dealt out by it, rows would move twice
+        return self.sql(LINK_ROWS).repartition(parts, "tool_id", "value").distinct()
+
     def corpus(self) -> DataFrame:
         return self.sql(CORPUS)
 

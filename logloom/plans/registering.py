@@ -46,7 +46,7 @@ UNION SELECT tool_id, 'combines', 'a.x' FROM valid WHERE pos % 5 = 0
 UNION SELECT tool_id, 'combines', 'b.' || g2 FROM valid WHERE pos % 5 = 0""",
 )
 def _(t):
-    return rg.merge_links(t.sql(TOOLS), t.sql(LINKS), _new(t))
+    return rg.merge_links(t.sql(TOOLS), t.links(), _new(t))
 
 
 SLUG = "trim(regexp_replace(lower(n.g3), '[^a-z0-9]+', '-', 'g'), '-')"
@@ -69,7 +69,7 @@ def _(t):
 UNION SELECT coalesce(t.tool_id, {SLUG}), 'source', CAST(n.query_id AS VARCHAR) FROM new_tools n LEFT JOIN tools t ON t.g3 = n.g3""",
 )
 def _(t):
-    return rg.upsert_links(t.sql(TOOLS), t.sql(LINKS), t.sql(NEW_TOOLS))
+    return rg.upsert_links(t.sql(TOOLS), t.links(), t.sql(NEW_TOOLS))
 
 
 COUNTED = "counts AS (SELECT tool_id, count(*) AS n FROM links WHERE kind = 'source' GROUP BY 1)"
@@ -82,7 +82,7 @@ COUNTED = "counts AS (SELECT tool_id, count(*) AS n FROM links WHERE kind = 'sou
 FROM tools LEFT JOIN counts USING (tool_id)""",
 )
 def _(t):
-    return rg.registry_listing(t.sql(TOOLS), t.sql(LINKS))
+    return rg.registry_listing(t.sql(TOOLS), t.links())
 
 
 @query("find_by_g3", f"WITH {REG} SELECT tool_id, g1, g3 FROM tools WHERE g3 = 'tool Supplier#000000007' ORDER BY tool_id LIMIT 1")
@@ -120,7 +120,7 @@ def _(t):
 FROM tools LEFT JOIN counts USING (tool_id)""",
 )
 def _(t):
-    return rg.popularity(t.sql(TOOLS), t.sql(LINKS))
+    return rg.popularity(t.sql(TOOLS), t.links())
 
 
 @query(
