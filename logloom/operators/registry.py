@@ -36,7 +36,7 @@ def merge_tools(tools: DataFrame, new: DataFrame) -> DataFrame:
 
 def merge_links(tools: DataFrame, links: DataFrame, new: DataFrame) -> DataFrame:
     """Links after merge_tools; `new` has arrays source_query_ids and combines per row."""
-    ids = tools.select("g1", "g3", "tool_id")
+    ids = tools.select("g1", "g3", "tool_id").distinct()  # a tool that is there twice must not repeat its rows
     rows = _keyed(new).join(ids, ["g1", "g3"], "left")
     target = F.coalesce("tool_id", F.concat_ws(".", "g1", "g3")).alias("tool_id")
     listed = lambda kind, column: F.transform(

@@ -1,5 +1,6 @@
 """The registry's links are made distinct in parts that follow their number."""
 
+from logloom.operators import registry
 from logloom.plans import corpus
 
 
@@ -20,3 +21,22 @@ def test_links_are_dealt_out_before_they_are_made_distinct(spark, tmp_path, monk
     assert links.rdd.getNumPartitions() == 3
     assert set(map(tuple, links.collect())) == set(map(tuple, t.sql(corpus.LINKS).collect()))
     assert links.count() == t.sql(corpus.LINKS).count()
+
+
+def test_a_tool_that_is_there_twice_does_not_repeat_rows(spark):
+    tools = spark.createDataFrame([("x", "g", "a")] * 30, "g1 string, g3 string, tool_id string").select("g1", "g3", "tool_id")
+    links = spark.createDataFrame([], "tool_id string, kind string, value string")
+    new = spark.createDataFrame([("x", "g", ["1", "2"], None)], "g1 string, g3 string, source_query_ids array<string>, combines array<string>")
+    met, real = [], type(new).union
+
+    def union(self, other):
+        met.append(other.count())
+        return real(self, other)
+
+    type(new).union = union
+    try:
+        out = registry.merge_links(tools, links, new)
+    finally:
+        type(new).union = real
+    assert met == [2]
+    assert sorted(map(tuple, out.collect())) == [("a", "source", "1"), ("a", "source", "2")]
