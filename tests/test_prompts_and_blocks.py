@@ -8,7 +8,12 @@ from logloom.operators import replies, similarity
 from logloom.plans import catalog
 
 
-def test_known_ids_are_not_written_in_every_prompt(spark, monkeypatch):
+def test_known_ids_are_not_written_in_every_prompt(spark, tmp_path, monkeypatch):
+    orders = ["id AS o_orderkey", "id * 7 % 40 AS o_custkey", "'1-URGENT' AS o_orderpriority"]
+    spark.range(60).selectExpr(*orders).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(5).selectExpr("cast(id AS int) AS n_nationkey").write.parquet(f"{tmp_path}/nation.parquet")
+    suppliers = ["id AS s_suppkey", "concat('S', id) AS s_name", "cast(id % 5 AS int) AS s_nationkey"]
+    spark.range(9).selectExpr(*suppliers).write.parquet(f"{tmp_path}/supplier.parquet")
     seen, real = [], replies.infer_batches
 
     def infer(prompts, fn, *rest, **named):
@@ -17,7 +22,7 @@ def test_known_ids_are_not_written_in_every_prompt(spark, monkeypatch):
 
     monkeypatch.setattr(replies, "infer_batches", infer)
     catalog.load_all()
-    catalog.QUERIES["infer_batches"](spark, "/root/testdata/sf0.001")
+    catalog.QUERIES["infer_batches"](spark, str(tmp_path))
     [(inside, known)] = seen
     assert inside == 0 and known.startswith("## Existing tool IDs") and known.endswith("\n\n")
 
