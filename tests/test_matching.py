@@ -63,6 +63,24 @@ def test_match_equals_plain_loops(spark, limits):
         assert "Aggregate" not in plan.split("MapInArrow")[1] and "hashpartitioning" not in plan
 
 
+@pytest.mark.parametrize("limits", [{"vocabulary_bytes": 16 * 40}, {"vocabulary_bytes": 0, "index_bytes": 4_000}])
+def test_match_with_a_vocabulary_beyond_the_limit(spark, limits):
+    """Only numbers of the rare terms are shuffled: rows are neither weighted by a window nor joined by text."""
+    rng = random.Random(5)
+    some = lambda n: " ".join(rng.choices([f"w{i}" for i in range(30)], k=rng.randint(0, n)))
+    tools = [(i, f"g{i}", "a", "lookup", rng.choice(["dex", None]), some(6)) for i in range(40)]
+    asked = [(i, some(20), "dex", rng.choice(["lookup", None])) for i in range(200)] + [(None, None, None, None), (3, "zz", "dex", None)]
+    box = spark.createDataFrame(tools, TOOLS)
+    queries = spark.createDataFrame(asked, ASKED).repartition(3)
+    fit = box.select("text").union(queries.select("features")).withColumn("doc_id", F.monotonically_increasing_id())
+    vocabulary = toolbox.fit_vocabulary(fit.where("text <> 'zz'"))
+    got = toolbox.match_toolbox(queries, box, vocabulary, **limits)
+    rows = sorted(((r.query_id, r.g3, round(r.score, 6)) for r in got.collect()), key=str)
+    assert rows == plain_match(asked, tools, {r.term: r.idf for r in vocabulary.collect()})
+    if "index_bytes" not in limits:
+        assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_match_without_tools_or_rows(spark):
     box = spark.createDataFrame([(1, "a", "b", "c", "d", "w1 w2")], TOOLS)
     vocabulary = toolbox.fit_vocabulary(box.withColumnRenamed("tool_ord", "doc_id"))
