@@ -81,6 +81,15 @@ def test_match_with_a_vocabulary_beyond_the_limit(spark, limits):
         assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_terms_are_counted_in_parts_that_follow_the_text(spark, monkeypatch):
+    """A task's texts are bounded, so its terms are."""
+    monkeypatch.setattr(toolbox, "TEXT_BYTES", 1 << 12)
+    docs = spark.createDataFrame([(i, f"word{i} " * 200) for i in range(100)], "doc_id long, text string")
+    counts = toolbox.term_counts(docs)
+    assert counts.rdd.getNumPartitions() >= 30
+    assert sorted((r.doc_id, r.term, r.tf) for r in counts.collect()) == sorted(x for i in range(100) for x in [(i, f"word{i}", 200), (i, f"word{i} word{i}", 199)])
+
+
 def test_match_without_tools_or_rows(spark):
     box = spark.createDataFrame([(1, "a", "b", "c", "d", "w1 w2")], TOOLS)
     vocabulary = toolbox.fit_vocabulary(box.withColumnRenamed("tool_ord", "doc_id"))
