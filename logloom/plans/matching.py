@@ -95,7 +95,7 @@ _VOCAB, _WEIGHTS = tfidf_sql("SELECT text FROM documents UNION ALL SELECT text F
 def _doc_vocabulary(t):
     docs = t.spread(t.table("documents")).select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text")
     items = t.table("benchmark").select(F.concat(F.lit("b"), "item_id").alias("doc_id"), "text")
-    return held(tb.fit_vocabulary(docs.unionByName(items)))
+    return tb.fit_vocabulary(docs.unionByName(items))
 
 
 @query("fit_vocabulary", f"WITH {_VOCAB} SELECT term, round(idf, 6) AS idf FROM vocab")

@@ -177,3 +177,16 @@ def test_nearest_label_looks_at_few_pairs():
         assert name == f"w{i}_v{i % 977}_of_system" and 0 < score < 1
         assert index.nearest("q_of_system")[0] == min(known)
     assert sum(looked) < 100 * 100 and index.n_rare > 20_000
+
+
+def test_vocabulary_query_writes_nothing(spark, tmp_path):
+    """The vocabulary of the documents is read once there, so it is not held."""
+    from logloom.plans.catalog import QUERIES, load_all
+
+    if not QUERIES:
+        load_all()
+    spark.createDataFrame([(1, "w1 w2"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "w1 w3")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = QUERIES["fit_vocabulary"](spark, str(tmp_path))
+    assert "LogicalRDD" not in got._jdf.queryExecution().logical().toString()
+    assert {r.term for r in got.collect()} == {"w1", "w2", "w3", "w1 w2", "w1 w3"}
