@@ -4,7 +4,8 @@ A random walk reads a string and either stays or moves on at each step, by rando
 depend on step and symbol.  Strings a few edits apart fall in step again and again, so their
 outputs differ in few places: edit distance has become Hamming distance.  Bit sampling
 compares a few random places of the outputs; repeated with other walks and places it finds
-a close pair with high probability.  What it finds is verified by exact edit distance.
+a close pair with high probability.  What it finds is verified by exact edit distance, unless too few of
+the item's runs of `Q` characters are there at all: an edit breaks no more than `Q` of them.
 
 Windows have the size of the item they are held against.  They are laid wherever a document
 and the item have a run of `gram` characters in common, at any offset of both, spaces or not; both walks
@@ -25,11 +26,13 @@ empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from math import comb
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,13 +47,19 @@ SAMPLES = 12
 PLACES = 3
 BLOCK_ITEMS = 2048
 SEED = 20240501
-CHUNK = 4096
+CHUNK = 1024
 #: Seeds of longer items are as those of items of this length.
 LONG = 1000
 #: The random bits of a walk repeat after so many steps, far beyond what edits can shift.
 PERIOD = 4096
 #: Outputs of walks that are held at a time.
 WALK_BYTES = 32 << 20
+#: Length of the runs that are counted before an edit distance is computed.
+Q = 4
+#: Characters of documents that are searched at a time, one document at least.
+SLICE_CHARS = 2 << 20
+
+PADDING = np.zeros(1, np.uint8)
 
 LEAK = "doc_id long, item_id long, edits int, item_chars int"
 
@@ -78,14 +87,16 @@ def _symbols(text: str) -> np.ndarray:
 
 
 def walk(codes: np.ndarray, at: np.ndarray, length: np.ndarray, way: int, bits: np.ndarray, steps: int) -> np.ndarray:
-    """CGK outputs (steps x strings) of the strings that begin at `at` and go `way` (1 or -1)."""
+    """CGK outputs (steps x strings) of the strings that begin at `at` and go `way` (1 or -1).
+
+    `codes` ends with a padding, which is where a string that ends with the text stops; no bit moves on from it.
+    """
     out = np.zeros((steps, len(at)), np.uint8)
-    gone = np.zeros(len(at), np.int64)
+    here, stop = at.astype(np.int64), at + way * length
     for j in range(steps):
-        inside = gone < length
-        symbol = np.where(inside, codes[np.where(inside, at + way * gone, 0)], 0)
-        out[j] = symbol
-        gone += inside & bits[j % len(bits)][symbol]
+        symbol = out[j]
+        np.multiply(codes[here], here != stop, out=symbol)
+        here += way * bits[j % len(bits)][symbol]
     return out
 
 
@@ -117,6 +128,15 @@ def edits_within(item: str, region: str) -> int:
     return best
 
 
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in pieces of about `SLICE_CHARS` characters of `column`."""
+    sizes = np.asarray(pc.fill_null(pc.utf8_length(batch.column(column)), 0), np.int64)
+    piece = (np.cumsum(sizes) - sizes) // SLICE_CHARS
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(sizes)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(a, b - a)
+
+
 class Items:
     """A block of the benchmark: seeds, and the sampled outputs of every window of its items."""
 
@@ -133,15 +153,17 @@ class Items:
                 offsets.append(at)
         self.owner, self.offset = np.array(owners, np.int64), np.array(offsets, np.int64)
         self.size = np.array([len(t) for t in self.texts], np.int64)
+        self.runs: dict[int, list[str]] = {}
         self.automaton = ahocorasick.Automaton()
         for seed, entries in seeds.items():
             self.automaton.add_word(seed, (len(seed), np.array(entries, np.int64)))
         self.automaton.make_automaton()
         rng = np.random.default_rng(SEED)
         self.steps = 2 * int(self.size.max())
-        self.bits = rng.integers(0, 2, (walks, min(self.steps, PERIOD), 256), np.uint8).astype(bool)
+        self.bits = rng.integers(0, 2, (walks, min(self.steps, PERIOD), 256), np.uint8).astype(np.int8)
+        self.bits[:, :, 0] = 0
         self.places = rng.random((walks, samples, places))
-        self.codes = np.concatenate([_symbols(t) for t in self.texts])
+        self.codes = np.concatenate([*[_symbols(t) for t in self.texts], PADDING])
         self.at = (np.cumsum(self.size) - self.size)[self.owner] + self.offset
         self.sampled = np.zeros((walks, len(owners), samples, places), np.uint8)
         self.ready = np.zeros((walks, len(owners)), bool)
@@ -158,18 +180,21 @@ class Items:
     def _sample(self, codes, at, entry, left, right, w: int) -> np.ndarray:
         """(strings x samples x places): the outputs at the sampled places of each window.
         `left`, `right`: what the text has on either side of the anchor."""
-        out = np.empty((len(at), *self.places.shape[1:]), np.uint8)
+        out = np.zeros((len(at), *self.places.shape[1:]), np.uint8)
         step = max(1, min(CHUNK, WALK_BYTES // max(1, self.steps)))
-        for a in range(0, len(at), step):
-            part = slice(a, a + step)
-            size, offset = self.size[self.owner[entry[part]]], self.offset[entry[part]]
-            ahead = walk(codes, at[part], right[part], 1, self.bits[w], 2 * int((size - offset).max()))
-            back = walk(codes, at[part] - 1, left[part], -1, self.bits[w], max(1, 2 * int(offset.max())))
-            place = (self.places[w][None] * (2 * size)[:, None, None]).astype(np.int64) - (2 * offset)[:, None, None]
-            row = np.arange(len(size))[:, None, None]
-            right_of = ahead[np.clip(place, 0, len(ahead) - 1), row]
-            left_of = back[np.clip(-1 - place, 0, len(back) - 1), row]
-            out[part] = np.where(place >= 0, right_of, left_of)
+        size, offset = self.size[self.owner[entry]], self.offset[entry]
+        for way, length, reach in ((1, right, size - offset), (-1, left, offset)):
+            # windows that reach about as far go together, so that none walks much longer than it has to
+            order = np.argsort(reach, kind="stable")
+            for a in range(0, len(order), step):
+                part = order[a : a + step]
+                place = (self.places[w][None] * (2 * size[part])[:, None, None]).astype(np.int64) - (2 * offset[part])[:, None, None]
+                row, sample, k = np.nonzero(place >= 0 if way > 0 else place < 0)
+                if not len(row):
+                    continue
+                place = place[row, sample, k] if way > 0 else -1 - place[row, sample, k]
+                walked = walk(codes, at[part] - (way < 0), length[part], way, self.bits[w], int(place.max()) + 1)
+                out[part[row], sample, k] = walked[place, row]
         return out
 
     def near(self, codes, at, entry, left, right) -> np.ndarray:
@@ -183,6 +208,17 @@ class Items:
             found[todo] = (seen == self._own(entry[todo], w)).all(axis=2).any(axis=1)
         return found
 
+    def possible(self, k: int, region: str, limit: int) -> bool:
+        """Are enough runs of item `k` in the region for `limit` edits?"""
+        text = self.texts[k]
+        least = len(text) - Q + 1 - Q * limit
+        if least <= 0:
+            return True
+        if k not in self.runs:
+            self.runs[k] = [text[i : i + Q] for i in range(len(text) - Q + 1)]
+        there = {region[i : i + Q] for i in range(len(region) - Q + 1)}
+        return sum(map(there.__contains__, self.runs[k])) >= least
+
     def _thinned(self, owner: np.ndarray, places: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of hits in a row, the first one and those at every `STRIDE`-th offset of the item."""
         item, offset = self.owner[entry], self.offset[entry]
@@ -218,7 +254,7 @@ class Items:
                 entries.append(found)
         if not entries:
             return []
-        codes = np.concatenate([_symbols(texts[n]) for n in kept])
+        codes = np.concatenate([*[_symbols(texts[n]) for n in kept], PADDING])
         owner, places, entry = np.array(owner), np.array(places), np.concatenate(entries)
         exact = self._exact(owner, places, entry)
         best: dict[tuple[int, int], int] = dict.fromkeys(exact, 0)
@@ -245,6 +281,8 @@ class Items:
             reach = first + 2 * limit
             region = texts[pair[0]][max(0, first - 2 * limit) : reach + int(size[i]) + 2 * limit]
             covered[pair] = reach
+            if not self.possible(pair[1], region, limit):
+                continue
             edits = edits_within(self.texts[pair[1]], region)
             if edits <= limit and edits < best.get(pair, limit + 1):
                 best[pair] = edits
@@ -279,22 +317,24 @@ def _found(
     """What `find_leaks` returns, with the hash of the text it was found in."""
 
     def scan(block: list[tuple[int, str]]) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = Items(block, gram, max_edit_rate, walks, samples, places)
-            for batch in batches:
-                ids, hashes = batch["doc_id"].tolist(), batch["h"].tolist()
-                found = items.leaks([normal(t) for t in batch["text"]], max_edit_rate)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": pd.array([None if pd.isna(ids[n]) else int(ids[n]) for n, _, _ in found], "Int64"),
-                        "item_id": pd.array([items.ids[k] for _, k, _ in found], "Int64"),
-                        "edits": np.array([e for _, _, e in found], np.int32),
-                        "item_chars": np.array([items.size[k] for _, k, _ in found], np.int32),
-                        "h": np.array([hashes[n] for n, _, _ in found], np.int64),
-                    }
-                )
-
-        return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInPandas(run, f"{LEAK}, h long")
+            for piece in chain.from_iterable(slices(batch, "text") for batch in batches):
+                ids, hashes = piece.column("doc_id").to_pylist(), piece.column("h").to_pylist()
+                found = items.leaks([normal(t) for t in piece.column("text").to_pylist()], max_edit_rate)
+                if found:
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([None if ids[n] is None else int(ids[n]) for n, _, _ in found], pa.int64()),
+                            pa.array([items.ids[k] for _, k, _ in found], pa.int64()),
+                            pa.array([e for _, _, e in found], pa.int32()),
+                            pa.array([int(items.size[k]) for _, k, _ in found], pa.int32()),
+                            pa.array([hashes[n] for n, _, _ in found], pa.int64()),
+                        ],
+                        names=["doc_id", "item_id", "edits", "item_chars", "h"],
+                    )
+
+        return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, f"{LEAK}, h long")
 
     out = docs.sparkSession.createDataFrame([], f"{LEAK}, h long")
     for block in _blocks(benchmark, block_items):
