@@ -27,6 +27,8 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -76,23 +78,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
 class Shingler:
     """The distinct n-gram hashes of texts; word hashes are remembered up to a bound."""
 
-    REMEMBERED = 500_000
+    REMEMBERED = 100_000
 
     def __init__(self, n: int = N):
         self.n = n
-        self.known: dict[bytes, int] = {}
+        self.known = _WordHashes()
         self.odd = _mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.REMEMBERED:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        h = np.array([known[w] for w in words], np.uint64)
+        if len(self.known) > self.REMEMBERED:
+            self.known.clear()
+        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         if len(h) < self.n:
             return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=1)], np.uint64) if len(h) else h
         last = len(h) - self.n + 1
@@ -155,27 +160,29 @@ def signatures(
     return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInPandas(run, SIGNATURE)
 
 
-def _with_text(docs: DataFrame, rows: DataFrame, columns: str) -> DataFrame:
-    """`rows` (doc_id, cid and `columns`) with the text of each."""
+def _texts_by_id(docs: DataFrame, rows: DataFrame, names: list[str]) -> DataFrame:
+    """`rows` (doc_id, cid and `names`) with every text of the id: the right one has the digest."""
     # texts without an id are told apart by their own digest, else all would meet all
     digest = F.unhex(F.substring(F.sha2(F.btrim(F.regexp_replace("text", SPACES, " ")), 256), 1, 2 * DIGEST))
     none = F.lit(b"")
-    names = [c.split()[0] for c in columns.split(", ")] if columns else []
     named = small_side(
         rows.select(
             "cid", *names, F.col("doc_id").alias("_d"), F.when(F.col("doc_id").isNull(), F.col("cid")).otherwise(none).alias("_c")
         )
     )
     own = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), digest).otherwise(none).alias("c"))
-    met = own.join(named, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("c") == F.col("_c"))).select("cid", *names, "text")
+    return own.join(named, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("c") == F.col("_c"))).select("cid", *names, "text")
+
+
+def _with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """`rows` (doc_id, cid) with the text of each."""
 
     def right(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # an id may stand on several texts: the right one has the digest
         for batch in batches:
             same = [_digest(words_of(t)) == c for c, t in zip(batch["cid"], batch["text"], strict=True)]
             yield batch[same].drop_duplicates("cid")
 
-    return met.mapInPandas(right, ", ".join(["cid binary", *([columns] if columns else []), "text string"]))
+    return _texts_by_id(docs, rows, []).mapInPandas(right, "cid binary, text string")
 
 
 def _below(docs: DataFrame, sets: DataFrame, open_sets: DataFrame, n: int, threshold: float, levels: int) -> DataFrame:
@@ -184,19 +191,29 @@ def _below(docs: DataFrame, sets: DataFrame, open_sets: DataFrame, n: int, thres
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(n)
         for batch in batches:
+            done, cids, sizes = set(), [], []
+            made: tuple[list, list, list] = ([], [], [])
             for cid, above, text in zip(batch["cid"], batch["above"], batch["text"], strict=True):
-                grams, paths = shingle(words_of(text)), np.array(above, np.int64).view(np.uint64)
+                words = words_of(text)
+                if cid in done or _digest(words) != cid:
+                    continue
+                done.add(cid)
+                grams, paths = shingle(words), np.array(above, np.int64).view(np.uint64)
                 for level in range(2, levels + 1):
                     paths, parents = _chosen(grams, paths, level, threshold)
                     if not len(paths):
                         break
-                    made = {"level": level, "parent": parents.astype(np.int64), "path": paths.astype(np.int64)}
-                    yield pd.DataFrame({"cid": [cid] * len(paths), **made})
+                    cids.append(cid)
+                    sizes.append(len(paths))
+                    for column, part in zip(made, (np.full(len(paths), level), parents.astype(np.int64), paths.astype(np.int64)), strict=True):
+                        column.append(part)
+            if cids:
+                level, parent, path = (np.concatenate(column) for column in made)
+                yield pd.DataFrame({"cid": np.repeat(np.array(cids, object), sizes), "level": level, "parent": parent, "path": path})
 
     opened = open_sets.groupBy("cid").agg(F.collect_set("path").alias("above")).join(sets.select("cid", "doc_id"), "cid")
-    texts = _with_text(docs, opened, "above array<long>")
     # the rows of one id and text come in several pieces
-    return texts.mapInPandas(run, "cid binary, level int, parent long, path long").distinct()
+    return _texts_by_id(docs, opened, ["above"]).mapInPandas(run, "cid binary, level int, parent long, path long").distinct()
 
 
 def _final_buckets(docs: DataFrame, sets: DataFrame, n: int, threshold: float, levels: int, bucket: int, block: int) -> DataFrame:
@@ -205,11 +222,16 @@ def _final_buckets(docs: DataFrame, sets: DataFrame, n: int, threshold: float, l
     Level by level: count the sets of each open path; buckets that are small enough, or at
     the last level, are final, the larger ones open their children.
     """
-    here = sets.select("cid", F.explode("paths").alias("path"))
+    here = sets.select("cid", F.lit(0).cast("long").alias("parent"), F.explode("paths").alias("path"))
     finals: list[DataFrame] = []
     deeper: DataFrame | None = None
+    split: DataFrame | None = None
     for level in range(1, levels + 1):
-        counts = stored(here.groupBy("path").count().where("count > 1"), "counts")
+        # a path has one parent: what is below a bucket that did not split goes by paths, not by their sets
+        crowds = here.groupBy("path", "parent").count().where("count > 1")
+        if split is not None:
+            crowds = crowds.join(split.withColumnRenamed("path", "parent"), "parent", "left_semi")
+        counts = stored(crowds.select("path", "count"), "counts")
         small = counts if level == levels else counts.where(F.col("count") <= bucket)
         met = here.join(small, "path").select("cid", "path", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
         finals.append(met)
@@ -218,8 +240,7 @@ def _final_buckets(docs: DataFrame, sets: DataFrame, n: int, threshold: float, l
             break
         if deeper is None:
             deeper = stored(_below(docs, sets, here.join(split, "path", "left_semi"), n, threshold, levels), "deeper")
-        here = deeper.where(F.col("level") == level + 1).join(split.withColumnRenamed("path", "parent"), "parent", "left_semi")
-        here = here.select("cid", "path")
+        here = deeper.where(F.col("level") == level + 1).select("cid", "parent", "path")
     out = finals[0]
     for more in finals[1:]:
         out = out.unionByName(more)
@@ -247,46 +268,82 @@ def _placed(sets: DataFrame, finals: DataFrame) -> DataFrame:
     )
 
 
-def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The comparisons of a partition that is sorted by them, whole."""
+class Group(NamedTuple):
+    """The rows of a comparison, as parts of the arrays of a batch."""
+
+    path: int
+    i: int
+    j: int
+    n: np.ndarray
+    own: np.ndarray
+    sketch: np.ndarray
+    finals: np.ndarray
+
+    def take(self, rows: np.ndarray) -> Group:
+        return self._replace(n=self.n[rows], own=self.own[rows], sketch=self.sketch[rows], finals=self.finals[rows])
+
+
+def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[tuple[int, Group]]]]:
+    """Batches of a partition that is sorted by comparisons, with the comparisons that are whole in each
+    and their first rows."""
     rest: pd.DataFrame | None = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        if rest is not None:
+    for batch in chain(batches, [None]):
+        last = batch is None
+        if last or not len(batch):
+            if not last or rest is None:
+                continue
+            batch, rest = rest, None
+        elif rest is not None:
             batch = pd.concat([rest, batch], ignore_index=True)
-        keys = batch[["path", "i", "j"]].to_numpy(np.int64)
-        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-        bounds = [0, *cuts.tolist()]
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            yield batch.iloc[a:b]
-        rest = batch.iloc[bounds[-1] :]
-    if rest is not None and len(rest):
-        yield rest
+        path, i, j, n, own = (batch[c].to_numpy(np.int64) for c in ("path", "i", "j", "n", "own"))
+        new = (path[1:] != path[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        bounds = [0, *(np.flatnonzero(new) + 1).tolist(), *([len(batch)] if last else [])]
+        whole = bounds[-1]
+        if not last:
+            rest = batch.iloc[whole:]
+        if not whole:
+            continue
+        sketch = np.frombuffer(b"".join(batch["sketch"].iloc[:whole]), np.uint16).reshape(whole, SKETCH)
+        finals = batch["finals"].to_numpy()
+        yield (
+            batch,
+            [
+                (a, Group(int(path[a]), int(i[a]), int(j[a]), n[a:b], own[a:b], sketch[a:b], finals[a:b]))
+                for a, b in zip(bounds, bounds[1:], strict=False)
+            ],
+        )
 
 
-def _candidates(group: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row numbers) that the sketches do not rule out and that count in this bucket."""
-    m, path = len(group), int(group["path"].iloc[0])
-    sketch = np.frombuffer(b"".join(group["sketch"]), np.uint16).reshape(m, SKETCH)
-    n, own = group["n"].to_numpy(np.int64), group["own"].to_numpy()
-    i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-    left = np.arange(m) if i == j else np.flatnonzero(own == i)
-    right = left if i == j else np.flatnonzero(own == j)
+def _agreement(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """In how many values the sketches of each pair agree."""
+    if len(left) * len(right) <= 4096:
+        return (left[:, None, :] == right[None, :, :]).sum(axis=2)
     agree = np.zeros((len(left), len(right)), np.uint8)
     for k in range(SKETCH):
-        agree += sketch[left, k][:, None] == sketch[right, k][None, :]
-    a, b = np.nonzero(agree >= MIN_AGREE)
+        agree += left[:, k][:, None] == right[:, k][None, :]
+    return agree
+
+
+def _candidates(group: Group, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row numbers) that the sketches do not rule out and that count in this bucket."""
+    m, n, own, same = len(group.n), group.n, group.own, group.i == group.j
+    left = np.arange(m) if same else np.flatnonzero(own == group.i)
+    right = left if same else np.flatnonzero(own == group.j)
+    a, b = np.nonzero(_agreement(group.sketch[left], group.sketch[right]) >= MIN_AGREE)
     a, b = left[a], right[b]
     ok = np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9
-    if i == j:
+    if same:
         ok &= a < b
     a, b = a[ok], b[ok]
     if not len(a):
         return a, b
-    width = int(group["finals"].str.len().max())
+    if len(a) <= 16:
+        sets = {x: set(group.finals[x].tolist()) for x in {*a.tolist(), *b.tolist()}}
+        ok = np.array([min(sets[x] & sets[y]) == group.path for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+        return a[ok], b[ok]
+    width = max(map(len, group.finals))
     finals = np.full((m, width), np.iinfo(np.int64).max)
-    for row, f in enumerate(group["finals"]):
+    for row, f in enumerate(group.finals):
         finals[row, : len(f)] = f
     first = np.empty(len(a), np.int64)
     for c in range(0, len(a), 65536):
@@ -297,7 +354,7 @@ def _candidates(group: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.n
             shared = (fb == fa[:, k : k + 1]).any(axis=1)
             common = np.where(shared, np.minimum(common, fa[:, k]), common)
         first[part] = common
-    ok = first == path
+    ok = first == group.path
     return a[ok], b[ok]
 
 
@@ -344,34 +401,40 @@ def links(docs: DataFrame, sets: DataFrame, placed: DataFrame, *, n: int = N, th
     row = "cid binary, n int, sketch binary, finals array<long>, path long, i int, j int, own int"
 
     def active(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _groups(batches):
-            a, b = _candidates(group, threshold)
-            if len(a):
-                yield group.iloc[np.unique(np.concatenate([a, b]))]
+        for batch, groups in _groups(batches):
+            pairs = ((at, *_candidates(group, threshold)) for at, group in groups)
+            kept = [at + np.unique(np.concatenate([a, b])) for at, a, b in pairs if len(a)]
+            if kept:
+                yield batch.iloc[np.concatenate(kept)]
 
     found = stored(_by_comparison(placed).mapInPandas(active, row), "active")
     # texts are fetched only for sets that have a candidate; a text may come from several rows
     one = sets.select("cid", "doc_id").join(found.select("cid").distinct(), "cid", "left_semi")
-    texts = _with_text(docs, one, "")
+    texts = _with_text(docs, one)
     whole = found.join(texts, "cid")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(n)
-        for group in _groups(batches):
-            group = group.drop_duplicates("cid")
-            a, b = _candidates(group, threshold)
-            if not len(a):
-                continue
-            grams = [shingle(words_of(t)) for t in group["text"]]
-            size = np.array([len(g) for g in grams])
-            both = _shared(grams, a, b)
-            ok = both >= threshold * (size[a] + size[b] - both) - 1e-9
-            a, b = a[ok], b[ok]
-            counted = np.bincount(np.concatenate([a, b]), minlength=len(group))
-            root = _roots(len(group), a, b)
-            cids = group["cid"].to_numpy()
-            at = np.flatnonzero(counted)
-            yield pd.DataFrame({"cid": cids[at], "root": cids[root[at]], "links": counted[at]})
+        for batch, groups in _groups(batches):
+            cids, texts = batch["cid"].to_numpy(), batch["text"].to_numpy()
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for at, group in groups:
+                own = at + np.sort(np.unique(cids[at : at + len(group.n)], return_index=True)[1])
+                group = group.take(own - at)
+                a, b = _candidates(group, threshold)
+                if not len(a):
+                    continue
+                grams = [shingle(words_of(t)) for t in texts[own]]
+                size = np.array([len(g) for g in grams])
+                both = _shared(grams, a, b)
+                ok = both >= threshold * (size[a] + size[b] - both) - 1e-9
+                a, b = a[ok], b[ok]
+                counted = np.bincount(np.concatenate([a, b]), minlength=len(own))
+                met = np.flatnonzero(counted)
+                out.append((cids[own[met]], cids[own[_roots(len(own), a, b)[met]]], counted[met]))
+            if out:
+                cid, root, linked = (np.concatenate(column) for column in zip(*out, strict=True))
+                yield pd.DataFrame({"cid": cid, "root": root, "links": linked})
 
     return _by_comparison(whole).mapInPandas(compare, "cid binary, root binary, links long")
 

@@ -1,10 +1,14 @@
 """What is judged before texts are compared exactly."""
 
+import collections
 import random
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from logloom.llm import decontam
+from logloom.llm import decontam, ngramjoin
 
 
 def test_exact_edits_only_where_enough_of_an_item_is_there(monkeypatch):
@@ -44,3 +48,47 @@ def test_batches_are_searched_in_pieces():
     pieces = [p.column("text").to_pylist() for p in decontam.slices(batch, "text")]
     assert [t for p in pieces for t in p] == texts and len(pieces) == 3
     assert [p.num_rows for p in decontam.slices(batch.slice(0, 0), "text")] == [0]
+
+
+def test_sets_below_split_buckets_are_not_joined_one_by_one(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(500)]
+    shared = " ".join(rng.choices(words, k=60))
+    rows = [(k, f"{shared} {' '.join(rng.choices(words, k=20))}") for k in range(60)]
+    rows += [(100 + k, rows[k][1] + " end") for k in range(0, 60, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = ngramjoin.signatures(docs).where("cid IS NOT NULL").groupBy("cid").agg(
+        *[F.first(c).alias(c) for c in ("doc_id", "n", "sketch", "paths")]
+    )
+    sets = sets.localCheckpoint()
+    finals = ngramjoin._final_buckets(docs, sets, ngramjoin.N, ngramjoin.THRESHOLD, ngramjoin.LEVELS, 6, 8)
+    # by loops: a path counts with those above it, all of which split
+    kept = sets.collect()
+    texts = {ngramjoin._digest(ngramjoin.words_of(t)): ngramjoin.words_of(t) for _, t in rows}
+    grams = {r.cid: ngramjoin.Shingler()(texts[bytes(r.cid)]) for r in kept}
+    here, want = {r.cid: {p: None for p in r.paths} for r in kept}, set()
+    for level in range(1, ngramjoin.LEVELS + 1):
+        count = collections.Counter(p for paths in here.values() for p in paths)
+        last = level == ngramjoin.LEVELS
+        want |= {(bytes(c), p) for c, paths in here.items() for p in paths if count[p] > 1 and (last or count[p] <= 6)}
+        opened = {c: np.array([p for p in paths if count[p] > 6], np.int64).view(np.uint64) for c, paths in here.items()}
+        here = {c: ngramjoin._chosen(grams[c], p, level + 1, ngramjoin.THRESHOLD)[0].astype(np.int64).tolist() for c, p in opened.items() if len(p)}
+    assert {(bytes(r.cid), r.path) for r in finals.collect()} == want and len(want) > 100
+
+
+def test_comparisons_that_go_over_batches_are_whole():
+    def rows(sizes):
+        for path, size in enumerate(sizes):
+            for k in range(size):
+                yield {"cid": b"%d-%d" % (path, k), "n": 9, "sketch": bytes(64), "finals": np.array([path]), "path": path, "i": 0, "j": 0, "own": 0}
+
+    sizes = [2, 5, 1, 7, 3, 3]
+    whole = pd.DataFrame(rows(sizes))
+    for step in (1, 2, 3, 4, 100):
+        parts = [whole.iloc[a : a + step].reset_index(drop=True) for a in range(0, len(whole), step)]
+        batches = list(ngramjoin._groups(iter([whole.iloc[:0], *parts])))
+        groups = [(g.path, batch["cid"].tolist()[at : at + len(g.n)]) for batch, found in batches for at, g in found]
+        assert groups == [(p, [b"%d-%d" % (p, k) for k in range(size)]) for p, size in enumerate(sizes)]
+        # one batch out for a batch in, not one for each comparison
+        assert len(batches) <= len(parts) + 1
+    assert list(ngramjoin._groups(iter([]))) == []
