@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from logloom.llm import decontam, mixing, ngramjoin, sharding, toxicity
-from logloom.llm.common import stored
+from logloom.llm.common import batches_of, stored
+
+#: Of the texts that go to Python at a time; the rows of a batch that is being made and of the one in use are both held.
+BATCH = "4m"
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with batches_of(spark, BATCH):
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -24,6 +25,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, size: str) -> Iterator[None]:
+    """What is run inside hands its rows to Python in batches of at most `size`, whatever the number of rows.
+
+    A batch of a fixed number of texts is as large as they are; a Python worker holds it twice or more.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def words(text: Column) -> Column:
     """The words of a text: runs without space, tab, newline, \\v, \\f or \\r. Null: none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

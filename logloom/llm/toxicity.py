@@ -56,7 +56,7 @@ class Known:
     """Counts the known terms of texts; remembers what a run without white space stands for,
     up to a bound, so that most are looked up once."""
 
-    REMEMBERED = 500_000
+    REMEMBERED = 200_000
 
     def __init__(self, vocabulary: dict[str, int]):
         self.vocabulary = vocabulary

@@ -8,7 +8,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from logloom.llm import decontam, ngramjoin
+from logloom.llm import common, decontam, ngramjoin
 
 
 def test_exact_edits_only_where_enough_of_an_item_is_there(monkeypatch):
@@ -92,3 +92,17 @@ def test_comparisons_that_go_over_batches_are_whole():
         # one batch out for a batch in, not one for each comparison
         assert len(batches) <= len(parts) + 1
     assert list(ngramjoin._groups(iter([]))) == []
+
+
+def test_batches_of_texts_are_bounded_by_their_bytes(spark):
+    def largest(batches):
+        for batch in batches:
+            yield pd.DataFrame({"n": [int(batch["text"].str.len().sum())]})
+
+    docs = spark.range(300).repartition(1).select(F.repeat(F.lit("x"), 20_000).alias("text"))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    with common.batches_of(spark, "1m"):
+        sizes = [r.n for r in docs.mapInPandas(largest, "n long").collect()]
+    assert sum(sizes) == 300 * 20_000 and max(sizes) <= 1_100_000
+    assert spark.conf.get(name, None) == before
