@@ -16,10 +16,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small_side
 from .common import HASH_BITS, hash60, stored, words
 
 WEIGHTS = (5, 2, 1)
@@ -28,6 +30,9 @@ MAX_EPOCHS = 3
 #: is 1 - slope at the start and 1 + slope at the end, as a multiple of its mean.
 SLOPES = (0.5, 0.0, -0.5)
 SLICE_ROWS = 1 << 10
+#: Text of a bucket of the training time, about (a partition of the curriculum), and the most of them.
+BUCKET_BYTES = 8 << 20
+MAX_BUCKETS = 1 << 12
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -68,9 +73,13 @@ def _position(demand: Column, target: Column, slope: Column) -> Column:
     return F.least(F.lit(1.0), 2.0 * share / (straight + root))
 
 
-def _sized(docs: DataFrame) -> DataFrame:
+def _slope(slopes: Sequence[float]) -> Column:
+    return F.get(F.array(*[F.lit(float(s)) for s in slopes]), F.col("place"))
+
+
+def _sized(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(
-        "doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), hash60(F.col("doc_id"), F.col("text")).alias("order")
+        "doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), hash60(F.col("doc_id"), F.col("text")).alias("order"), *more
     )
 
 
@@ -102,14 +111,13 @@ def _placed(sized: DataFrame, slopes: Sequence[float], weights: Sequence[int], m
     )
     placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, same)
     middle = F.col("start") + F.col("inside") + F.col("size") / 2.0
-    slope = F.get(F.array(*[F.lit(float(s)) for s in slopes]), F.col("place"))
     epochs = F.array(*[F.lit(k) for k in range(max_epochs)])
     demands = F.filter(
         F.transform(epochs, lambda k: middle + k * F.col("source_size")),
         lambda d: (F.col("size") > 0) & (d < F.col("target")),
     )
     return placed.withColumn("demands", demands).withColumn(
-        "positions", F.transform("demands", lambda d: _position(d, F.col("target"), slope))
+        "positions", F.transform("demands", lambda d: _position(d, F.col("target"), _slope(slopes)))
     )
 
 
@@ -140,30 +148,91 @@ def assign(
     )
 
 
-def curriculum(docs: DataFrame, **options) -> DataFrame:
-    """The documents in training order: one row per repeat, range-sorted by position.
+def _dealt(docs: DataFrame, weights: Sequence[int], slopes: Sequence[float], max_epochs: int, bucket_bytes: int) -> tuple[DataFrame, int]:
+    """The rows of the mix with their bucket of the training time, before any shuffle, and the number of buckets.
 
-    Rows of the mix meet their texts by (doc_id, 60-bit hash of id and text), so repeated
-    ids with different texts keep apart; equal rows are numbered by their positions and
-    come out as often as the mix takes them.
+    Positions rise with the random order of a source.  So a cell, the rows that one slice of this order sends to one
+    bucket in one epoch, is an interval of it, and a text that looks up the cells of its slice knows where it goes.
+    Texts whose order occurs again (equal rows, as a rule) cannot be told from each other by it: they meet the drawn rows.
     """
-    drawn = assign(docs, **options).select(
-        F.col("doc_id").alias("__mix_id"), F.col("order").alias("__mix_order"), F.explode("positions").alias("__mix_position")
+    sized = stored(_sized(docs, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")), "sizes")
+    total = sized.agg(F.sum("bytes").alias("b")).first()["b"] or 0
+    buckets = min(MAX_BUCKETS, max(1, math.ceil(total / bucket_bytes)))
+    shift = HASH_BITS - math.ceil(math.log2(buckets))
+    placed = _placed(sized, slopes, weights, max_epochs)
+    drawn = placed.select(
+        "doc_id",
+        "source",
+        "order",
+        "size",
+        "target",
+        _slope(slopes).alias("slope"),
+        F.posexplode(F.arrays_zip("demands", "positions")).alias("epoch", "met"),
     )
-    drawn = stored(drawn, "drawn")
-    held = docs.withColumn("__mix_key", hash60(F.col("doc_id"), F.col("text")))
-    # of equal rows one brings the text; as many come out as were drawn
-    repeated = stored(
-        held.groupBy("doc_id", "__mix_key").count().where("count > 1").select("doc_id", "__mix_key"), "repeated"
+    bucket = F.least(F.lit(buckets - 1), F.floor(F.col("met.positions") * buckets)).cast("int")
+    before = F.col("met.demands") - F.col("size") / 2.0
+    drawn = drawn.select("doc_id", "source", "order", "size", "target", "slope", "epoch", bucket.alias("bucket"), before.alias("before"))
+    drawn = stored(drawn.withColumn("part", F.shiftright("order", shift)), "drawn")
+    cells = drawn.groupBy("source", "part", "epoch", "bucket").agg(
+        F.min("order").alias("lo"), F.max("order").alias("hi"), F.min("before").alias("before"), F.first("target").alias("target"), F.first("slope").alias("slope")
     )
-    if not repeated.isEmpty():
-        key = held["doc_id"].eqNullSafe(repeated["doc_id"]) & (held["__mix_key"] == repeated["__mix_key"])
-        again = held.join(repeated, key, "left_semi").dropDuplicates(["doc_id", "__mix_key"])
-        held = held.join(repeated, key, "left_anti").unionByName(again)
-    same = F.col("__mix_id").eqNullSafe(F.col("doc_id")) & (F.col("__mix_order") == F.col("__mix_key"))
-    return (
-        held.join(drawn, same)
-        .repartitionByRange("__mix_position", "__mix_order")
-        .sortWithinPartitions("__mix_position", "__mix_order")
-        .select(*docs.columns)
+    cells = stored(cells, "cells")
+    facts = ["epoch", "bucket", "before", "target", "slope"]
+    listed = small_side(
+        cells.groupBy(F.col("source").alias("__mix_source"), F.col("part").alias("__mix_part")).agg(
+            F.collect_list(F.struct("lo", "hi", *facts)).alias("__mix_cells")
+        )
+    )
+    named = [F.col(f"__mix_cell.{f}").alias(f"__mix_{f}") for f in facts]
+    # a text without a word is never taken, wherever its order lies
+    held = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("__mix_order", hash60(F.col("doc_id"), F.col("text")))
+    repeated = stored(sized.groupBy("order").count().where("count > 1").select(F.col("order").alias("__mix_again")), "repeated")
+    several = not repeated.isEmpty()
+    if several:
+        repeated = small_side(repeated)
+        again = held.join(repeated, F.col("__mix_order") == F.col("__mix_again"), "left_semi")
+        held = held.join(repeated, F.col("__mix_order") == F.col("__mix_again"), "left_anti")
+    here = F.col("source").eqNullSafe(F.col("__mix_source")) & (F.shiftright("__mix_order", shift) == F.col("__mix_part"))
+    mine = F.filter("__mix_cells", lambda c: F.col("__mix_order").between(c["lo"], c["hi"]))
+    out = held.join(listed, here).withColumn("__mix_cell", F.explode(mine))
+    size = F.size(words(F.col("text"))).cast("long").alias("__mix_size")
+    out = out.select(*docs.columns, "__mix_order", "__mix_source", "__mix_part", size, *named)
+    if several:
+        # of equal rows one brings the text; as many come out as were drawn
+        keys = ["source", "part", "epoch", "bucket"]
+        hot = drawn.drop("before", "target", "slope").join(repeated, F.col("order") == F.col("__mix_again"), "left_semi")
+        k = cells.select(*[F.col(c).alias(f"k_{c}") for c in keys], "before", "target", "slope")
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in keys])
+        hot = hot.join(k, same).select(
+            F.col("doc_id").alias("__mix_id"), F.col("order").alias("__mix_key"), *[F.col(c).alias(f"__mix_{c}") for c in ("source", "part", "size", *facts)]
+        )
+        again = again.dropDuplicates(["doc_id", "__mix_order"])
+        again = again.join(hot, F.col("__mix_id").eqNullSafe(F.col("doc_id")) & (F.col("__mix_key") == F.col("__mix_order")))
+        out = out.unionByName(again.drop("__mix_id", "__mix_key"))
+    return out, buckets
+
+
+def curriculum(
+    docs: DataFrame,
+    *,
+    weights: Sequence[int] = WEIGHTS,
+    slopes: Sequence[float] = SLOPES,
+    max_epochs: int = MAX_EPOCHS,
+    bucket_bytes: int = BUCKET_BYTES,
+) -> DataFrame:
+    """The documents in training order: one row per repeat, in partitions of consecutive positions, each sorted by them.
+
+    Texts are shuffled once, straight to their bucket of the training time.  There the demand before each row of a cell is the
+    cell's own and the sizes of its rows up to it, as in `assign`.  Rows are told apart by id and 60-bit hash of id and text, so
+    repeated ids with different texts keep apart; equal rows come out as often as the mix takes them.
+    """
+    dealt, buckets = _dealt(docs, weights, slopes, max_epochs, bucket_bytes)
+    inside = (
+        Window.partitionBy("__mix_bucket", "__mix_source", "__mix_part", "__mix_epoch")
+        .orderBy("__mix_order", F.col("doc_id").asc_nulls_last(), "__mix_size")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
+    met = dealt.repartitionById(buckets, "__mix_bucket")
+    demand = F.col("__mix_before") + F.coalesce(F.sum("__mix_size").over(inside), F.lit(0)) + F.col("__mix_size") / 2.0
+    met = met.withColumn("__mix_position", _position(demand, F.col("__mix_target"), F.col("__mix_slope")))
+    return met.sortWithinPartitions("__mix_position", "__mix_order").select(*docs.columns)

@@ -217,3 +217,18 @@ def test_mix_meets_targets(spark):
     assert collections.Counter(out) == +want
     assert [r.doc_id for r in mixing.curriculum(docs.repartition(2)).collect()] == out
     assert mixing.assign(documents(spark, [])).count() == 0
+
+
+def test_curriculum_shuffles_texts_once_and_keeps_the_order(spark):
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.randint(0, 40), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(1500)]
+    rows += [rows[0]] * 4 + [(5, "other words", "b"), (None, None, "a"), (None, "no id", "c"), (None, "no id too", "c")]
+    docs = clash(documents(spark, rows)).repartition(4).cache()
+    want = sorted((p, r.order, str(r.doc_id)) for r in mixing.assign(docs).select("doc_id", "order", "positions").collect() for p in r.positions)
+    for size in (100, 2000, 1 << 20):
+        ordered = mixing.curriculum(docs, bucket_bytes=size)
+        assert [str(r.doc_id) for r in ordered.collect()] == [w[2] for w in want]
+    alone = mixing.curriculum(documents(spark, [(i, f"text {i} " + "w " * (i % 9), "a") for i in range(400)]), bucket_bytes=500)
+    plan = alone._jdf.queryExecution().optimizedPlan().toString()
+    # the only shuffle of rows that hold a text is the last one
+    assert plan.count("Repartition") == 1 and plan.count("Join") == plan.count("rightHint=(strategy=broadcast)")
