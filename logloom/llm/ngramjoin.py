@@ -186,34 +186,37 @@ def _with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _below(docs: DataFrame, sets: DataFrame, open_sets: DataFrame, n: int, threshold: float, levels: int) -> DataFrame:
-    """(cid, level, parent, path): the paths of the deeper levels of (cid, above), the sets in buckets that split."""
+    """(cid, below): the paths of the deeper levels of (cid, above), the sets in buckets that split; one row a set.
+
+    A set makes 1 / threshold paths on average below each of its own, whatever the size of its bucket.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(n)
         for batch in batches:
-            done, cids, sizes = set(), [], []
-            made: tuple[list, list, list] = ([], [], [])
+            done, rows = set(), []
             for cid, above, text in zip(batch["cid"], batch["above"], batch["text"], strict=True):
                 words = words_of(text)
                 if cid in done or _digest(words) != cid:
                     continue
                 done.add(cid)
                 grams, paths = shingle(words), np.array(above, np.int64).view(np.uint64)
+                made: tuple[list, list, list] = ([], [], [])
                 for level in range(2, levels + 1):
                     paths, parents = _chosen(grams, paths, level, threshold)
                     if not len(paths):
                         break
-                    cids.append(cid)
-                    sizes.append(len(paths))
                     for column, part in zip(made, (np.full(len(paths), level), parents.astype(np.int64), paths.astype(np.int64)), strict=True):
                         column.append(part)
-            if cids:
-                level, parent, path = (np.concatenate(column) for column in made)
-                yield pd.DataFrame({"cid": np.repeat(np.array(cids, object), sizes), "level": level, "parent": parent, "path": path})
+                if made[0]:
+                    rows.append((cid, *(np.concatenate(column) for column in made)))
+            if rows:
+                yield pd.DataFrame(rows, columns=["cid", "levels", "parents", "paths"])
 
     opened = open_sets.groupBy("cid").agg(F.collect_set("path").alias("above")).join(sets.select("cid", "doc_id"), "cid")
     # the rows of one id and text come in several pieces
-    return _texts_by_id(docs, opened, ["above"]).mapInPandas(run, "cid binary, level int, parent long, path long").distinct()
+    made = _texts_by_id(docs, opened, ["above"]).mapInPandas(run, "cid binary, levels array<int>, parents array<long>, paths array<long>")
+    return made.dropDuplicates(["cid"]).select("cid", F.arrays_zip("levels", "parents", "paths").alias("below"))
 
 
 def _final_buckets(docs: DataFrame, sets: DataFrame, n: int, threshold: float, levels: int, bucket: int, block: int) -> DataFrame:
@@ -240,7 +243,8 @@ def _final_buckets(docs: DataFrame, sets: DataFrame, n: int, threshold: float, l
             break
         if deeper is None:
             deeper = stored(_below(docs, sets, here.join(split, "path", "left_semi"), n, threshold, levels), "deeper")
-        here = deeper.where(F.col("level") == level + 1).select("cid", "parent", "path")
+        here = deeper.select("cid", F.explode(F.filter("below", lambda x: x["levels"] == level + 1)).alias("x"))
+        here = here.select("cid", F.col("x.parents").alias("parent"), F.col("x.paths").alias("path"))
     out = finals[0]
     for more in finals[1:]:
         out = out.unionByName(more)
@@ -507,8 +511,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     named = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")
     firsts = stored(rows.groupBy("root").agg(F.min(named).alias("first")), "firsts")
     ids = rows.join(firsts, "root").withColumn("own", named == F.col("first"))
-    # the rows that go are the fewer ones, and their table is the smaller side of the join
-    gone = stored(ids.where("NOT own").select(F.col("doc_id").alias("__gone_id"), F.col("h").alias("__gone_h")), "gone")
+    # the rows that go are the fewer ones, and texts stay where they are: the side that is broadcast has ids and hashes alone
+    gone = small_side(ids.where("NOT own").select(F.col("doc_id").alias("__gone_id"), F.col("h").alias("__gone_h")))
     kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.xxhash64("text") == F.col("__gone_h")), "left_anti")
     if rows.where("n > 1").isEmpty():
         return kept

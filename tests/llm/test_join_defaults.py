@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from logloom.llm import ngramjoin
 
@@ -60,3 +61,30 @@ def test_chosen_paths_do_not_depend_on_the_pieces():
         tried = ngramjoin._mix(grams ^ s)
         want |= {(int(p), int(s)) for p in ngramjoin._mix(tried[tried <= np.uint64(limit)] + np.uint64(1))}
     assert set(zip(paths.tolist(), above.tolist(), strict=True)) == want
+
+
+def test_deeper_paths_are_one_row_a_set_and_texts_that_stay_are_not_shuffled(spark):
+    rng = random.Random(8)
+    base = [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randint(0, 99)) for _ in range(120)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        words[rng.randrange(120)] = f"own{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = ngramjoin.signatures(docs)
+    sets = signed.groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
+    opened = signed.where("doc_id < 60").select("cid", F.explode("paths").alias("path"))
+    below = ngramjoin._below(docs, sets, opened, ngramjoin.N, ngramjoin.THRESHOLD, ngramjoin.LEVELS).collect()
+    assert len(below) == len({bytes(r.cid) for r in below}) == 60
+    assert {x.levels for r in below for x in r.below} == {2, 3, 4}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = ngramjoin.keep_one(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert sorted(r.doc_id for r in kept.collect()) == [0, *range(100, 140)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
