@@ -10,7 +10,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import held, measured_bytes
@@ -18,11 +19,13 @@ from ..session import held, measured_bytes
 PIVOTS = 64
 ITEM_ROWS = 4096  # vectors of one item block
 QUERY_ROWS = 16384  # vectors of one query chunk
+LANE_ROWS = 1 << 17  # items that one task goes through, about
+PENDING_ROWS = 1 << 20  # pairs found that wait to be ranked
 PRODUCT_CELLS = 1 << 22  # cells of the matrix product that a task holds at a time
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    m = np.array(vectors.tolist(), dtype=np.float64)
+def _unit(vectors: pd.Series | np.ndarray) -> np.ndarray:
+    m = np.array(vectors.tolist() if isinstance(vectors, pd.Series) else vectors, dtype=np.float64)
     if not len(m):
         return m.reshape(0, 0)
     norm = np.linalg.norm(m, axis=1, keepdims=True)
@@ -34,18 +37,83 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
 
 
+def _best_cells(cosine: np.ndarray, k: int) -> np.ndarray:
+    """Of each row, the k best cells (True), the first of equals."""
+    place = cosine.shape[1] - k
+    worst = np.partition(cosine, place, axis=1)[:, place][:, None]
+    above, equal = cosine > worst, cosine == worst
+    left = k - np.count_nonzero(above, axis=1)[:, None]
+    return above | (equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= left))
+
+
 def _best(asked: np.ndarray, items: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(items, cosines to 9 digits) of the k best items of each row, best first, the first of equals.
     Rows are compared in slices, so memory does not follow their number."""
-    step = max(1, PRODUCT_CELLS // max(1, len(items)))
-    best, score = [], []
-    for low in range(0, len(asked), step):
+    k, step = min(k, len(items)), max(1, PRODUCT_CELLS // max(1, len(items)))
+    best, score = [np.zeros((0, k), np.int64)], [np.zeros((0, k))]
+    for low in range(0, len(asked), step) if k else ():
         cosine = np.round(asked[low : low + step] @ items.T, 9)
-        best.append(np.argsort(-cosine, axis=1, kind="stable")[:, :k].copy())  # a view would keep the whole order
-        score.append(np.take_along_axis(cosine, best[-1], axis=1))
+        own = np.nonzero(_best_cells(cosine, k))[1].reshape(-1, k)
+        found = np.take_along_axis(cosine, own, axis=1)
+        order = np.argsort(-found, axis=1, kind="stable")
+        best.append(np.take_along_axis(own, order, axis=1))
+        score.append(np.take_along_axis(found, order, axis=1))
     return np.concatenate(best), np.concatenate(score)
 
 
+def _rows_of(vectors: pa.Array) -> np.ndarray:
+    """An Arrow array of equally long lists as a matrix."""
+    rows, size = len(vectors), len(vectors[0]) if len(vectors) else 0
+    if (np.diff(vectors.offsets.to_numpy()) != size).any():
+        raise ValueError("vectors differ in length")
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(rows, size)
+
+
+class _Nearest:
+    """The k best items of each query of a chunk, for items that come in order of their id.
+
+    `least`: cosines below which no item is among the k best.  Once k items are found, the worst of
+    them takes its place, and as equals come later, an item must then be better.
+    """
+
+    def __init__(self, asked: np.ndarray, least: np.ndarray, k: int):
+        self.asked, self.k, self.n = asked, k, 0
+        self.bar = least - 1e-9  # by more than a product may differ from itself in another slice
+        self.row, self.at, self.cosine = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, items: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """The next items; in `groups`, rows of queries and places of the items that they are held against."""
+        pending, waiting = [(self.row, self.at, self.cosine)], 0
+        for asked, own in groups:
+            near = items[own]
+            step = max(1, PRODUCT_CELLS // max(1, len(own)))
+            for low in range(0, len(asked), step):
+                rows = asked[low : low + step]
+                cosine = self.asked[rows] @ near.T
+                found = cosine >= self.bar[rows][:, None]
+                many = np.count_nonzero(found, axis=1) > 4 * self.k
+                if many.any():
+                    found[many] = _best_cells(np.round(cosine[many], 9), self.k)
+                row, col = np.nonzero(found)
+                pending.append((rows[row], self.n + own[col], np.round(cosine[row, col], 9)))
+                waiting += len(row)
+                if waiting > PENDING_ROWS:
+                    pending, waiting = [self._ranked(pending)], 0
+        self.row, self.at, self.cosine = self._ranked(pending)
+        full = np.flatnonzero(np.bincount(self.row, minlength=len(self.bar)) == self.k)
+        last = np.searchsorted(self.row, full, side="right") - 1
+        self.bar[full] = np.maximum(self.bar[full], self.cosine[last] + 4e-10)  # what rounds to the worst or below is not better
+        self.n += len(items)
+
+    def _ranked(self, pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best pairs of each row, by row, best first, the first of equals."""
+        row, at, cosine = (np.concatenate(x) for x in zip(*pending))
+        order = np.lexsort((at, -cosine, row))
+        row, at, cosine = row[order], at[order], cosine[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < self.k
+        return row[kept], at[kept], cosine[kept]
+
+
 def _in_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Adds the nearest pivot and the distance to it."""
 
@@ -66,96 +134,134 @@ def vector_topk(
     pivots: int = PIVOTS,
     item_rows: int = ITEM_ROWS,
     query_rows: int = QUERY_ROWS,
+    lane_rows: int = LANE_ROWS,
 ) -> DataFrame:
     """(query_id, item_id, cosine, rank): the k nearest items, ties by item_id.
 
     Items belong to the nearest of a few pivots; a cell above `item_rows` is
     split in blocks.  One block near the query gives a bound on its k-th
     distance; by the triangle inequality only cells whose ball comes closer than
-    the bound can hold a better item, and the query goes to the blocks of those
-    cells.  Block and query chunk are joined by equality and compared as one
-    matrix product, so neither a popular cell nor a popular block is one task.
+    the bound can hold a better item.  Blocks are dealt to lanes of about `lane_rows` items,
+    and a query goes to the lanes of those cells.  A task holds one chunk of queries, and the items of one lane
+    pass by as a stream: only the k best of a query leave it, whatever the number of blocks.
+    Neither a popular cell nor a popular block is one task.
 
     queries: query_id, embedding; items: item_id, embedding.  Rows without a vector take no
     part; without items there are no rows.
     """
     queries = queries.select("query_id", "embedding").where("embedding IS NOT NULL")
     items = items.select("item_id", "embedding").where("embedding IS NOT NULL")
+    kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema.fields, *items.schema.fields)}
+    if queries.schema["embedding"].dataType != items.schema["embedding"].dataType:
+        kinds["embedding"] = "array<double>"
+        queries, items = (x.withColumn("embedding", F.col("embedding").cast("array<double>")) for x in (queries, items))
     # The pivots and one line per cell are all that the driver sees.
     sample = items.orderBy(F.xxhash64("item_id"), "item_id").limit(pivots).toPandas()
     if not len(sample):
-        kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema.fields, *items.schema.fields)}
         none = f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, cosine double, rank long"
         return queries.sparkSession.createDataFrame([], none)
     centre = _unit(sample["embedding"])
-    placed = _in_cells(items, centre)
+    placed, home = _in_cells(items, centre), _in_cells(queries, centre)
     cells = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_dist").alias("r")).toPandas()
+    asked = home.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).toPandas()
     radius = np.full(len(centre), -np.inf)
     radius[cells["_cell"]] = cells["r"]
-    blocks = np.zeros(len(centre), dtype=int)
+    blocks = np.ones(len(centre), dtype=int)
     blocks[cells["_cell"]] = [math.ceil(n / item_rows) for n in cells["n"]]
-    chunks = max(1, math.ceil(queries.count() / query_rows))
-
-    per_cell = F.array(*[F.lit(int(max(1, b))) for b in blocks])
-    salt = F.pmod(F.xxhash64("item_id"), F.element_at(per_cell, F.col("_cell") + 1).cast("long"))
-    blocked = placed.select(
-        "item_id",
-        F.col("embedding").alias("item_vec"),
-        F.concat_ws("/", "_cell", salt).alias("_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk"),
-    )
-    chunk = F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int").alias("_chunk")
-    kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema.fields, *items.schema.fields)}
-
-    def compare(q: pd.DataFrame, i: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per query the k best of a block: query row, item row, cosine."""
-        best, cosine = _best(_unit(q["embedding"]), _unit(i["item_vec"]), k)
-        return np.repeat(np.arange(len(q)), best.shape[1]), best.ravel(), cosine.ravel()
+    parts = np.ones(len(centre), dtype=int)
+    parts[asked["_cell"]] = [math.ceil(n / query_rows) for n in asked["n"]]
+    chunks = max(1, math.ceil(asked["n"].sum() / query_rows))
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    n_blocks = int(blocks.sum())
+    lanes = min(n_blocks, max(math.ceil(cells["n"].sum() / lane_rows), math.ceil(2 * cores / chunks)))
+    lane = np.arange(n_blocks) * lanes // n_blocks
+    lane_of = np.split(lane, np.cumsum(blocks)[:-1])  # of the blocks of each cell
+    in_lane = np.array([np.isin(np.arange(lanes), x) for x in lane_of])
+
+    def of_cell(values: list) -> Column:
+        return F.element_at(F.lit(values), F.col("_cell") + 1)
+
+    def dealt(n: Column, *by: str) -> Column:
+        return F.pmod(F.xxhash64(*by), n.cast("long")).cast("int")
 
     def bound(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        tau = np.full(len(q), 2.0)
+        worst = np.full(len(q), -np.inf)
         if len(q) and len(i) >= k:
-            _, _, cosine = compare(q, i)
-            worst = cosine.reshape(len(q), -1)[:, -1]
-            tau = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * worst)) + 1e-6
-        return q[["query_id", "embedding"]].assign(_tau=tau)
+            worst = _best(_unit(q["embedding"]), _unit(i["item_vec"]), k)[1][:, -1]
+        return q[["query_id", "embedding"]].assign(_least=worst)
+
+    def reach(least: np.ndarray) -> np.ndarray:
+        """The distance that belongs to a cosine."""
+        return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.maximum(least, -1.0))) + 1e-6
+
+    def close(unit: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Can a cell hold items that are near enough?  (vector, cell)"""
+        return _distance(unit, centre) - radius <= reach(least)[:, None]
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            near = _distance(_unit(pdf["embedding"]), centre) - radius <= pdf["_tau"].to_numpy()[:, None]
-            names = [
-                [f"{c}/{s}" for c in np.flatnonzero(row) for s in range(blocks[c])] for row in near
-            ]
-            yield pdf[["query_id", "embedding"]].assign(_blocks=names)
-
-    def search(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(i):
-            return pd.DataFrame(columns=["query_id", "item_id", "cosine"])
-        i = i.sort_values("item_id", ignore_index=True)
-        rows, best, cosine = compare(q, i)
-        return pd.DataFrame(
-            {
-                "query_id": q["query_id"].to_numpy()[rows],
-                "item_id": i["item_id"].to_numpy()[best],
-                "cosine": cosine,
-            }
-        )
+            near = close(_unit(pdf["embedding"]), pdf["_least"].to_numpy())
+            yield pdf.assign(_lanes=[np.flatnonzero(row) for row in near.astype(int) @ in_lane.astype(int) > 0])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def result() -> pa.RecordBatch:
+            found = pa.chunked_array(ids).take(pa.array(nearest.at))
+            names = pa.chunked_array(names_asked).take(pa.array(nearest.row))
+            return pa.table({"query_id": names, "item_id": found, "cosine": nearest.cosine}).combine_chunks().to_batches()
+
+        task, nearest, near, ids, names_asked, vectors, least = None, None, None, [], [], [], []
+        for batch in batches:
+            number = batch.column("_task").to_numpy() * 2 + batch.column("_item").to_numpy()
+            cuts = np.flatnonzero(np.diff(number, prepend=-1, append=-1))
+            for low, high in zip(cuts, cuts[1:]):
+                rows = batch.slice(low, high - low)
+                if number[low] // 2 != task:
+                    if nearest is not None:
+                        yield from result()
+                    task, nearest, ids, names_asked, vectors, least = number[low] // 2, None, [], [], [], []
+                if number[low] % 2 == 0:  # the queries of a task come before its items
+                    names_asked.append(rows.column("query_id"))
+                    vectors.append(_rows_of(rows.column("embedding")))
+                    least.append(rows.column("_least").to_numpy())
+                    continue
+                if not vectors:
+                    continue
+                if nearest is None:
+                    nearest = _Nearest(_unit(np.concatenate(vectors)), np.concatenate(least), k)
+                    near = close(nearest.asked, np.concatenate(least))
+                cell = rows.column("_cell").to_numpy()
+                ids.append(rows.column("item_id"))
+                own = [(np.flatnonzero(near[:, c]), np.flatnonzero(cell == c)) for c in np.unique(cell)]
+                nearest.add(_unit(_rows_of(rows.column("embedding"))), own)
+        if nearest is not None:
+            yield from result()
 
     vec = f"query_id {kinds['query_id']}, embedding {kinds['embedding']}"
-    home = _in_cells(queries, centre)
-    home = home.select("query_id", "embedding", F.concat_ws("/", "_cell", F.lit(0)).alias("_block"), chunk)
+    salted = placed.select("item_id", F.col("embedding").alias("item_vec"), "_cell", dealt(of_cell([int(x) for x in blocks]), "item_id").alias("_salt"))
+    first = salted.where("_salt = 0").withColumn("_part", F.explode(F.sequence(F.lit(0), of_cell([int(x) - 1 for x in parts]))))
     bounded = (
-        home.groupBy("_block", "_chunk")
-        .cogroup(blocked.filter(F.endswith("_block", F.lit("/0"))).groupBy("_block", "_chunk"))
-        .applyInPandas(bound, f"{vec}, _tau double")
+        home.withColumn("_part", dealt(of_cell([int(x) for x in parts]), "query_id", "embedding"))
+        .groupBy("_cell", "_part")
+        .cogroup(first.groupBy("_cell", "_part"))
+        .applyInPandas(bound, f"{vec}, _least double")
     )
-    routed = bounded.mapInPandas(route, f"{vec}, _blocks array<string>").select(
-        "query_id", "embedding", F.explode("_blocks").alias("_block"), chunk
+    routed = bounded.mapInPandas(route, f"{vec}, _least double, _lanes array<int>")
+    chunk = dealt(F.lit(chunks), "query_id", "embedding").alias("_chunk")
+    waiting = routed.select("query_id", "embedding", "_least", chunk, F.explode("_lanes").alias("_lane"))
+    passing = salted.select(
+        "item_id",
+        F.col("item_vec").alias("embedding"),
+        "_cell",
+        F.get(of_cell([[int(y) for y in x] for x in lane_of]), F.col("_salt")).alias("_lane"),
+        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk"),
     )
+    both = waiting.withColumn("_item", F.lit(0)).unionByName(passing.withColumn("_item", F.lit(1)), allowMissingColumns=True)
     found = (
-        routed.groupBy("_block", "_chunk")
-        .cogroup(blocked.groupBy("_block", "_chunk"))
-        .applyInPandas(search, f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, cosine double")
+        both.withColumn("_task", (F.col("_chunk") * lanes + F.col("_lane")).cast("long"))
+        .drop("_chunk", "_lane")
+        .repartitionById(chunks * lanes, F.col("_task").cast("int"))
+        .sortWithinPartitions("_task", "_item", "item_id")
+        .mapInArrow(search, f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, cosine double")
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "item_id")
     return (
