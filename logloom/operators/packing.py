@@ -22,21 +22,26 @@ intervals at once.  Only ids and sizes move, never the texts.
 
 from __future__ import annotations
 
+import gc
 import math
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sqltext as sx
 from ..functions.ordering import dense_position, running
 from ..functions.text import col
-from ..session import held
+from ..session import held, scratch_path
 
 BUCKET_ROWS = 1 << 16  # rows that are numbered at once, about; one interval may have more
+WAVE_FILES = 20_000  # files that one job writes or lists, about
 _EXIT = "{g}, _block long, _interval long, _entry long, _to long, _x long, _batches long"
 
 
@@ -310,22 +315,97 @@ def chunk_bytes(df: DataFrame, limit: int, group: str, order: list[str], text: s
     return packed.withColumn("file_name", F.concat(F.lit("file"), number, F.lit(".sql")))
 
 
-def write_chunks(texts: DataFrame, chunks: DataFrame, path: str, group: str, order: list[str], text: str) -> None:
+def _of_wave(group: str, waves: int) -> Column:
+    """The wave of a chunk: chunks of one folder share it (a group without a name has the folder of none)."""
+    return F.pmod(F.xxhash64(F.nullif(F.col(group).cast("string"), F.lit("")), "file_name"), F.lit(waves)).cast("int")
+
+
+def _n_waves(chunks: DataFrame, group: str, files: int) -> int:
+    return max(1, math.ceil(chunks.select(group, "file_name").distinct().count() / files))
+
+
+def write_chunks(
+    texts: DataFrame, chunks: DataFrame, path: str, group: str, order: list[str], text: str, files: int = WAVE_FILES
+) -> None:
     """Write each chunk's texts below path/<group>/<file_name>/.
 
     `order` must tell the rows of a group apart.  Texts end with a line break, which the text format puts behind every row.
     Those of one chunk meet in one task and keep their order; a chunk is bounded
-    by its byte limit.
+    by its byte limit.  The driver notes a line for each file of a job, so about `files` chunks are written by one: beyond that,
+    texts are placed by wave first, and each wave reads its own.
     """
     names = [group, *order]
     places = chunks.select(*[F.col(c).alias(f"_{c}") for c in names], "file_name")
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names])
-    rows = texts.join(places, same)
-    (
-        rows.repartition(group, "file_name")
-        .sortWithinPartitions(group, "file_name", *order)
-        .select(group, "file_name", F.regexp_replace(text, r"\n\z", "").alias("value"))
-        .write.partitionBy(group, "file_name")
-        .mode("overwrite")
-        .text(path)
-    )
+    rows = texts.join(places, same).select(*dict.fromkeys([group, "file_name", *order, text]))
+
+    def write(own: DataFrame, mode: str) -> None:
+        (
+            own.repartition(group, "file_name")
+            .sortWithinPartitions(group, "file_name", *order)
+            .select(group, "file_name", F.regexp_replace(text, r"\n\z", "").alias("value"))
+            .write.partitionBy(group, "file_name")
+            .mode(mode)
+            .text(path)
+        )
+
+    waves = _n_waves(chunks, group, files)
+    if waves == 1:
+        return write(rows, "overwrite")
+    placed = rows.withColumn("_wave", _of_wave(group, waves))
+    waiting = scratch_path(texts.sparkSession, "waves")
+    placed.write.partitionBy("_wave").parquet(waiting)
+    for i in range(waves):
+        own = texts.sparkSession.read.schema(placed.schema).parquet(waiting).where(F.col("_wave") == i)
+        write(own, "append" if i else "overwrite")
+
+
+def written_sizes(chunks: DataFrame, path: str, group: str, files: int = WAVE_FILES) -> DataFrame:
+    """(group, file_name, n_bytes) of every file that `write_chunks` wrote below `path`, the group as text.
+
+    A listing stands in the driver, so about `files` folders are listed at a time, and what was found is written.
+    """
+    spark, waves = chunks.sparkSession, _n_waves(chunks, group, files)
+    folders = held(chunks.select(F.col(group).cast("string").alias("_g"), "file_name", _of_wave(group, waves).alias("_wave")).distinct())
+    out = f"`{group}` string, file_name string, n_bytes bigint"
+    found = scratch_path(spark, "sizes")
+    spark.createDataFrame([], out).write.parquet(found)
+    for i in range(waves):
+        own = {f"{path}/{_folder(group, r[0])}/{_folder('file_name', r[1])}" for r in folders.where(F.col("_wave") == i).collect()}
+        if not own:
+            continue
+        with _listing(spark):
+            back = (
+                spark.read.format("binaryFile")
+                .schema(f"path string, modificationTime timestamp, length bigint, content binary, `{group}` string, file_name string")
+                .option("basePath", path)
+                .load(sorted(own))
+            )
+        back.select(group, "file_name", F.col("length").alias("n_bytes")).write.mode("append").parquet(found)
+        del back
+        gc.collect()  # the JVM keeps a listing as long as Python has not dropped its table
+    return spark.read.schema(out).parquet(found)
+
+
+def _folder(column: str, value: str | None) -> str:
+    """The folder that a writer gives to a value of a column it partitions by."""
+    if not value:
+        return f"{column}=__HIVE_DEFAULT_PARTITION__"
+    return f"{column}=" + re.sub(r"[\x01-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda m: f"%{ord(m[0]):02X}", value)
+
+
+@contextmanager
+def _listing(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed by a few tasks of many, not by one task each, and what was listed is not kept by the session."""
+    now = {
+        "spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * spark.sparkContext.defaultParallelism),
+        "spark.sql.hive.manageFilesourcePartitions": "false",  # else up to 250 MB of listings stay in the driver
+    }
+    before = {name: spark.conf.get(name) for name in now}
+    try:
+        for name, value in now.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)

@@ -196,8 +196,7 @@ def _(t):
     path = scratch_path(t.spark, "chunks")
     chunks = held(packing.chunk_bytes(docs, 20000, "source", ["doc_id"], "line"))
     packing.write_chunks(docs, chunks, path, "source", ["doc_id"], "line")
-    back = t.spark.read.format("binaryFile").load(path)
-    sizes = back.groupBy("source").agg(F.sum("length").alias("n_bytes"))
+    sizes = packing.written_sizes(chunks, path, "source").groupBy("source").agg(F.sum("n_bytes").alias("n_bytes"))
     return chunks.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs")).join(sizes, "source")
 
 
